@@ -71,3 +71,17 @@ SELECT t.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text,
   CAST(coalesce(len(dropped), 0) AS INTEGER) AS n_dropped, coalesce(CAST(dropped AS INTEGER[]), []) AS dropped
 FROM documents t LEFT JOIN gone USING (doc_id)
 """
+
+
+@query
+def op1_mix(spark, sf_dir):
+    from tessera.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    from tessera.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
