@@ -85,3 +85,27 @@ def op7_quality(spark, sf_dir):
     from tessera.llm.quality import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    from tessera.llm.warc import warc_report
+
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first, count(*) AS copies FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN copies > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN copies > 1 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+
+@query
+def op8_pii(spark, sf_dir):
+    from tessera.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
