@@ -109,3 +109,19 @@ def op8_pii(spark, sf_dir):
     from tessera.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_audio(spark, sf_dir):
+    from tessera.llm.audio import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
