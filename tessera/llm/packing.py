@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.lineage import settled, small_batches
-from tessera.llm.tokens import END_ID, WordEncoder, vocabulary_path
+from tessera.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
 BUCKETS = 1024
@@ -110,12 +110,12 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Plan:
 
 def _cutter(path: str, capacity: int, end_id: int | None, keep_ids: bool):
     def run(batches):
-        encoder = WordEncoder(path)
+        words = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, code in enumerate(encoder.encode(texts)):
+            for row, code in enumerate(words.encode(texts)):
                 code += end
                 for at in range(0, len(code), 4 * capacity):
                     part = code[at : at + 4 * capacity]

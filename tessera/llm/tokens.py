@@ -69,3 +69,13 @@ class WordEncoder:
             for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 cache[word] = struct.pack(f"<{len(code)}I", *code.ids)
         return [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in found]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process: its word cache stays warm from one task of a worker to the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
