@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.lineage import settled
 
-DEGREE = 16
-ROUNDS = 3
+DEGREE = 24
+ROUNDS = 4
 CELLS_EACH = 3
 CELL_ROWS = 256
 MAX_PIVOTS = 1024
-NEW_EACH = 6
-BEAM = 48
+NEW_EACH = 12
+BEAM = 96
 HOPS = 3
 
 
