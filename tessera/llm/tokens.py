@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-import struct
+
+import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -21,14 +22,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class _Cache(dict):
-    """Word -> ids; notes the words it lacks."""
+    """Word -> ids; notes the words it lacks.  Once full, it keeps of its words those that are met again."""
 
     def __init__(self):
         super().__init__()
         self.missing: list[str] = []
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        code = self.old.get(word)
+        if code is None:
+            self.missing.append(word)
+        else:
+            self[word] = code
+        return code
 
-    def __missing__(self, word: str) -> None:
-        self.missing.append(word)
+    def age(self) -> None:
+        if len(self) > _CACHE_LIMIT:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
@@ -46,14 +58,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = _Cache()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words in one go; the last id of each word is one that ends words."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            codes = (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+            self.cache.update(zip(words, codes))
+            return
+        raw, begin = ids.tobytes(), 0
+        for word, stop in zip(words, (4 * stops).tolist()):
+            self.cache[word] = raw[begin:stop]
+            begin = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
-
         cache, get = self.cache, self.cache.__getitem__
-        if len(cache) > _CACHE_LIMIT:
-            cache.clear()
+        cache.age()
         found: list = []
         for text in texts:
             if "<|" in text or not _PLAIN.fullmatch(text):
@@ -62,12 +87,10 @@ class WordEncoder:
             words = _PIECES.findall(text.lower())
             codes = list(map(get, words))
             found.append(words if None in codes else b"".join(codes))
-        wanted = list(set(cache.missing))
+        wanted = list(dict.fromkeys(cache.missing))
         cache.missing.clear()
-        for at in range(0, len(wanted), 20_000):
-            some = wanted[at : at + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[word] = struct.pack(f"<{len(code)}I", *code.ids)
+        for at in range(0, len(wanted), 5_000):
+            self._learn(wanted[at : at + 5_000])
         return [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in found]
 
 
