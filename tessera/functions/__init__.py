@@ -1 +1 @@
-
+"""Functions."""

@@ -1 +1 @@
-
+"""Plans."""

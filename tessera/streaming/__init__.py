@@ -1 +1 @@
-
+"""Streaming."""
