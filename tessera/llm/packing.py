@@ -189,34 +189,41 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _assembler(capacity: int, pad_id: int):
     def run(batches):
+        ramp = np.arange(capacity, dtype="<u2").tobytes()
+        pad, zeros = np.full(capacity, pad_id, "<u2").tobytes(), bytes(2 * capacity)
         held: list = []
+        out: list[list] = [[] for _ in range(7)]
+        kind = None
 
         def flush():
-            ids = b"".join(x[4] for x in held)
-            lengths = [x[3] for x in held]
-            positions = np.concatenate([np.arange(n, dtype="<u2") for n in lengths])
-            n = len(ids) // 2
-            if n < capacity:
-                ids += np.full(capacity - n, pad_id, "<u2").tobytes()
-                positions = np.concatenate([positions, np.zeros(capacity - n, "<u2")])
-            return {"sequence_id": held[0][0], "n_tokens": n, "input_ids": ids, "cu_seqlens": [0, *np.cumsum(lengths).tolist()], "position_ids": positions.tobytes(), "doc_ids": [x[1] for x in held], "pieces": [x[2] for x in held]}
-
-        out: list = []
+            ids, ends = b"".join([x[4] for x in held]), [0]
+            for x in held:
+                ends.append(ends[-1] + x[3])
+            rest = 2 * capacity - len(ids)
+            places = b"".join([ramp[: 2 * x[3]] for x in held])
+            for column, value in zip(out, (held[0][0], ends[-1], ids + pad[:rest], ends, places + zeros[:rest], [x[1] for x in held], [x[2] for x in held])):
+                column.append(value)
+            held.clear()
+
+        def batch_out():
+            schema = _matrix_arrow(kind)
+            whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            for column in out:
+                column.clear()
+            return whole
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sequence_id", "id", "piece", "length", "ids")]
-            for row in zip(*columns):
+            kind = batch.schema.field("id").type
+            for row in zip(*[batch.column(c).to_pylist() for c in ("sequence_id", "id", "piece", "length", "ids")]):
                 if held and held[0][0] != row[0]:
-                    out.append(flush())
-                    held = []
+                    flush()
                 held.append(row)
-            if len(out) >= 256:
-                yield pa.RecordBatch.from_pylist(out, schema=_matrix_arrow(batch.schema.field("id").type))
-                out = []
-            kind = batch.schema.field("id").type
+            if len(out[0]) >= 256:
+                yield batch_out()
         if held:
-            out.append(flush())
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_matrix_arrow(kind))
+            flush()
+        if out[0]:
+            yield batch_out()
 
     return run
 
@@ -231,8 +238,9 @@ def packed_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of more than `capacity` ids are cut without loss.  Nulls, repeats and empty tables: as best_fit_pack.
     """
-    cut = settled(pieces(docs, id_col, text_col, capacity, end_id, keep_ids=True, path=path), "pieces")
-    laid = placed(cut, capacity).select("sequence_id", "offset", "id", "piece", "length", "ids")
+    cut = settled(pieces(docs, id_col, text_col, capacity, end_id, keep_ids=True, path=path).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    places = placed(cut.drop("ids", "start"), capacity).select("uid", "sequence_id", "offset")  # ids stay out of the ranking
+    laid = cut.join(places, "uid").select("sequence_id", "offset", "id", "piece", "length", "ids")
     laid = laid.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("input_ids", T.BinaryType()), T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("position_ids", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(cut.schema["id"].dataType)), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     return laid.mapInArrow(_assembler(capacity, pad_id), schema)
