@@ -57,12 +57,18 @@ def near_lines(candidates: DataFrame) -> DataFrame:
     Each line emits its hash whole and without each of its words.  A replaced word at place i shows as equal variants without i, an inserted one as
     a variant equal to a whole line.  Each group of equal keys is aggregated, not paired.
     """
-    own = F.struct("first", "h", "g")
+    spark = candidates.sparkSession
+    dealt = candidates.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *LINE_KEY)  # long lines are few but heavy
+    coded = dealt.select("h", "g", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
     n = F.size("words")
-    gap = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
-    variants = candidates.select("h", "g", own.alias("own"), F.explode(gap).alias("x")).select("h", "g", "own", "x.i", "x.v")
-    wholes = candidates.select("h", "g", own.alias("own"), F.xxhash64("words").alias("v"))
-
+    gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("words").alias("v")))
+    keys = settled(coded.select("h", "g", F.explode(F.concat(whole, gaps)).alias("x")).select("h", "g", "x.i", "x.v"), "variants")
+    again = keys.groupBy("v").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("v")
+    owners = candidates.select("h", "g", F.struct("first", "h", "g").alias("own"))
+    shared = settled(keys.join(again, "v").join(owners, LINE_KEY), "shared")  # keys of two lines at least
+
+    variants, wholes = shared.where("i > 0"), shared.where("i = 0").select("h", "g", "own", "v")
     replaced = variants.groupBy("v", "i").agg(F.min("own").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = variants.join(replaced, ["v", "i"]).select("h", "g", "other")
     shorter = wholes.groupBy("v").agg(F.min("own").alias("other"))
