@@ -8,11 +8,12 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-_CACHE_LIMIT = 700_000
+_CACHE_LIMIT = 300_000
+_LONGEST = 64  # longer words are not kept
 
 # Characters for which lower-casing, NFC and the letter, digit and white-space classes are the same in every library.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -91,7 +92,11 @@ class WordEncoder:
         cache.missing.clear()
         for at in range(0, len(wanted), 5_000):
             self._learn(wanted[at : at + 5_000])
-        return [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in found]
+        out = [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in found]
+        for word in wanted:
+            if len(word) > _LONGEST:
+                del cache[word]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
