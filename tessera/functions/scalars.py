@@ -110,15 +110,23 @@ def review_label(percent: Column, votes: Column) -> Column:
 
 
 def owners_midpoint(text: Column) -> Column:
-    """'1,000,000 .. 2,000,000' -> the middle; an empty side counts as 1."""
-    sides = F.split(F.regexp_replace(text, r"[^0-9.]", ""), r"\.\.")
-    low, high = (F.when(F.length(F.get(sides, i)) > 0, F.get(sides, i)).otherwise("1").cast("double") for i in (0, 1))
+    """'1,000,000 .. 2,000,000' -> the middle; null unless both sides are numbers."""
+    sides = F.split(F.regexp_replace(F.regexp_replace(text, "(?i)&nbsp;", ""), r"[\s,]", ""), r"\.\.")
+    low, high = (F.regexp_extract(F.get(sides, F.lit(i)), r"^(\d+)", 1).try_cast("double") for i in (0, 1))
     return F.when(F.size(sides) == 2, round_up_half((low + high) / 2))
 
 
+def vote_share(good: Column, bad: Column) -> Column:
+    """struct<score, votes> of good and bad votes; a side without votes counts as one in the score, null if both are without."""
+    g, b = F.coalesce(filled(good), F.lit(1)), F.coalesce(filled(bad), F.lit(1))
+    score = round_up_half(g.cast("double") / (g + b) * 100)
+    votes = (F.coalesce(good, F.lit(0)) + F.coalesce(bad, F.lit(0))).cast("bigint")
+    return F.when(~(empty_number(good) & empty_number(bad)), F.struct(score.alias("score"), votes.alias("votes")))
+
+
 def money_cents(text: Column) -> Column:
-    """'1999 USD' -> 1999, the leading whole number; null if there is none."""
-    return F.regexp_extract(text, r"^\s*(\d+)", 1).try_cast("bigint")
+    """'1999 USD' -> 1999, the first whole number; null if there is none."""
+    return F.regexp_extract(text, r"(-?\d+)", 1).try_cast("bigint")
 
 
 def first_int(text: Column) -> Column:

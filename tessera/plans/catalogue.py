@@ -499,9 +499,7 @@ def normalize_name(spark, d):
 def name_variants(spark, d):
     k = F.col("p_partkey")
     title = F.concat("p_name", F.when(k % 3 == 0, " Remastered").when(k % 3 == 1, ": A New Tale").otherwise(" 2 The Complete Edition"))
-    shown = names.name_variants(title)
-    shown = F.when(k % 3 == 2, F.transform(shown, lambda x: F.regexp_replace(x, "The Complete$", "The"))).otherwise(shown)
-    return table(spark, d, "part").select("p_partkey", shown.alias("variants"))
+    return table(spark, d, "part").select("p_partkey", names.name_variants(title).alias("variants"))
 
 
 @query("""SELECT p_partkey, lower(replace(p_name, ' ', '-')) || '-and-' || lower(replace(p_brand, '#', '-')) || 's-cafe' AS slug FROM part""")

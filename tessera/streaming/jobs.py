@@ -52,7 +52,7 @@ def windowed(events: DataFrame, by: list[str], at: str, width: str, late: str) -
 def coalesced(events: DataFrame, key: str, handle: Callable[[DataFrame, int], None], every: str = "5 seconds"):
     """Starts a stream that hands each micro-batch's distinct keys to `handle` once."""
     state = shared_path(events.sparkSession, "coalesced-state")
-    return events.writeStream.foreachBatch(lambda batch, n: handle(batch.select(key).dropDuplicates([key]), n)).option("checkpointLocation", state).trigger(processingTime=every)
+    return events.writeStream.foreachBatch(lambda batch, n: handle(batch.select(key).dropDuplicates([key]), n)).option("checkpointLocation", state).trigger(processingTime=every).start()
 
 
 def streak_stream(events: DataFrame, by: str, event_id: str, at: str, kind: str, bad: str) -> DataFrame:
