@@ -56,6 +56,7 @@ def test_no_nested_loops_in_links(spark):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = catalogue.QUERIES["facet_filter"](spark, DATA)._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(p_size,5)" in plan and "p_container" not in plan
 
