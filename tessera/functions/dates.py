@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import let
+
 UNKNOWN = ("coming soon", "tba", "to be announced", "soon", "скоро", "дата неизвестна", "demnächst", "bientôt")
 # Month names and abbreviations in English, Russian, German and French.
 MONTHS = {
@@ -27,6 +29,22 @@ def _found(date: Column, precision: str) -> Column:
     return F.when(date.isNotNull(), F.struct(date.alias("date"), F.lit(precision).alias("precision")))
 
 
+def _parts(tokens: Column, table: Column) -> Column:
+    """struct<year, month, day>: the last four-digit number, the last month name, the first number that can be a day."""
+    years = F.filter(tokens, lambda t: t.rlike(r"^\d{4}$"))
+    months = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda m: m.isNotNull())
+    days = F.filter(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d{1,2}$")), lambda t: t.cast("int")), lambda d: (d >= 1) & (d <= 31))
+    return F.struct(F.try_element_at(years, F.lit(-1)).alias("y"), F.try_element_at(months, F.lit(-1)).alias("m"), F.get(days, F.lit(0)).alias("d"))
+
+
+def _named(p: Column) -> Column:
+    written = lambda m, d: F.concat_ws("-", p["y"], F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
+    one = F.lit(1)
+    precision = F.when(p["m"].isNull(), "year").when(p["d"].isNull(), "month").otherwise("day")
+    found = F.struct(written(F.coalesce(p["m"], one), F.when(p["m"].isNull(), one).otherwise(F.coalesce(p["d"], one))).alias("date"), precision.alias("precision"))
+    return F.when(p["y"].isNotNull(), let(found, lambda x: F.when(x["date"].isNotNull(), x)))
+
+
 def parse_date(text: Column) -> Column:
     """struct<date, precision> of a date as text: ISO, unix seconds or milliseconds, quarter, year, or day, month name and year in any order.
 
@@ -45,16 +63,7 @@ def parse_date(text: Column) -> Column:
     edge = r"""^[.,;:()"'`]+|[.,;:()"'`]+$"""
     tokens = F.filter(F.transform(F.split(low, r"\s+"), lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "")
     table = F.create_map(*[F.lit(x) for month, names in MONTHS.items() for name in names for x in (name, month)])
-    years = F.filter(tokens, lambda t: t.rlike(r"^\d{4}$"))
-    months = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda m: m.isNotNull())
-    days = F.filter(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d{1,2}$")), lambda t: t.cast("int")), lambda d: (d >= 1) & (d <= 31))
-    year, month, day = F.try_element_at(years, F.lit(-1)), F.try_element_at(months, F.lit(-1)), F.get(days, F.lit(0))
-    written = lambda m, d: F.concat_ws("-", year, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
-    named = (
-        F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), _found(written(month, day), "day"))
-        .when(year.isNotNull() & month.isNotNull(), _found(written(month, F.lit(1)), "month"))
-        .when(year.isNotNull(), _found(written(F.lit(1), F.lit(1)), "year"))
-    )
+    named = let(tokens, lambda t: let(_parts(t, table), _named))
     nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("precision"))
     ladder = F.coalesce(_found(unix, "day"), _found(iso, "day"), _found(quarter, "quarter"), _found(year_only, "year"), named, nothing)
     return F.when(raw.isNull() | (raw == "") | low.isin(*UNKNOWN), nothing).otherwise(ladder)

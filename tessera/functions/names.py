@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalars import let
+
 # Named entities that titles and descriptions hold.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "trade": "™", "reg": "®", "copy": "©", "hellip": "…",
@@ -65,16 +67,24 @@ def normalize_name(name: Column, *, soft: bool = False, cut_subtitle: bool = Fal
     s = F.regexp_replace(s, "[^A-Za-z0-9]+", " ")
     if soft:
         return s
-    words = F.split(s, " ")
+    return let(s, lambda t: _last_words(t, F.split(t, " "), original))
+
+
+def _last_words(s: Column, words: Column, original: Column) -> Column:
+    """The rules on last words; all look at the words before any of them is applied."""
     before, last = F.size(words) - 1, _last(words)
-    s = F.when((before > 0) & (last == "Deluxe"), _without(s, "Deluxe")).otherwise(s)
-    s = F.when((before > 3) & (last == "Player"), _without(s, "Single Player")).otherwise(s)
-    s = F.when((before > 1) & (last == "Collection"), _without(s, "Collection")).otherwise(s)
-    s = F.when((before > 1) & (last == "VR"), _without(s, " VR")).otherwise(s)
-    s = F.when((before > 3) & (_last(words, 2) == "D") & (_last(words, 3) == "A"), _without(s, " A D")).otherwise(s)
-    s = F.when(before > 2, F.regexp_replace(F.regexp_replace(s, r"(?i)\s*\S*?\s*edition$", ""), r"(?i)\bthe ", "")).otherwise(s)
-    s = F.trim(F.regexp_replace(s, " +", " "))
-    return F.when(s == "", original).otherwise(s)
+    article = (before > 3) & (_last(words, 2) == "D") & (_last(words, 3) == "A")
+    edition = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)\s*\S*?\s*edition$", ""), r"(?i)\bthe ", "")
+    cut = (
+        F.when((before > 0) & (last == "Deluxe"), _without(s, "Deluxe"))
+        .when((before > 3) & (last == "Player"), _without(s, "Single Player"))
+        .when((before > 1) & (last == "Collection"), _without(s, "Collection"))
+        .when((before > 1) & (last == "VR"), _without(s, " VR"))
+        .otherwise(s)
+    )
+    cut = F.when(article, _without(cut, " A D")).otherwise(cut)
+    tidy = lambda t: F.trim(F.regexp_replace(F.when(before > 2, edition(t)).otherwise(t), " +", " "))
+    return let(let(cut, tidy), lambda t: F.when(t == "", original).otherwise(t))
 
 
 def strip_articles(c: Column) -> Column:
@@ -92,16 +102,14 @@ def strip_suffixes(c: Column) -> Column:
 
 def name_variants(name: Column) -> Column:
     """Up to four different titles (case aside) to search a review site for, most specific first."""
-    a = normalize_name(name)
-    b = strip_articles(a)
-    c = strip_suffixes(b)
     raw = F.coalesce(name.cast("string"), F.lit(""))
     head = F.trim(F.split(raw, r"\s+[-–—]\s+|:", 2)[0])
     has_tail = raw.rlike(r"\s+[-–—]\s+|:") & ((F.length(head) >= 4) | (F.size(F.split(head, r"\s+")) >= 2))
     d = F.when(has_tail, strip_suffixes(strip_articles(normalize_name(head))))
-    every = F.filter(F.transform(F.array(a, b, c, d), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    lowered = F.transform(every, lambda x: F.lower(x))
-    return F.slice(F.filter(every, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1), 1, 4)
+    ladder = let(normalize_name(name), lambda a: let(strip_articles(a), lambda b: F.array(a, b, strip_suffixes(b), d)))
+    every = F.filter(F.transform(ladder, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    first = lambda e: F.filter(e, lambda x, i: F.array_position(F.transform(e, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    return F.slice(let(every, first), 1, 4)
 
 
 def is_demo(name: Column) -> Column:

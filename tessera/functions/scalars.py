@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 PRECISION_RANK = {"day": 4, "month": 3, "quarter": 2, "year": 1, "unknown": 0}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it; chains of conditions would otherwise copy it each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     """Null or the empty string."""
     return c.isNull() | (c.cast("string") == "")
@@ -34,11 +39,14 @@ def filled(c: Column) -> Column:
 
 def round_away(c: Column) -> Column:
     """Nearest whole number, halves away from zero; 0 for null and for what is not finite."""
-    c = c.cast("double")
-    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    low = F.floor(F.abs(c))
-    whole = low + F.when(F.abs(c) - low >= 0.5, 1).otherwise(0)
-    return F.when(finite, F.when(c < 0, -whole).otherwise(whole)).otherwise(F.lit(0)).cast("bigint")
+
+    def rounded(x: Column) -> Column:
+        low = F.floor(F.abs(x))
+        whole = low + F.when(F.abs(x) - low >= 0.5, 1).otherwise(0)
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        return F.when(finite, F.when(x < 0, -whole).otherwise(whole)).otherwise(F.lit(0)).cast("bigint")
+
+    return let(c.cast("double"), rounded)
 
 
 def round_up_half(c: Column, digits: int = 0) -> Column:

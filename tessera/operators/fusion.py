@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import age_years, empty_list, empty_number, filled, hours, precision_rank, round_away, slot, whole_months
+from tessera.functions.scalars import age_years, empty_list, empty_number, filled, hours, let, precision_rank, round_away, slot, whole_months
 
 # Weights of the composite scores.
 MISSING_PENALTY = {"steam": 4, "igdb": 2, "igdb_users": 2, "critics": 4, "users": 4, "gamerankings": 2, "gamefaqs": 2}
@@ -51,20 +51,28 @@ def composite_score(ratings: dict[str, Column], stars: Column, owners: Column, r
     """0..100.  Mean of the ratings that are there (five stars count as 100), one alone unrounded; from 50 on less the penalties for missing ratings,
     rare ownership, age and the genre indie.  votes: then the mean is weighted by the logarithm of the votes."""
     every = {**{k: filled(v).cast("double") for k, v in ratings.items()}, "gamefaqs": filled(stars).cast("double") * 20}
-    here = F.array_compact(F.array(*every.values()))
-    n = F.size(here)
-    penalty = sum((F.when(v.isNull(), MISSING_PENALTY[k]).otherwise(0) for k, v in every.items()), F.lit(0))
-    penalty = penalty + F.when(empty_number(owners), 0).otherwise(slot(owners.cast("bigint"), OWNER_PENALTY, 0))
-    years = age_years(released, now)
+    def summed(r: Column) -> Column:
+        v = {k: r[k] for k in every}
+        mean = weighted_mean(v, votes) if votes is not None else sum((F.coalesce(x, F.lit(0.0)) for x in v.values()), F.lit(0.0)) / F.nullif(sum((x.isNotNull().cast("int") for x in v.values()), F.lit(0)), F.lit(0))
+        missing = sum((F.when(x.isNull(), MISSING_PENALTY[k]).otherwise(0) for k, x in v.items()), F.lit(0))
+        return F.struct(sum((x.isNotNull().cast("int") for x in v.values()), F.lit(0)).alias("n"), mean.alias("mean"), F.coalesce(*v.values()).alias("one"), missing.alias("missing"))
+
+    penalty = F.when(empty_number(owners), 0).otherwise(slot(owners.cast("bigint"), OWNER_PENALTY, 0))
+    penalty = penalty + let(age_years(released, now), _age_penalty)
+    penalty = penalty + F.when(F.exists(genres, lambda g: F.lower(g).contains("indie")), INDIE_PENALTY).otherwise(0)
+
+    def scored(x: Column) -> Column:
+        score = F.when(x["n"] == 0, 0.0).when(x["n"] == 1, x["one"]).otherwise(round_away(x["mean"]).cast("double"))
+        return let(score, lambda s: F.least(F.greatest(F.when(s >= 50, s - x["missing"] - penalty).otherwise(s), F.lit(0.0)), F.lit(100.0)))
+
+    return let(let(F.struct(*[v.alias(k) for k, v in every.items()]), summed), scored)
+
+
+def _age_penalty(years: Column) -> Column:
     aged = F.when(years.isNull(), AGE_ELSE)
     for most, points in AGE_PENALTY:
         aged = aged.when(years <= most, points)
-    penalty = penalty + aged.otherwise(AGE_ELSE)
-    penalty = penalty + F.when(F.exists(genres, lambda g: F.lower(g).contains("indie")), INDIE_PENALTY).otherwise(0)
-    mean = weighted_mean(every, votes) if votes is not None else F.aggregate(here, F.lit(0.0), lambda s, x: s + x) / n
-    score = F.when(n == 0, 0.0).when(n == 1, F.get(here, F.lit(0))).otherwise(round_away(mean).cast("double"))
-    score = F.when(score >= 50, score - penalty).otherwise(score)
-    return F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
+    return aged.otherwise(AGE_ELSE)
 
 
 def weighted_mean(ratings: dict[str, Column], votes: dict[str, Column]) -> Column:

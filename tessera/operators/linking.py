@@ -15,12 +15,17 @@ def tokens(key: Column, least: int = 4) -> Column:
     return F.when(F.size(long) > 0, long).otherwise(words)
 
 
-def block(targets: DataFrame, candidates: DataFrame, *, target_id: str, candidate_id: str, key: str = "key", least: int = 4, rare: int | None = None) -> DataFrame:
+def block(targets: DataFrame, candidates: DataFrame, *, target_id: str, candidate_id: str, key: str = "key", least: int = 4, rare: int | None = None, year: str | None = None, tolerance: int = 1) -> DataFrame:
     """Pairs that share a word: an equi-join on words, no theta join.  Both sides hold their id, `key` and what else they need.
 
+    year: pairs must also have years at most `tolerance` apart, as part of the join key; rows without a year find none then.
     rare: only a target's so many rarest words (by the candidates that hold them) are used; without it none is left out."""
-    held = candidates.select(F.col(candidate_id).alias("__c"), F.explode(tokens(F.col(key), least)).alias("__w"))
-    asked = targets.select(F.col(target_id).alias("__t"), F.explode(tokens(F.col(key), least)).alias("__w"))
+    words = tokens(F.col(key), least)
+    dated = lambda years: F.flatten(F.transform(words, lambda w: F.transform(years, lambda y: F.concat_ws(":", w, y.cast("string"))))) if year else words
+    known = lambda df: df.where(F.col(year).isNotNull()) if year else df
+    span = F.sequence(F.col(year) - tolerance, F.col(year) + tolerance) if year else None
+    held = known(candidates).select(F.col(candidate_id).alias("__c"), F.explode(dated(F.array(F.col(year)) if year else None)).alias("__w"))
+    asked = known(targets).select(F.col(target_id).alias("__t"), F.explode(dated(span)).alias("__w"))
     if rare is not None:
         often = held.groupBy("__w").agg(F.count("*").alias("__n"))
         turn = Window.partitionBy("__t").orderBy("__n", "__w")

@@ -539,7 +539,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY confidence DESC, sim
 SELECT t AS p_partkey, c AS match_id, CAST(confidence AS INTEGER) AS confidence FROM o WHERE turn = 1""")
 def fuzzy_link(spark, d):
     p, copies = _linked(spark, d)
-    pairs = linking.block(p, copies, target_id="p_partkey", candidate_id="c_id")
+    pairs = linking.block(p, copies, target_id="p_partkey", candidate_id="c_id", year="year")
     near = lambda a, b: (100 - F.levenshtein(a, b)).cast("double")
     scored = linking.scored_pairs(p, copies, pairs, target_id="p_partkey", candidate_id="c_id", score=near, within=1)
     return linking.decide_times(scored, target_id="p_partkey", candidate_id="c_id")
