@@ -15,8 +15,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     """Lines of at least min_words words with their place and two hashes of the line."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    words = rows.withColumn("words", F.split("line", " "))
-    return words.where(F.size("words") >= min_words).select("id", "row", "line_no", "words", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    words = rows.withColumn("n_words", spaces + 1)
+    return words.where(F.col("n_words") >= min_words).select("id", "row", "line_no", "line", "n_words", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def _place() -> Column:
@@ -31,10 +32,10 @@ def _halves() -> Column:
     """
 
     def ends(q: Column) -> list[Column]:
-        head, tail = F.slice("words", F.lit(1), q), F.slice("words", F.size("words") - q + 1, q)
+        head, tail = (F.call_function("substring_index", F.col("line"), F.lit(" "), n) for n in (q, -q))
         return [F.xxhash64(F.lit(0), q, head), F.xxhash64(F.lit(1), q, tail)]
 
-    long, short = F.floor(F.size("words") / 2).cast("int"), F.floor((F.size("words") - 1) / 2).cast("int")
+    long, short = F.floor(F.col("n_words") / 2).cast("int"), F.floor((F.col("n_words") - 1) / 2).cast("int")
     return F.when(long == short, F.array(*ends(long))).otherwise(F.array(*ends(long), *ends(short)))
 
 
@@ -96,7 +97,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     close = halves.join(shared, "key").select(*LINE_KEY).distinct()
     close = settled(lines.join(close, LINE_KEY).select(*LINE_KEY, "first"), "close")
-    texts = seen.join(close, LINE_KEY).where(_place() == F.col("first")).select(*LINE_KEY, "first", "words").dropDuplicates(LINE_KEY)
+    texts = seen.select(*LINE_KEY, "id", "row", "line_no", "line").join(close, LINE_KEY).where(_place() == F.col("first")).select(*LINE_KEY, "first", F.split("line", " ").alias("words")).dropDuplicates(LINE_KEY)
     near = settled(near_lines(settled(texts, "candidates")).groupBy(*LINE_KEY).agg(F.min("near").alias("near")), "near")
 
     marked = lines.select(*LINE_KEY, "first", "n").join(near, LINE_KEY, "left").select(*LINE_KEY, F.coalesce(F.least("first", "near"), "first").alias("kept"), (F.col("n") > 1) .alias("again"), (F.col("near") < F.col("first")).alias("late"))
