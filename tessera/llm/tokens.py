@@ -8,7 +8,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 450_000
 _LONGEST = 64  # longer words are not kept
 
 # Characters for which lower-casing, NFC and the letter, digit and white-space classes are the same in every library.
@@ -65,7 +65,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new words in one go; the last id of each word is one that ends words."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             codes = (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
