@@ -175,74 +175,27 @@ def swap_number(text: str) -> str:
     return re.sub(r"(?<=\s)[0-9]{1,2}", lambda m: to_roman(int(m[0])) or m[0], text)
 
 
-_FRONT = set("EIY")
-# One rule for each letter: (what must follow or precede, code, letters used); the first that fits counts.
-_SINGLE = dict(zip("FJKLMNRQVZ", "FJKLMNRKFS"))
+# Sounds of a word's letters, tried in this order at each place; "=" stands for the letters themselves.
+_SOUNDS = (
+    ("^WH", "W"), ("(?<=(?P<twin>[ABD-Z]))(?P=twin)", ""), ("^[AEIOU]", "="), ("[AEIOU]", ""), ("(?<=M)B$", ""), ("[BFJKLMNR]", "="),
+    ("C(?=IA)|CH", "X"), ("(?<=S)C(?=[EIY])", ""), ("C(?=[EIY])", "S"), ("CK?", "K"), ("DG(?=[EIY])", "J"), ("D", "T"),
+    ("GH", "F"), ("^G(?=N)|G(?=N$)", ""), ("G(?=[EIY])", "J"), ("G", "K"), ("(?<=[AEIOU])H(?![AEIOU])", ""), ("H", "H"), ("PH", "F"), ("P", "P"),
+    ("Q", "K"), ("SC(?=[EIY])", "S"), ("SH|S(?=I[AO])", "X"), ("S", "S"), ("T(?=I[AO])", "X"), ("T(?=CH)", ""), ("TH", "0"), ("T", "T"),
+    ("V", "F"), ("[WY](?=[AEIOU])", "="), ("[WY]", ""), ("^X", "S"), ("X", "KS"), ("Z", "S"),
+)
+_SOUND = re.compile("|".join(f"(?P<s{i}>{pattern})" for i, (pattern, _) in enumerate(_SOUNDS)))
+_CODES = {f"s{i}": code for i, (_, code) in enumerate(_SOUNDS)}
 
 
 def metaphone(text: str | None) -> str:
     """Phonetic key of a word."""
-    w = re.sub("[^A-Z]", "", (text or "").upper())
-    if w[:2] in ("AE", "GN", "KN", "PN", "WR"):
-        w = w[1:]
-    out, i = ("W", 2) if w[:2] == "WH" else ("", 0)
-    at = lambda k: w[k] if 0 <= k < len(w) else ""
-    vowel = lambda c: c != "" and c in "AEIOU"
-    while i < len(w):
-        c, before, after, then = w[i], at(i - 1), at(i + 1), at(i + 2)
-        code, used = "", 1
-        if c == before and c != "C":
-            pass
-        elif vowel(c):
-            code = c if i == 0 else ""
-        elif c in _SINGLE:
-            code = _SINGLE[c]
-        elif c == "B":
-            code = "" if before == "M" and after == "" else "B"
-        elif c == "C":
-            if after == "I" and then == "A":
-                code = "X"
-            elif after == "H":
-                code, used = "X", 2
-            elif after in _FRONT:
-                code = "" if before == "S" else "S"
-            else:
-                code, used = "K", 2 if after == "K" else 1
-        elif c == "D":
-            code, used = ("J", 2) if after == "G" and then in _FRONT else ("T", 1)
-        elif c == "G":
-            if after == "H":
-                code, used = "F", 2
-            elif after == "N" and (i == 0 or then == ""):
-                code = ""
-            else:
-                code = "J" if after in _FRONT else "K"
-        elif c == "H":
-            code = "" if vowel(before) and not vowel(after) else "H"
-        elif c == "P":
-            code, used = ("F", 2) if after == "H" else ("P", 1)
-        elif c == "S":
-            if after == "C" and then in _FRONT:
-                code, used = "S", 2
-            elif after == "H":
-                code, used = "X", 2
-            else:
-                code = "X" if after == "I" and then in ("O", "A") else "S"
-        elif c == "T":
-            if after == "I" and then in ("O", "A"):
-                code = "X"
-            elif after == "C" and then == "H":
-                code = ""
-            elif after == "H":
-                code, used = "0", 2
-            else:
-                code = "T"
-        elif c in "WY":
-            code = c if vowel(after) else ""
-        elif c == "X":
-            code = "S" if i == 0 else "KS"
-        out, i = out + code, i + used
-    return out
+    word = re.sub("[^A-Z]", "", (text or "").upper())
+    word = re.sub("^(?:A(?=E)|[GKP](?=N)|W(?=R))", "", word)
+    out = []
+    for m in _SOUND.finditer(word):
+        code = _CODES[next(k for k, v in m.groupdict().items() if v is not None and k != "twin")]
+        out.append(m[0] if code == "=" else code)
+    return "".join(out)
 
 
 def phoneme(text: str | None) -> str:
@@ -251,30 +204,35 @@ def phoneme(text: str | None) -> str:
     return " ".join(sorted(w if re.fullmatch(r"[+-]?\d*\.?\d+", w) else metaphone(w) for w in words)).strip()
 
 
+def _common_runs(a: str, b: str) -> list[list[int]]:
+    """At [i][j] the length of the common stretch that begins at a[i] and b[j]."""
+    rows = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below = rows[-1]
+        rows.append([below[j + 1] + 1 if x == y else 0 for j, y in enumerate(b)] + [0])
+    return rows[:0:-1]
+
+
 def common_chars(a: str, b: str) -> int:
     """Characters in the longest common stretch and, left and right of it, in the stretches found likewise.
 
-    The left side counts only if the longest stretch was not the first one met.
+    The left side counts only if a shorter stretch was met before the longest.
     """
     total, work = 0, [(a, b)]
     while work:
         a, b = work.pop()
-        best, where, met = 0, (0, 0), 0
-        for i in range(len(a)):
-            for j in range(len(b)):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                    n += 1
-                if n > best:
-                    best, where, met = n, (i, j), met + 1
-        if not best:
-            continue
-        total += best
-        i, j = where
-        if met > 1 and i and j:
-            work.append((a[:i], b[:j]))
-        if i + best < len(a) and j + best < len(b):
-            work.append((a[i + best :], b[j + best :]))
+        best, at, rises = 0, (0, 0), 0
+        for i, row in enumerate(_common_runs(a, b)):
+            while max(row) > best:
+                j = next(j for j, n in enumerate(row) if n > best)
+                best, at, rises = row[j], (i, j), rises + 1
+        if best:
+            total += best
+            (i, j), sides = at, []
+            if rises > 1:
+                sides.append((a[:i], b[:j]))
+            sides.append((a[i + best :], b[j + best :]))
+            work += [pair for pair in sides if all(pair)]
     return total
 
 
