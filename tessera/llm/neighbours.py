@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from tessera.llm.lineage import settled
 
 DEGREE = 24
-ROUNDS = 4
+SETTLED_SHARE = 0.001
 CELLS_EACH = 3
 CELL_ROWS = 256
 MAX_PIVOTS = 1024
-NEW_EACH = 12
+SPLIT = 16
 BEAM = 96
-HOPS = 3
 
 
 def usable(vector: Column) -> Column:
@@ -63,8 +62,44 @@ def _cells(pivots: np.ndarray, each: int):
     return run
 
 
+def _nearest_pivot(batches):
+    """The cell's pivot (their codes are in `pivots`, equally many in each row) that is nearest to each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            x = _unit(part.column("code").to_pylist())
+            pivots = _unit([p for row in part.column("pivots").to_pylist() for p in row]).reshape(len(x), -1, x.shape[1])
+            best = np.einsum("ij,ikj->ik", x, pivots).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("code"), part.column("cell"), pa.array(best, pa.int32())], names=["node", "code", "cell", "sub"])
+
+
+def _split_cells(placed: DataFrame, seed: int) -> DataFrame:
+    """Rows (node, code, cell) with every cell of more than 2 * CELL_ROWS rows split by SPLIT pivots of its own, level by level.
+
+    It ends when no cell is larger, or when pivots part the large ones no further (codes that are all alike).
+    """
+    done, level = None, 0
+    while True:
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
+        large = settled(sizes.where(F.col("n") > 2 * CELL_ROWS), "large")
+        small = placed.join(large, "cell", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        before = large.agg(F.max("n")).first()[0]
+        if before is None:
+            return done
+        rows = placed.join(large.select("cell"), "cell", "left_semi")
+        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + level), "node"), "node")
+        pivots = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= SPLIT).groupBy("cell").agg(F.collect_list("code").alias("pivots"))
+        parted = rows.join(pivots, "cell").select("node", "code", "cell", "pivots").mapInArrow(_nearest_pivot, "node bigint, code binary, cell bigint, sub int")
+        placed = settled(parted.select("node", "code", F.xxhash64("cell", "sub").alias("cell")), "cells")
+        level += 1
+        after = placed.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if after == before:
+            return done.unionByName(placed)
+
+
 def _within(most: int):
-    """From groups of (node, code, low): for each member its `most` best others above its bound `low`."""
+    """From groups of (node, code, low, new): for each member its `most` best others above its bound `low`, of pairs with a new member."""
 
     def run(batches):
         for batch in batches:
@@ -76,12 +111,14 @@ def _within(most: int):
                 order = np.argsort(node, kind="stable")
                 node = node[order]
                 low = members.field("low").to_numpy()[order]
+                old = ~members.field("new").to_numpy(zero_copy_only=False)[order]
                 x = _unit(members.field("code").to_pylist())[order]
                 found = ([], [], [])
                 for at in range(0, len(node), 1024):
                     sims = x[at : at + 1024] @ x.T
                     rows = np.arange(len(sims))
-                    sims[rows, rows + at] = -2
+                    sims[np.ix_(old[at : at + 1024], old)] = -3
+                    sims[rows, rows + at] = -3
                     m = min(most, len(node) - 1)
                     best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                     value = np.take_along_axis(sims, best, axis=1)
@@ -105,33 +142,47 @@ def _merged(edges: DataFrame, degree: int) -> DataFrame:
     return settled(_top(edges.groupBy("node", "other").agg(F.max("sim").alias("sim")), "node", degree, "other"), "graph")
 
 
-def build_graph(nodes: DataFrame, *, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def build_graph(nodes: DataFrame, *, degree: int = DEGREE, rounds: int | None = None, seed: int = 7) -> DataFrame:
     """Edges (node, other, sim) to about the `degree` nearest others of each node; nodes: (node, code), settled.
 
-    The first graph joins nodes that share one of their nearest pivots (at most MAX_PIVOTS sampled nodes; large cells are split by hash).
+    The first graph joins nodes that share one of their nearest pivots (at most MAX_PIVOTS sampled nodes); large cells are split by pivots of
+    their own, level by level, so cells keep their size however many rows there are.
     Each round then compares, around every node, its neighbours and up to `degree` of those it is a neighbour of with each other, and keeps what is
-    nearer than a node's furthest neighbour so far.
+    nearer than a node's furthest neighbour so far; pairs that met around that node before are left out.  Rounds go on until at most SETTLED_SHARE
+    of the edges are new (or for `rounds`, if given).
     """
     n = nodes.count()
     count = int(min(MAX_PIVOTS, max(1, n // (CELL_ROWS // 2))))
     chosen = [r["code"] for r in nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(count).select("code").collect()]
     if not chosen:
         return nodes.sparkSession.createDataFrame([], _EDGE)
-    placed = settled(nodes.mapInArrow(_cells(_unit(chosen), min(CELLS_EACH, count)), "node bigint, code binary, cell int"), "cells")
-    parts = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).alias("parts")))  # at most MAX_PIVOTS rows
+    placed = settled(nodes.mapInArrow(_cells(_unit(chosen), min(CELLS_EACH, count)), "node bigint, code binary, cell int").withColumn("cell", F.col("cell").cast("bigint")), "cells")
+    placed = settled(_split_cells(placed, seed), "cells")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).alias("parts"))  # above 1 only for cells of like codes
     placed = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "cell", "node"), F.col("parts")))
-    member = F.struct("node", "code", F.lit(-2.0).cast("float").alias("low"))
+    member = F.struct("node", "code", F.lit(-2.0).cast("float").alias("low"), F.lit(True).alias("new"))
     edges = placed.groupBy("cell", "part").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(_within(degree), _EDGE)
     edges = _merged(edges, degree)
-    for _ in range(rounds):
+    met, turn = None, 0
+    while rounds is None or turn < rounds:
         known = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
         known = known.select(F.col("node").alias("u"), F.when(F.col("n") >= degree, F.col("worst")).otherwise(-2.0).cast("float").alias("low"))
         back = _top(edges, "other", degree, "node").select(F.col("other").alias("v"), F.col("node").alias("u"))
         around = edges.select(F.col("node").alias("v"), F.col("other").alias("u")).unionByName(back).distinct()
+        if met is None:
+            around = around.withColumn("new", F.lit(True))
+        else:
+            around = around.join(met.select("v", "u", F.lit(True).alias("seen")), ["v", "u"], "left").select("v", "u", F.col("seen").isNull().alias("new"))
+        around = settled(around, "around")
+        moved = around.join(around.where("new").select("v").distinct(), "v", "left_semi")
         full = nodes.join(known, nodes["node"] == known["u"]).select("u", "code", "low")
-        groups = around.join(full, "u").groupBy("v").agg(F.collect_list(F.struct(F.col("u").alias("node"), "code", "low")).alias("members"))
-        found = groups.select("members").mapInArrow(_within(NEW_EACH), _EDGE)
-        edges = _merged(edges.unionByName(found), degree)
+        groups = moved.join(full, "u").groupBy("v").agg(F.collect_list(F.struct(F.col("u").alias("node"), "code", "low", "new")).alias("members"))
+        found = groups.select("members").mapInArrow(_within(degree), _EDGE)
+        better = _merged(edges.unionByName(found), degree)
+        changed = better.join(edges, ["node", "other"], "left_anti").count()
+        edges, met, turn = better, around, turn + 1
+        if changed <= SETTLED_SHARE * n * degree:
+            break
     return edges
 
 
@@ -141,8 +192,9 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("other"), pa.array(np.einsum("ij,ij->i", a, b).astype(np.float32))], names=["query", "other", "sim"])
 
 
-def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam: int = BEAM, hops: int = HOPS, degree: int = DEGREE) -> DataFrame:
-    """Greedy search: from each query's node, step by step to the neighbours (either way) of the `beam` nearest nodes found so far.
+def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam: int = BEAM, hops: int | None = None, degree: int = DEGREE) -> DataFrame:
+    """Greedy search: from each query's node, step by step to the neighbours (either way) of the `beam` nearest nodes found so far,
+    until all of these have been expanded (or for `hops` steps, if given).
 
     queries: (query), nodes that are searched for; gives (query, other, sim), at most `beam` rows for each.
     """
@@ -150,7 +202,9 @@ def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam
     wanted = queries.join(nodes, queries["query"] == nodes["node"]).select("query", F.col("code").alias("qcode"))
     held = edges.join(queries, edges["node"] == queries["query"]).select("query", "other", "sim", F.lit(False).alias("done"))
     held = settled(held, "beam")
-    for _ in range(hops):
+    step = 0
+    while (hops is None or step < hops) and not held.where("NOT done").isEmpty():
+        step += 1
         fresh = held.where("NOT done").join(both, held["other"] == both["node"]).select("query", both["other"].alias("other")).where("query <> other").distinct()
         fresh = fresh.join(held.select("query", "other"), ["query", "other"], "left_anti")
         scored = fresh.join(wanted, "query").join(nodes, fresh["other"] == nodes["node"]).select("query", "other", "qcode", "code").mapInArrow(_measured, "query bigint, other bigint, sim float")
@@ -179,7 +233,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     asked = settled(rows.where("asked").select("id", "v").distinct().join(groups.select("v", "node"), "v").select(F.col("id").alias("query_id"), F.col("node").alias("query")), "asked")
     wanted = asked.select("query").distinct()
     degree = options.pop("degree", DEGREE)
-    edges = build_graph(nodes, degree=degree, rounds=options.pop("rounds", ROUNDS))
+    options.setdefault("beam", max(BEAM, int(2 * nodes.count() ** 0.5)))  # a fixed beam loses neighbours as the rows grow
+    edges = build_graph(nodes, degree=degree, rounds=options.pop("rounds", None))
     found = search_graph(edges, nodes, wanted, degree=degree, **options).select("query", "other")
     found = found.unionByName(wanted.select("query", F.col("query").alias("other")))
     mine, theirs = groups.select(F.col("node").alias("query"), F.col("v").alias("qv")), groups.select(F.col("node").alias("other"), "v", "ids")

@@ -130,6 +130,30 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_search_goes_on_until_the_beam_is_expanded(spark):
+    angles = np.pi * np.arange(12) / 12
+    codes = [(i, bytearray(np.rint(127 * np.array([np.cos(a), np.sin(a)])).astype(np.int8).tobytes())) for i, a in enumerate(angles)]
+    nodes = spark.createDataFrame(codes, "node bigint, code binary")
+    chain = spark.createDataFrame([(i, i + 1, 0.9) for i in range(11)], "node bigint, other bigint, sim float")
+    found = neighbours.search_graph(chain, nodes, spark.createDataFrame([(0,)], "query bigint"))
+    assert {r["other"] for r in found.collect()} == set(range(1, 12))
+
+
+def test_large_cells_are_split_by_nearness(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 16))
+    x = np.repeat(centres, 60, axis=0) + 0.01 * rng.normal(size=(480, 16))
+    codes = [(i, bytearray(np.rint(v / np.abs(v).max() * 127).astype(np.int8).tobytes()), 0) for i, v in enumerate(x)]
+    rows = neighbours._split_cells(spark.createDataFrame(codes, "node bigint, code binary, cell bigint"), 7).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault(r["cell"], []).append(r["node"])
+    assert sorted(r["node"] for r in rows) == list(range(480)) and max(map(len, cells.values())) <= 64
+    alike = spark.createDataFrame([(i, codes[0][1], 0) for i in range(100)], "node bigint, code binary, cell bigint")
+    assert neighbours._split_cells(alike, 7).count() == 100
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
