@@ -11,13 +11,13 @@ MIN_WORDS = 5
 LINE_KEY = ["h", "g"]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Lines of at least min_words words with their place and two hashes of the line."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, short_repeats: bool) -> DataFrame:
+    """Lines of at least min_words words, or with short_repeats all that are not empty, with their place and two hashes of the line."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     words = rows.withColumn("n_words", spaces + 1)
-    return words.where(F.col("n_words") >= min_words).select("id", "row", "line_no", "line", "n_words", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    return words.where(F.col("line") != "" if short_repeats else F.col("n_words") >= min_words).select("id", "row", "line_no", "line", "n_words", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def _place() -> Column:
@@ -83,15 +83,16 @@ def near_lines(candidates: DataFrame) -> DataFrame:
     return pairs.where(within_one_edit(F.col("words"), F.col("words2"))).select("h", "g", F.col("other.first").alias("near"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
     """Rows (id, row, dropped): for each document with repeated lines, the numbers (from 0) of the lines that go; `row` is the text's 64-bit hash.
 
     Lines are parted by line feeds, words by single spaces.  Of lines with at least min_words words, one goes if a line earlier in the order
     (id, null last; text hash; number) is equal or at most one inserted, deleted or replaced word away (so their similarity is 0.8 or more);
-    shorter lines stay.  Null texts have no lines.  Rows equal in id and text count as one document: none is earlier than the other.
+    shorter lines stay, but for short_repeats, which drops equal repeats of every line that is not empty.  Null texts have no lines.  Rows equal in id and text count as one document: none is earlier than the other.
     """
-    seen = _lines(docs, id_col, text_col, min_words)
-    lines = settled(seen.select(*LINE_KEY, _place().alias("place"), _halves().alias("halves")).groupBy(*LINE_KEY).agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
+    seen = _lines(docs, id_col, text_col, min_words, short_repeats)
+    halves = F.when(F.col("n_words") >= min_words, _halves()) if short_repeats else _halves()
+    lines = settled(seen.select(*LINE_KEY, _place().alias("place"), halves.alias("halves")).groupBy(*LINE_KEY).agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
 
     halves = lines.select(*LINE_KEY, F.explode(F.array_distinct("halves")).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -122,12 +123,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(id_col, "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, length_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False, length_col: str | None = None) -> DataFrame:
     """The documents, all columns kept, without their repeated lines (see repeated_lines); no document goes, texts may become empty.
 
     length_col, if given, is set to the new length of changed texts.
     """
-    gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words), "dropped")
+    gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words, short_repeats=short_repeats), "dropped")
     text = F.col(text_col).cast("string")
     out = _row_joined(docs, gone, id_col, F.xxhash64(text))
     left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")

@@ -141,6 +141,14 @@ def test_line_dedup_equals_brute_force(spark):
         assert left[i]["text"] == want and left[i]["n_chars"] == (None if t is None else len(want))
 
 
+def test_pipeline_drops_repeats_of_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Of, edti oner.\n\none two three four five"), (2, "Of, edti oner.\nOf, edti one.\n\none two three four six"), (3, "x" * 99), (4, "x" * 99 + "\n")]
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    assert left == {1: rows[0][1], 2: "Of, edti one.\n", 3: rows[2][1], 4: ""}
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = line_dedup.line_report(frame(spark, [(1, "a b c d e")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
