@@ -77,19 +77,21 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """Records in order, and a Gap for each stretch of bytes that is skipped.
 
     After a failed check the next place is sought where a gzip member or a version line begins and a whole record passes its checks; all
-    bytes up to there are one quarantined gap.  Compressed and plain records may be mixed.
+    bytes up to there are one quarantined gap.  Compressed and plain records may be mixed.  A gzip member may hold several records: all have
+    its offset, and from a damaged member those at its start that were decompressed whole are read before its bytes count as a gap.
     """
     at, bad, reason = 0, None, ""
     view = memoryview(data)
     while at < len(data):
         try:
             if data[at : at + 3] == _MEMBER:
-                raw, end = _window_member(view, at)
-                headers, payload, used = _parse(raw)
-                if used != len(raw):
-                    raise ValueError("more than one record in a member")
+                raw, end, error = _window_member(view, at)
+                found, error = _member_records(raw, at, error)
             else:
                 headers, payload, end = _parse(data, at)
+                found, error = [Record(at, headers, payload)], ""
+            if error and not found:
+                raise ValueError(error)
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
@@ -99,8 +101,13 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
-        yield Record(at, headers, payload)
-        at = end
+        yield from found
+        if error:
+            bad, reason = at, error
+            places = [p for p in (data.find(_MEMBER, at + 1), _next_version(data, at + 1)) if p >= 0]
+            at = min(places, default=len(data))
+        else:
+            at = end
     if bad is not None:
         yield Gap(bad, len(data), reason)
 
@@ -110,18 +117,31 @@ def _next_version(data: bytes, at: int) -> int:
     return found.start() if found else -1
 
 
-def _window_member(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """One gzip member, fed piece by piece, so that a long archive is not copied for each record."""
+def _member_records(raw: bytes, at: int, error: str) -> tuple[list[Record], str]:
+    """The whole records of a decompressed member, in turn up to the first that fails, and what is wrong with the rest (empty: nothing)."""
+    found, place = [], 0
+    while place < len(raw) or not (found or error):
+        try:
+            headers, payload, place = _parse(raw, place)
+        except ValueError as e:
+            return found, error or str(e)
+        found.append(Record(at, headers, payload))
+    return found, error
+
+
+def _window_member(view: memoryview, at: int, step: int = 1 << 10) -> tuple[bytes, int, str]:
+    """One gzip member as far as it can be read, its end, and the error that stopped it (or empty); fed piece by piece, so that a long archive
+    is not copied for each record."""
     unpack, out, end = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof and end < len(view):
             out.append(unpack.decompress(view[end : end + step]))
             end += step
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from e
+        return b"".join(out), end, f"gzip: {e}"
     if not unpack.eof:
-        raise ValueError("gzip member is cut")
-    return b"".join(out), min(end, len(view)) - len(unpack.unused_data)
+        return b"".join(out), end, "gzip member is cut"
+    return b"".join(out), min(end, len(view)) - len(unpack.unused_data), ""
 
 
 def _archiver(limit: int):

@@ -1,5 +1,6 @@
 """Archives, audio and nearest neighbours."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -38,6 +39,16 @@ def test_salvage_recovers_later_records_and_logs_gaps():
     assert len(list(warc.read_archive(false + false))) == 2
 
 
+def test_members_of_several_records():
+    rng = random.Random(5)
+    parts = [record(i, bytes(rng.randrange(256) for _ in range(3000)), False) for i in range(12)]
+    member = gzip.compress(b"".join(parts), mtime=0)
+    assert [x.headers["X-Page-Id"] for x in warc.read_archive(member)] == [str(i) for i in range(12)]
+    cut = list(warc.read_archive(member[: len(member) // 2] + record(99, b"y")))
+    ids = [x.headers["X-Page-Id"] for x in cut if isinstance(x, warc.Record)]
+    assert ids[:4] == ["0", "1", "2", "3"] and ids[-1] == "99" and sum(isinstance(x, warc.Gap) for x in cut) == 1
+
+
 def test_warc_report(spark):
     long = "é" * 80
     rows = [(3, "u", long), (1, "v\nw", long), (2, None, long), (5, "x", "short"), (6, "x", "short"), (7, "y", None), (8, "y", ""), (None, "z", long), (9, "z", long + "!")]
