@@ -29,16 +29,39 @@ SUFFIXES = (
     "Director's Cut", "Directors Cut", "Enhanced Edition", "Remastered", "Remaster", "Enhanced", "Definitive", "HD", "Edition",
     "Complete", "Collection", "Free to Play", "Free-to-Play", "F2P", "Lite", "Test Server", "Playtest",
 )
+# Roman numerals.
 _ROMAN = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
+_ROMAN_WORD = "^" + "".join(f"(?:{letters})*+" for letters, _ in _ROMAN) + "$"
+
+
+def _code_point(entity: Column) -> Column:
+    """The number that '#65', '#0065' or '#x41' stands for; null for other texts.  A decimal number ends where its digits end ('#65f' is 65)."""
+    hexa = F.regexp_extract(entity, "^#x0*([0-9a-fA-F]{1,6})$", 1)
+    decimal = F.regexp_extract(entity, "^#0*([0-9]{1,7})(?:[a-fA-F][0-9a-fA-F]*)?$", 1)
+    return F.when(hexa != "", F.conv(hexa, 16, 10).cast("int")).when(decimal != "", decimal.cast("int"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; null outside Unicode and for halves of surrogate pairs, which no text can hold."""
+    held = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(held, code)), 8, "0")), "UTF-32")
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities and the numeric ones of the printable ASCII range; unknown ones stay."""
-    for name, char in ENTITIES.items():
-        c = F.regexp_replace(c, f"(?i)&{name};", char.replace("\\", "\\\\").replace("$", "\\$"))
-    for code in (34, 38, 39, 60, 62, 160, 8211, 8212, 8216, 8217, 8220, 8221, 8230, 8482):
-        c = F.regexp_replace(c, f"&#(?:0*{code}|[xX]0*(?i:{code:x}));", chr(code))
-    return c
+    """Every numeric entity and the named ones of ENTITIES (in any case) as their characters, in one pass: what an entity gives is not read again.
+
+    Unknown names and numbers that are no character stay as they are.  Texts without '&' are not taken apart.
+    """
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        entity = F.regexp_extract(part, "^(#x?[0-9a-fA-F]+|[a-zA-Z]+);", 1)
+        char = F.when(entity.startswith("#"), _character(_code_point(entity))).otherwise(F.try_element_at(named, F.lower(entity)))
+        return F.coalesce(F.concat(char, F.substring(part, F.length(entity) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
 
 
 def _without(c: Column, literal: str) -> Column:
@@ -49,8 +72,27 @@ def _last(words: Column, back: int = 1) -> Column:
     return F.try_element_at(words, F.lit(-back))
 
 
-def normalize_name(name: Column, *, soft: bool = False, cut_subtitle: bool = False) -> Column:
-    """The normal form that titles are compared in.
+def _roman_number(word: Column) -> Column:
+    """A word made only of roman letters in falling order as a number, other words as they are."""
+    pairs = [(letters, value) for letters, value in _ROMAN if len(letters) == 2]
+    count = lambda letter: F.length(word) - F.length(F.replace(word, F.lit(letter), F.lit("")))
+    total = F.lit(0)
+    for letter, value in _ROMAN:
+        if len(letter) == 1:
+            total = total + count(letter) * value
+    for letters, value in pairs:  # the smaller letter was added above
+        lone = sum(v for letter, v in _ROMAN if letter in tuple(letters))
+        total = total - F.regexp_count(word, F.lit(letters)) * (lone - value)
+    return F.when((word != "") & word.rlike(_ROMAN_WORD), total.cast("string")).otherwise(word)
+
+
+def roman_numbers(text: Column) -> Column:
+    """Words made only of roman letters as numbers (the column form of roman_words)."""
+    return F.when(text.rlike("(?:^| )[MDCLXVI]+(?: |$)"), F.array_join(F.transform(F.split(text, " "), _roman_number), " ")).otherwise(text)
+
+
+def normalize_name(name: Column, *, soft: bool = False, cut_subtitle: bool = False, roman: bool = False) -> Column:
+    """The normal form that titles are compared in; with `roman`, roman numerals as numbers.
 
     Text from the first slash on goes, '&' becomes 'and', editions, a last bracket and trade marks are cut, all else but ASCII letters and digits
     becomes single spaces.  Some last words and, in titles of over three words, 'The ' are cut.  If nothing is left, the title itself.
@@ -65,9 +107,9 @@ def normalize_name(name: Column, *, soft: bool = False, cut_subtitle: bool = Fal
     if cut_subtitle:
         s = F.trim(F.split(s, ":")[0])
     s = F.regexp_replace(s, "[^A-Za-z0-9]+", " ")
-    if soft:
-        return s
-    return let(s, lambda t: _last_words(t, F.split(t, " "), original))
+    if not soft:
+        s = let(s, lambda t: _last_words(t, F.split(t, " "), original))
+    return let(s, roman_numbers) if roman else s
 
 
 def _last_words(s: Column, words: Column, original: Column) -> Column:
@@ -156,6 +198,44 @@ def roman_words(text: str) -> str:
     return " ".join(map(number, text.split(" ")))
 
 
+_ENTITY = re.compile("&(#x?[0-9a-fA-F]+|[a-zA-Z]+);")
+
+
+def decode_text(text: str) -> str:
+    """decode_entities on one text."""
+
+    def char(m: re.Match) -> str:
+        entity = m[1]
+        if entity[0] != "#":
+            return ENTITIES.get(entity.lower(), m[0])
+        digits = re.match("[0-9]*", entity[1:])[0]
+        code = int(entity[2:], 16) if entity[1] == "x" else int(digits) if digits else -1
+        return chr(code) if 0 <= code < 0xD800 or 0xE000 <= code <= 0x10FFFF else m[0]
+
+    return _ENTITY.sub(char, text)
+
+
+def normal_form(name: str | None, *, roman: bool = False) -> str:
+    """normalize_name on one title."""
+    original = name or ""
+    s = decode_text(original).strip(" ").split("/")[0].replace("&", "and")
+    for token in EDITIONS:
+        s = s.replace(token, "")
+    s = re.sub(r"\s*\([^)]*\)[^(]*$", "", s, flags=re.ASCII).replace("™", "")
+    s = re.sub("[^A-Za-z0-9]+", " ", s)
+    *before, last = s.split(" ")
+    article = len(before) > 3 and before[-2:] == ["A", "D"]
+    for word, least, cut in (("Deluxe", 0, "Deluxe"), ("Player", 3, "Single Player"), ("Collection", 1, "Collection"), ("VR", 1, " VR")):
+        if last == word and len(before) > least:
+            s = s.replace(cut, "")
+    if article:
+        s = s.replace(" A D", "")
+    if len(before) > 2:
+        s = re.sub(r"(?i)\bthe ", "", re.sub(r"(?i)\s*\S*?\s*edition$", "", s))
+    s = re.sub(" +", " ", s).strip(" ") or original
+    return roman_words(s) if roman else s
+
+
 def to_roman(number: int) -> str:
     out = ""
     for letters, value in _ROMAN:
@@ -204,13 +284,23 @@ def phoneme(text: str | None) -> str:
     return " ".join(sorted(w if re.fullmatch(r"[+-]?\d*\.?\d+", w) else metaphone(w) for w in words)).strip()
 
 
-def _common_runs(a: str, b: str) -> list[list[int]]:
-    """At [i][j] the length of the common stretch that begins at a[i] and b[j]."""
-    rows = [[0] * (len(b) + 1)]
-    for x in reversed(a):
-        below = rows[-1]
-        rows.append([below[j + 1] + 1 if x == y else 0 for j, y in enumerate(b)] + [0])
-    return rows[:0:-1]
+def _longest_common(a: str, b: str) -> tuple[int, int, int, bool]:
+    """Length and places of the longest common stretch (the first in a, then in b), and whether a shorter one begins before it.
+
+    Rows are taken from the end of a, each from the row below it: the common stretch at (i, j) is one longer than that at (i + 1, j + 1).
+    """
+    best, at, first = 0, (0, 0), 0
+    below = [0] * (len(b) + 1)
+    for i in range(len(a) - 1, -1, -1):
+        x = a[i]
+        row = [below[j + 1] + 1 if x == y else 0 for j, y in enumerate(b)] + [0]
+        top = max(row)
+        if top:
+            first = next(filter(None, row))
+            if top >= best:
+                best, at = top, (i, row.index(top))
+        below = row
+    return best, *at, first < best
 
 
 def common_chars(a: str, b: str) -> int:
@@ -221,17 +311,12 @@ def common_chars(a: str, b: str) -> int:
     total, work = 0, [(a, b)]
     while work:
         a, b = work.pop()
-        best, at, rises = 0, (0, 0), 0
-        for i, row in enumerate(_common_runs(a, b)):
-            while max(row) > best:
-                j = next(j for j, n in enumerate(row) if n > best)
-                best, at, rises = row[j], (i, j), rises + 1
+        best, i, j, risen = _longest_common(a, b)
         if best:
             total += best
-            (i, j), sides = at, []
-            if rises > 1:
+            sides = [(a[i + best :], b[j + best :])]
+            if risen:
                 sides.append((a[:i], b[:j]))
-            sides.append((a[i + best :], b[j + best :]))
             work += [pair for pair in sides if all(pair)]
     return total
 
@@ -291,6 +376,14 @@ def spelling_key_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip().lower(), na_action="ignore")
 
 
+@F.pandas_udf(T.DoubleType())
+def _name_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    forms = {x: normal_form(x, roman=True).lower() for x in {*a, *b}}
+    return pd.Series([similar_percent(forms[x], forms[y]) for x, y in zip(a, b)], dtype=float)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """0..100: likeness of two titles in normal form with roman numerals as numbers."""
-    return similar_percent_udf(F.lower(roman_words_udf(normalize_name(a))), F.lower(roman_words_udf(normalize_name(b))))
+    """0..100: likeness of two titles in normal form with roman numerals as numbers; null counts as empty.
+
+    One UDF takes the titles as they are: a UDF fed by normalize_name's nested expressions is one that Spark can't plan."""
+    return _name_similarity_udf(a.cast("string"), b.cast("string"))

@@ -385,7 +385,7 @@ def ggp(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fusion.points(diff, k % 31, k % 101, own, k % 100000).alias("points"))
 
 
-@query("""WITH i AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS d, year(l_shipdate) * 12 + month(l_shipdate) AS m, l_linenumber FROM lineitem WHERE l_orderkey % 5 <> 0),
+@query("""WITH c0 AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_shipdate AS DATE) END AS d FROM lineitem), i AS (SELECT k, d, year(d) * 12 + month(d) AS m FROM c0 WHERE d IS NOT NULL),
 g AS (SELECT *, CASE WHEN m - lag(m) OVER (PARTITION BY k ORDER BY m, d) > 2 THEN 1 ELSE 0 END AS gap FROM i), c AS (SELECT *, sum(gap) OVER (PARTITION BY k ORDER BY m, d ROWS UNBOUNDED PRECEDING) AS cl FROM g),
 n AS (SELECT k, cl, count(*) AS n, min(d) AS first FROM c GROUP BY 1, 2), t AS (SELECT k, max(n) AS n, arg_min(first, (-n, first)) AS best, min(first) AS early, sum(n) AS all_n FROM n GROUP BY 1),
 j AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS store, n, best, early, all_n FROM orders LEFT JOIN t ON o_orderkey = k),
@@ -395,8 +395,9 @@ SELECT k AS item_id, CASE WHEN n IS NULL THEN store WHEN n >= 2 THEN best WHEN s
  coalesce(n < 2 AND store IS NOT NULL AND NOT old AND all_n > 1, false) AS conflict, store AS store_date FROM w WHERE n IS NOT NULL OR store IS NOT NULL""")
 def release_cluster(spark, d):
     day = F.lit("day").alias("precision")
-    ships = table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("item_id"), F.col("l_shipdate").cast("date").alias("date"), day, F.lit("independent").alias("kind"))
-    stores = table(spark, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").cast("date").alias("date"), day, F.lit("store").alias("kind"))
+    known = lambda key, gap, date: F.when(F.col(key) % gap != 0, F.col(date).cast("date")).alias("date")
+    ships = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), known("l_orderkey", 5, "l_shipdate"), day, F.lit("independent").alias("kind"))
+    stores = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), known("o_orderkey", 4, "o_orderdate"), day, F.lit("store").alias("kind"))
     return fusion.resolve_release(ships.unionByName(stores), tolerance=2, old_months=3)
 
 
@@ -434,12 +435,12 @@ _SUFFIX_SQL = "[" + ", ".join(f"'{s}'" for s in _SUFFIX) + "]"
 _EXPECTED = "[NULL, 'demo', 'soundtrack', 'dlc', 'bundle', 'bundle', 'artbook', 'tool', 'tool', NULL]"
 
 
-@query(f"""SELECT p_partkey, p_name || {_SUFFIX_SQL}[p_partkey % 10 + 1] AS title, CASE WHEN p_partkey % 11 = 0 THEN 'video' WHEN p_partkey % 10 IN (4, 5) THEN CASE WHEN p_partkey % 2 = 0 THEN 'bundle' END ELSE
- coalesce({_EXPECTED}[p_partkey % 10 + 1], CASE WHEN p_partkey % 3 = 0 THEN 'tool' END) END AS class FROM part WHERE NOT (p_partkey % 10 IN (4, 5) AND p_partkey % 3 = 0)""")
+@query(f"""SELECT p_partkey, p_name || {_SUFFIX_SQL}[p_partkey % 10 + 1] AS title, CASE WHEN p_partkey % 11 = 0 THEN 'video' WHEN p_partkey % 10 IN (4, 5) AND p_partkey % 2 = 0 THEN 'bundle' WHEN p_partkey % 10 IN (4, 5) THEN CASE WHEN p_partkey % 3 = 0 THEN 'tool' END ELSE
+ coalesce({_EXPECTED}[p_partkey % 10 + 1], CASE WHEN p_partkey % 3 = 0 THEN 'tool' END) END AS class FROM part""")
 def classify_nongame(spark, d):
     k = F.col("p_partkey")
     title = F.concat("p_name", F.element_at(F.array(*[F.lit(s) for s in _SUFFIX]), (k % 10 + 1).cast("int")))
-    p = table(spark, d, "part").where("NOT (p_partkey % 10 IN (4, 5) AND p_partkey % 3 = 0)").withColumn("title", title)
+    p = table(spark, d, "part").withColumn("title", title)
     genres = F.when(k % 3 == 0, F.array(F.lit("Utilities"), F.lit(" education"))).otherwise(F.array(F.lit("Utilities"), F.lit("Action")))
     kind = classify.classify_non_item(F.col("title"), F.when(k % 11 == 0, "Movie"), F.lit(None).cast("string"), genres, k % 2 == 0)
     return p.select("p_partkey", "title", kind.alias("class"))
@@ -514,7 +515,17 @@ def list_codec(spark, d):
     return p.select("p_partkey", pipes.alias("pipes")).withColumn("back", F.array_sort(scalars.from_pipes(F.col("pipes"))))
 
 
-@query()
+# Expected keys, worked out by hand from the rules on sounds: of the words alone, and of the names where the joint of the two words matters (D before GE, GI is J; W before W is dropped, before a vowel kept).
+_SOUNDS_SQL = """adj(a, ka) AS (VALUES ('blue', 'BL'), ('cold', 'KLT'), ('hot', 'HT'), ('large', 'LRJ'), ('new', 'N'), ('old', 'OLT'), ('red', 'RT'), ('small', 'SML')),
+noun(n, kn, inner_kn) AS (VALUES ('anvil', 'ANFL', 'NFL'), ('bolt', 'BLT', 'BLT'), ('gear', 'JR', 'JR'), ('gizmo', 'JSM', 'JSM'), ('plate', 'PLT', 'PLT'), ('ring', 'RNK', 'RNK'), ('rod', 'RT', 'RT'), ('widget', 'WJT', 'WJT')),
+named AS (SELECT DISTINCT p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS n FROM part),
+keyed AS (SELECT p_name, n, CASE WHEN a LIKE '%d' AND n IN ('gear', 'gizmo') THEN substr(ka, 1, length(ka) - 1) || inner_kn WHEN a = 'new' AND n = 'widget' THEN 'NJT' WHEN a = 'new' AND n = 'anvil' THEN 'NWNFL' ELSE ka || inner_kn END AS sound,
+  CASE WHEN ka < kn THEN ka || ' ' || kn ELSE kn || ' ' || ka END AS pa, '4 ' || kn AS pb FROM named JOIN adj USING (a) JOIN noun USING (n)),
+costed AS (SELECT *, levenshtein(pa, pb) AS cost FROM keyed)"""
+
+
+@query(f"""WITH {_SOUNDS_SQL} SELECT p_name, n || ' 4' AS numbered, sound, pb AS key, length(n) * 200.0 / (length(p_name) + length(n) + 2) AS likeness, CAST(cost AS INTEGER) AS cost,
+floor(100 * cost / ((length(pa) + length(pb)) / 2.0) + 0.5) / 100 < 0.2 AS grade FROM costed""")
 def phonetics(spark, d):
     """Roman numerals, phonetic keys and likeness of part names: on distinct names only."""
     p = table(spark, d, "part").select("p_name").distinct()
@@ -554,12 +565,13 @@ def fuzzy_link_sound(spark, d):
     return linking.decide_store(scored, target_id="p_partkey", candidate_id="c_id")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_partkey AS c, p_name, p_size FROM part WHERE p_partkey % 3 = 1),
-j AS (SELECT p.p_partkey, c, abs(p.p_size - c.p_size) <= 1 AS near, count(*) OVER (PARTITION BY p.p_partkey) AS exacts, count(*) FILTER (abs(p.p_size - c.p_size) <= 1) OVER (PARTITION BY p.p_partkey) AS near_exacts FROM p JOIN c USING (p_name))
+@query("""WITH p AS (SELECT p_partkey, p_partkey // 3 AS key, p_size % 4 AS year FROM part), c AS (SELECT p_partkey AS c, p_partkey * 2 // 3 AS key, p_size % 4 AS year FROM part),
+j AS (SELECT p.p_partkey, c, abs(p.year - c.year) <= 1 AS near, count(*) OVER (PARTITION BY p.p_partkey) AS exacts, count(*) FILTER (abs(p.year - c.year) <= 1) OVER (PARTITION BY p.p_partkey) AS near_exacts FROM p JOIN c USING (key))
 SELECT p_partkey, c AS match_id, 'exact' AS method FROM j WHERE exacts = 1 OR (near AND near_exacts = 1)""")
 def exact_ties(spark, d):
-    part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("key"), F.col("p_size").alias("year"))
-    p, c = part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1").withColumnRenamed("p_partkey", "c_id")
+    part = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("year"))
+    p = part.withColumn("key", F.floor(F.col("p_partkey") / 3).cast("string"))
+    c = part.select(F.col("p_partkey").alias("c_id"), "year", F.floor(F.col("p_partkey") * 2 / 3).cast("string").alias("key"))
     pairs = p.join(c, "key").select(F.col("p_partkey").alias("__t"), F.col("c_id").alias("__c"))
     scored = linking.scored_pairs(p, c, pairs, target_id="p_partkey", candidate_id="c_id", score=lambda a, b: F.lit(0.0))
     return linking.decide_reviews(scored, target_id="p_partkey", candidate_id="c_id")
@@ -568,14 +580,21 @@ def exact_ties(spark, d):
 # --- pages, JSON, languages --------------------------------------------------------------------------
 
 
+# Written apart from the library's table: what the entities of web pages stand for.
+_ENTITY_SQL = """CASE WHEN regexp_matches(p, '^#x[0-9a-fA-F]+;') THEN chr(TRY_CAST('0x' || regexp_extract(p, '^#x0*([0-9a-fA-F]*);', 1) AS INTEGER))
+  WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(TRY_CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INTEGER))
+  ELSE CASE lower(regexp_extract(p, '^([a-zA-Z]+);', 1)) WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN 'apos' THEN chr(39) WHEN 'nbsp' THEN ' ' WHEN 'deg' THEN chr(176)
+    WHEN 'trade' THEN chr(8482) WHEN 'reg' THEN chr(174) WHEN 'copy' THEN chr(169) WHEN 'hellip' THEN chr(8230) WHEN 'mdash' THEN chr(8212) WHEN 'ndash' THEN chr(8211)
+    WHEN 'lsquo' THEN chr(8216) WHEN 'rsquo' THEN chr(8217) WHEN 'ldquo' THEN chr(8220) WHEN 'rdquo' THEN chr(8221) END END"""
+_EXTRA = "<p>caf&#233; &amp;#39; &#x41;&AMP; &unknown; &#{};</p>"
+
+
 def _text_sql() -> str:
-    s = r"regexp_replace(html, '\\r\\n|\\r|\\n', chr(10), 'g')"
+    head, tail = _EXTRA.split("{}")
+    s = rf"regexp_replace(html || '{head}' || (page_id % 900 + 48) || '{tail}', '\\r\\n|\\r|\\n', chr(10), 'g')"
     s = rf"regexp_replace({s}, '(?i)<br\s*/?>|</p\s*>|<li\b[^>]*>', chr(10), 'g')"
     s = f"regexp_replace({s}, '<[^>]+>', '', 'g')"
-    for name, char in names.ENTITIES.items():
-        s = f"regexp_replace({s}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
-    for code in (34, 38, 39, 60, 62, 160, 8211, 8212, 8216, 8217, 8220, 8221, 8230, 8482):
-        s = f"regexp_replace({s}, '&#(?:0*{code}|[xX]0*(?i:{code:x}));', chr({code}), 'g')"
+    s = f"list_reduce(list_transform(string_split({s}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE coalesce({_ENTITY_SQL} || substr(p, instr(p, ';') + 1), '&' || p) END), lambda a, b: a || b)"
     s = rf"regexp_replace(regexp_replace({s}, '\r\n?', chr(10), 'g'), '[ \t' || chr(160) || ']+', ' ', 'g')"
     s = rf"regexp_replace(regexp_replace({s}, ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
     return rf"nullif(regexp_replace({s}, '^[ \n]+|[ \n]+$', '', 'g'), '')"
@@ -583,7 +602,9 @@ def _text_sql() -> str:
 
 @query(f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, {_text_sql()} AS t FROM pages)")
 def html_to_text(spark, d):
-    text = html.html_text(F.col("html"))
+    """Text of every page and of a line of entities after it."""
+    head, tail = _EXTRA.split("{}")
+    text = html.html_text(F.concat("html", F.lit(head), (F.col("page_id") % 900 + 48).cast("string"), F.lit(tail)))
     return table(spark, d, "pages").select("page_id", text.alias("t")).select("page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 

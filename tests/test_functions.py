@@ -1,6 +1,7 @@
 """Scalar functions on literal values."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,27 @@ def test_roman_and_phonetics():
     assert names.sound_similarity("Half-Life 2", "Half Life 2") == (1, pytest.approx(0.87), True) and names.sound_similarity("", "x") is None
 
 
+def test_title_forms_agree(spark):
+    """The column forms and the plain ones on made-up titles."""
+    rng = random.Random(1)
+    bits = ["The ", "the ", "Edition", " ", "IV", " XIV", "MCM", " Deluxe", " Single Player", " A D x", " A D", " VR", " Collection", "Game", "&amp;", "&#233;", "&amp;#39;", "(", "foo)", "™", "GOTY", "/", ":", "Big", "of"]
+    titles = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(500)]
+    assert values(spark, "string", titles, names.normalize_name) == [names.normal_form(t) for t in titles]
+    assert values(spark, "string", titles, lambda c: names.normalize_name(c, roman=True)) == [names.normal_form(t, roman=True) for t in titles]
+    assert values(spark, "string", titles, names.roman_numbers) == [names.roman_words(t) for t in titles]
+    df = spark.createDataFrame([("Dark Tale 3", "Dark Tale III"), ("Dark &amp; Deep", "dark and deep"), ("", None), ("Ab", "zz")], "a string, b string")
+    assert [round(r[0], 3) for r in df.select(names.name_similarity(F.col("a"), F.col("b"))).collect()] == [100, 100, 0, 0]
+
+
+def test_entities_are_decoded_once(spark):
+    pairs = {
+        "&amp;#39;": "&#39;", "&#233;&#64;": "é@", "&#x41;&#X41;": "A&#X41;", "&&lt;&": "&<&", "&AMP;lt;": "&lt;", "&#1f600; &#128512;": "\x01 😀", "&nope; &#; &;": "&nope; &#; &;",
+        "&#abc;": "&#abc;", "&#1114112;": "&#1114112;", "&#55296;": "&#55296;", "&#99999999999;": "&#99999999999;", "&#0000000000065;": "A", "plain": "plain", None: None,
+    }
+    assert values(spark, "string", list(pairs), names.decode_entities) == list(pairs.values())
+    assert [names.decode_text(t) for t in pairs if t] == [w for t, w in pairs.items() if t]
+
+
 def test_parse_date(spark):
     d = datetime.date
     rows = {
