@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.lineage import settled, small_batches
+from tessera.llm.lineage import settled, sliced
 
 RATE, UP, DOWN, TAPS = 16_000, 2, 3, 16
 FRAME, HOP, MELS = 256, 128, 32
@@ -165,7 +165,6 @@ def _encode(batches):
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, media): each text as a WAV file whose samples are its padded UTF-8 bytes.  Null counts as empty."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_encode, T.StructType([source.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
@@ -189,7 +188,6 @@ def _tensors(batches):
 def audio_tensors(media: DataFrame) -> DataFrame:
     """Rows (id, tensor_no, start, end, frames, mel, segments) from WAV files (id, media): mel is a TENSOR_FRAMES x MELS tensor, row by row, that
     covers the seconds start to end; segments are the loud spans that meet it.  Null media has no rows; a damaged file raises."""
-    small_batches(media.sparkSession, 200)
     span = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
     schema = T.StructType([media.schema["id"], T.StructField("tensor_no", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("frames", T.IntegerType()), T.StructField("mel", T.ArrayType(T.FloatType())), T.StructField("segments", span)])
     return media.select("id", "media").mapInArrow(_tensors, schema)

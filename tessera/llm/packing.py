@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.lineage import settled, small_batches
+from tessera.llm.lineage import settled, sliced
 from tessera.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -111,7 +111,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Plan:
 def _cutter(path: str, capacity: int, end_id: int | None, keep_ids: bool):
     def run(batches):
         words = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -141,7 +141,6 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
 
     ids: little-endian unsigned 16-bit.  With end_id None a text without ids has no piece.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     fields = [source.schema["id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if keep_ids:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.lineage import small_batches
+from tessera.llm.lineage import sliced, spare
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "secret")
@@ -140,7 +140,6 @@ def pii_spans(docs: DataFrame, text_col: str = "text", *, keep: list[str] | None
 
     Null text counts as empty and has no spans.  Whole texts are searched, in time proportional to their length.
     """
-    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])

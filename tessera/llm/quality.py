@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.lineage import small_batches
+from tessera.llm.lineage import sliced, spare
 
 PASSAGE_WORDS = 64
 TRAIN_ROWS = 6000
@@ -141,7 +141,6 @@ def _featuriser(limit: int):
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, seed: int = 7) -> GatedAttention | None:
     """Trains on at most `rows` labelled documents, chosen by the hash of their id, that are not held out; at most TRAIN_PASSAGES evenly spaced
     passages of each.  None if no row has a label."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(rows).select(F.col(id_col).alias("__id"), "label")
     bags = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -175,7 +174,6 @@ def _scorer(model: GatedAttention | None):
 def score(docs: DataFrame, model: GatedAttention | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if not given) and `__score`, 0 to 1, of every row.  Null text counts as empty; empty texts are one passage of zeros.
     Without a model every score is 0.5."""
-    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__score", T.DoubleType())])

@@ -1,8 +1,10 @@
 """Archives, audio and nearest neighbours."""
 
+import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +51,46 @@ def test_members_of_several_records():
     assert ids[:4] == ["0", "1", "2", "3"] and ids[-1] == "99" and sum(isinstance(x, warc.Gap) for x in cut) == 1
 
 
+def test_ordinary_records_are_read():
+    """Digests of other kinds, header names in any case, folded and repeated headers."""
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    sha1, md5 = hashlib.sha1(body).digest(), hashlib.md5(body).digest()
+
+    def raw(*lines, version="1.0"):
+        return f"WARC/{version}\r\n".encode() + "".join(x + "\r\n" for x in (*lines, f"content-length: {len(body)}")).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    digests = [f"sha1:{base64.b32encode(sha1).decode()}", f"SHA-1:{sha1.hex().upper()}", f"md5:{md5.hex()}", f"sha256:{base64.b64encode(hashlib.sha256(body).digest()).decode()}", "blake9:abc", ""]
+    for digest in digests:
+        got = list(warc.read_archive(raw("warc-type: response", f"WARC-BLOCK-DIGEST: {digest}")))
+        assert len(got) == 1 and got[0].payload == body and got[0].headers["WARC-Type"] == "response", digest
+    bad = list(warc.read_archive(raw("WARC-Type: x", f"WARC-Block-Digest: sha1:{base64.b32encode(md5).decode()}")))
+    assert [type(x) for x in bad] == [warc.Gap] and bad[0].reason == "digest differs"
+    got = list(warc.read_archive(raw("WARC-Type: metadata", "X-Note: one", "  two", "WARC-Concurrent-To: <a>", "warc-concurrent-to: <b>", version="0.18")))
+    assert got[0].headers["X-Note"] == "one two" and got[0].headers["WARC-Concurrent-To"] == "<a>, <b>"
+    assert isinstance(list(warc.read_archive(b"WARC/1.0\r\n folded: first\r\n\r\n"))[0], warc.Gap)
+
+
+def test_search_after_damage_is_linear():
+    """Many false marks of one kind, far from the next of the other, and headers that never end."""
+    began = time.time()
+    noise = (b"WARC/1.0\r\nx\r\n" + bytes(90)) * 40_000
+    got = list(warc.read_archive(noise + record(1, b"payload") + (b"WARC/1.0\r\na: b\r\n" * 40_000)))
+    assert [type(x).__name__ for x in got] == ["Gap", "Record", "Gap"] and got[0].end == len(noise)
+    assert time.time() - began < 20
+
+
+def test_warc_report_of_text_ids(spark):
+    long = "x" * 200
+    rows = [("", "u", long), ("a\r\nb%20 +é", "u", long), (None, "u", long), (" padded ", "u", "s"), ("", "u", long)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
+    got = sorted(map(str, (tuple(r)[0::3] + (r["refers_to"],) for r in warc.warc_report(pages).collect())))
+    want = [("", "response", None), ("", "response", None), ("a\r\nb%20 +é", "revisit", ""), (None, "revisit", ""), (" padded ", "response", None)]
+    assert got == sorted(map(str, want))
+    archives = warc.write_archives(pages).select(F.lit("a").alias("archive"), F.expr("concat(content, X'00')").alias("content"))
+    gaps = warc.gap_log(warc.read_archives(archives)).collect()
+    assert len(gaps) >= 1 and all(g["end"] == g["start"] + 1 and g["reason"] == "no version line" for g in gaps)
+
+
 def test_warc_report(spark):
     long = "é" * 80
     rows = [(3, "u", long), (1, "v\nw", long), (2, None, long), (5, "x", "short"), (6, "x", "short"), (7, "y", None), (8, "y", ""), (None, "z", long), (9, "z", long + "!")]

@@ -1,6 +1,7 @@
 """Text operators against brute force on small fixtures, and their edge cases."""
 
 import itertools
+import json
 import random
 import zlib
 
@@ -249,6 +250,51 @@ def test_flow_prefers_fresh_tokens_and_shares_overlaps():
     assert sum(flows['["a"]'].values()) + sum(flows['["a","b"]'].values()) == 35 and max(sum(f.values()) for f in flows.values()) <= 20
 
 
+def test_flow_has_the_least_cost():
+    """Against all flows of small networks: as much as any, and of those none cheaper (costs 0, 1, 2 for first, second, third use)."""
+    rng = random.Random(21)
+    cost = lambda used, size: sum(max(0, used - again * size) for again in (1, 2))
+    for _ in range(40):
+        sizes = {p: rng.randrange(0, 3) for p in ('["a"]', '["b"]', '["a","b"]')}
+        quotas = {"a": rng.randrange(0, 7), "b": rng.randrange(0, 7)}
+        spans = [range(3 * sizes['["a"]'] + 1), range(3 * sizes['["b"]'] + 1), *[range(3 * sizes['["a","b"]'] + 1)] * 2]
+        fits = [x for x in itertools.product(*spans) if x[2] + x[3] <= 3 * sizes['["a","b"]'] and x[0] + x[2] <= quotas["a"] and x[1] + x[3] <= quotas["b"]]
+        best = max((sum(x), -cost(x[0], sizes['["a"]']) - cost(x[1], sizes['["b"]']) - cost(x[2] + x[3], sizes['["a","b"]'])) for x in fits)
+        flows = mixing.route(sizes, quotas)
+        used = {p: sum(f.values()) for p, f in flows.items()}
+        assert (sum(used.values()), -sum(cost(used[p], sizes[p]) for p in sizes)) == best
+        assert all(sum(f.get(s, 0) for f in flows.values()) <= quotas[s] for s in quotas) and all(used[p] <= 3 * sizes[p] for p in sizes)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(22)
+    names = [f"s{i}" for i in range(16)]
+    patterns = {json.dumps(sorted(rng.sample(names, rng.randrange(1, 6))), separators=(",", ":")): rng.randrange(1, 10**6) for _ in range(5000)}
+    total = sum(patterns.values())
+    flows = mixing.route(patterns, {s: total // 16 for s in names})
+    assert sum(sum(f.values()) for f in flows.values()) == total // 16 * 16
+
+
+def test_mix_keeps_large_ids_and_clashing_columns(spark):
+    rng = random.Random(23)
+    rows = [(None if i % 7 == 0 else 2**60 + 2 * i + 1, " ".join(["w"] * rng.randrange(1, 40)), rng.choice(["a", "b", None]), 9, 8, {"k": i % 3} if i % 2 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int, __size int, key map<string,int>")
+    mix = mixing.mix_sources(docs, F.array("source"), mixing.word_count(F.col("text")), bucket_rows=50)
+    got = mix.documents.collect()
+    assert mix.copies_col == "copies_" and sorted(map(repr, (tuple(r)[:-1] for r in got))) == sorted(map(repr, rows))
+    mixed = mixing.mix_documents(docs, bucket_rows=50)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r[0] for r in rows}
+    assert mixed.count() == sum(r["copies_"] for r in got)
+
+
+def test_mix_of_equal_rows(spark):
+    """Of rows that are equal in all columns as many are taken as the cut asks for, whatever partitions they lie in."""
+    docs = spark.createDataFrame([(None, "one two three", "a")] * 200 + [(1, "x " * 900, "b")], "doc_id bigint, text string, source string").repartition(7)
+    got = mixing.mix_report(docs, weights={"a": 1, "b": 3}, total_share=0.5).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    held = {r["source"]: r for r in got}
+    assert held["a"]["n"] == 200 and 0 <= held["a"]["target"] - held["a"]["taken"] < 3 and held["a"]["target"] == 187.5
+
+
 def test_mix_report(spark):
     rng = random.Random(11)
     rows = [(i, words(rng, rng.randrange(0, 50)), rng.choice(["a", "b", "c", None, "tiny"] if i % 50 == 0 else ["a", "b", "c", None])) for i in range(600)]
