@@ -55,7 +55,8 @@ def labelled_kmers(codes: np.ndarray, k: int) -> np.ndarray:
     if not fresh.all():
         at = np.arange(len(ranked))
         starts = np.maximum.accumulate(np.where(fresh, at, 0))
-        grams[order] = _mix(ranked + (at - starts).astype(np.uint64) * _GOLDEN)
+        again = at > starts  # a first occurrence keeps its hash, as in texts without repeats
+        grams[order[again]] = _mix(ranked[again] + (at - starts)[again].astype(np.uint64) * _GOLDEN)
     return grams
 
 
@@ -64,8 +65,10 @@ def sketch_seeds(sketches: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, sketches, dtype=np.uint32), rng.integers(0, 2**31, sketches, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def order_minhash(codes: np.ndarray, k: int, picks: int, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One signed 64-bit key for each sketch: its `picks` smallest labelled k-mers, hashed in the order they have in the text."""
+def order_minhash(codes: np.ndarray, k: int, picks: int, seeds: tuple[np.ndarray, np.ndarray], first: int = 0) -> np.ndarray:
+    """One signed 64-bit key for each sketch: its `picks` smallest labelled k-mers, hashed in the order they have in the text.
+
+    Sketches are numbered from `first`; those of different numbers are never equal but by chance."""
     grams = labelled_kmers(codes, k)
     xors, odds = seeds
     keys = np.zeros(len(xors), dtype=np.uint64)
@@ -84,7 +87,7 @@ def order_minhash(codes: np.ndarray, k: int, picks: int, seeds: tuple[np.ndarray
             chosen[:, p] = values.argmin(axis=1)
             values[rows, chosen[:, p]] = np.uint32(0xFFFFFFFF)
         chosen.sort(axis=1)
-        key = np.full(len(values), 1, dtype=np.uint64) + np.arange(at, at + len(values), dtype=np.uint64)
+        key = np.full(len(values), 1 + first, dtype=np.uint64) + np.arange(at, at + len(values), dtype=np.uint64)
         for p in range(rows_picked):
             key = _mix((key * _GOLDEN) ^ grams[chosen[:, p]])
         keys[at : at + step] = key

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_ROWS = 1000
 SLICE_BYTES = 8 << 20
@@ -62,3 +63,8 @@ def spare(columns: Iterable[str], *wanted: str) -> list[str]:
         held.add(name.lower())
         out.append(name)
     return out
+
+
+def row_key(docs: DataFrame, seed: int) -> Column:
+    """A seeded hash of all columns (maps as JSON)."""
+    return F.xxhash64(F.lit(seed), *[F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.lineage import settled, spare
+from tessera.llm.lineage import row_key, settled, spare
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -175,11 +175,6 @@ class Mix:
     flows: dict
 
 
-def row_key(docs: DataFrame, seed: int) -> Column:
-    """A seeded hash of all columns (maps as JSON)."""
-    return F.xxhash64(F.lit(seed), *[F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
-
-
 def _cuts(slim: DataFrame, plan: DataFrame, spread: int = 1024) -> DataFrame:
     """Rows (pattern, cut, left): the one bucket of each pattern in which its part ends, and what is left of the part there.
 

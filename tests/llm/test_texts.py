@@ -98,6 +98,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["class_id"] == min(g) for r in found for g in groups.values() if r["doc_id"] in g)
 
 
+def test_short_texts_and_repeats(spark):
+    """Ten words with one or two edits, texts of a few words, and a text of which one copy repeats a passage."""
+    base = "a b c d e f g h i j"
+    line = " ".join(f"x{i}" for i in range(60))
+    rows = [(0, base), (1, base.replace("e", "X")), (2, base.replace("c", "X").replace("h", "Y")), (3, "one two three four five"), (4, "one two three five"), (5, "one two three"), (6, line), (7, line + " x0 x1 x2 x3 x4 x5"), (8, "j i h g f e d c b a")]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6, 8: 8}
+
+
+def test_large_bucket_loses_no_link(spark, monkeypatch):
+    """Many unlike texts around one passage, near pairs among them; blocks are small, so that pairs lie within and across them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "SALT_ROWS", 20)
+    rng = random.Random(31)
+    passage, rows, pairs = words(rng, 60), [], []
+    for i in range(120):
+        text = passage + " " + words(rng, 50, 10**6)
+        rows.append((i, text))
+        if i % 3 == 0:
+            rows.append((1000 + i, edited(rng, text, 0.08)))
+            pairs.append((i, 1000 + i))
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert all(found[b] == a for a, b in pairs) and len(set(found.values())) == 120
+
+
 def test_near_duplicates_of_a_star(spark):
     """A large group whose members are near its centre, not near each other, is one class."""
     rng = random.Random(6)
@@ -115,6 +140,10 @@ def test_keep_one_handles_ties_nulls_and_empty(spark):
     assert kept.columns == frame(spark, rows).columns
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("1", long), ("None", ""), ("7", "alone here")])
     assert near_dup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, long, 5, "a", 2, {"k": 1}), (1, long, 5, "b", 3, None), (2, None, 6, "c", 4, None)], "doc_id bigint, text string, node int, id_of string, many int, whole map<string,int>")
+    kept = near_dup.keep_one(clash)
+    assert kept.columns == clash.columns and sorted((r["doc_id"], r["node"]) for r in kept.collect()) == [(1, 5), (2, 6)]
+    assert [r["id_of"] for r in kept.where("doc_id = 1").collect()] == [r["id_of"] for r in near_dup.keep_one(clash.repartition(5, "many")).where("doc_id = 1").collect()]
 
 
 def brute_lines(rows):
