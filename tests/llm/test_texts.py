@@ -387,6 +387,24 @@ def test_pii_added_kinds_and_context(spark):
     assert pii.pii_report(frame(spark, []).limit(0)).count() == 0
 
 
+def test_pii_context_decides_added_spans(spark):
+    """Whole words near a span move its score; base spans keep theirs, added ones come and go with it."""
+    token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    found = lambda t: [(s.kind, s.score) for s in pii.find_spans(t)]
+    assert found(f"the key is {token}") == [("secret", 0.6)] and found(f"it is {token}") == [] == found(f"keys monkey {token}")
+    assert found(f'token = "{token}"') == [("secret", 1.0)] and found(f'for example token = "{token}"') == [("secret", 0.7)] and found("x" * 9 + f" password:{token} placeholder") == [("secret", 0.7)]
+    assert found("call 555-123-4567 now") == [("local_phone", 0.6)] and found("about 555-123-4567 now") == [] and found("order 555 123 4567, tel") == []
+    assert found("GB82 WEST 1234 5698 7654 32") == [("iban", 0.7)] and found("example GB82 WEST 1234 5698 7654 32") == [] and found("example GB82 WEST 1234 5698 7654 32 bank") == [("iban", 0.7)]
+    assert found("ship 1.2.3.4 chips") == [("ip", 0.6)] and found("ip 1.2.3.4") == [("ip", 0.9)] and found("release 1.2.3.4") == [("ip", 0.3)]
+    assert found("phone +1 555-123-4567") == [("phone", 0.9)]  # the base span keeps the local form out
+    assert found("host" + " " * 37 + "1.2.3.4") == [("ip", 0.6)] and found("xhost" + " " * 36 + "1.2.3.4") == [("ip", 0.6)] and found("host" + " " * 36 + "1.2.3.4") == [("ip", 0.9)]
+    rows = [(1, f"key {token} a@b.co"), (1, f"key {token} a@b.co"), (None, "9" * 300_000 + " a@b.co")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, spans int, id string")
+    got = pii.pii_report(docs).collect()
+    assert [r["scores"] for r in got if r["doc_id"] == 1] == [[0.7, 0.6]] * 2 and {r["n_spans"] for r in got} == {1, 2}
+    assert pii.pii_spans(docs).columns == ["doc_id", "text", "spans", "id", "spans_"]
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(13)
     rows, labels = [], []
