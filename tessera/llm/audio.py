@@ -148,15 +148,47 @@ def features(samples: bytes, rate: int = RATE) -> Features:
     return Features(mel, energy_segments(mel, HOP / new_rate), HOP / new_rate)
 
 
-def digest(f: Features) -> str:
-    """A short text for equal features: counts and a hash of the energies to two decimals."""
-    held = hashlib.sha256(np.round(f.mel * 100).astype("<i4").tobytes())
-    held.update(repr(f.segments).encode())
-    return f"frames={len(f.mel)};tensors={-(-len(f.mel) // TENSOR_FRAMES)};segments={len(f.segments)};{held.hexdigest()[:32]}"
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (TENSOR_FRAMES, MELS), dim_names=["frame", "band"])
+SPANS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+STORED = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("frames", pa.int32()), ("mel", TENSOR), ("segments", SPANS)])
+
+
+def store_tensors(f: Features) -> bytes:
+    """An Arrow stream of one batch: a fixed-shape tensor (TENSOR_FRAMES x MELS, 16-bit floats) a row with the seconds it covers, its frames and
+    the loud spans that meet it."""
+    rows = list(f.tensors())
+    flat = np.concatenate([whole.reshape(-1) for *_, whole in rows]).astype(np.float16)
+    mel = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), TENSOR_FRAMES * MELS))
+    spans = [[{"start": a, "end": b} for a, b in f.segments if a < end and b > start] for start, end, _, _ in rows]
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), mel, pa.array(spans, SPANS)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=STORED))
+    return sink.getvalue().to_pybytes()
+
+
+def load_tensors(data: bytes) -> pa.RecordBatch:
+    """What store_tensors wrote; its tensors are views of `data`."""
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    if batch.schema.field("mel").type != TENSOR:
+        raise ValueError("not a stream of these tensors")
+    return batch
+
+
+def digest(stored: pa.RecordBatch) -> str:
+    """A short text, equal for equal stored features: counts, loud seconds, mean energy and a hash of energies, times and spans."""
+    frames = stored.column("frames").to_numpy()
+    mel = stored.column("mel").to_numpy_ndarray()
+    held = np.concatenate([m[:n] for m, n in zip(mel, frames)])
+    segments = sorted({(x["start"], x["end"]) for row in stored.column("segments").to_pylist() for x in row})
+    whole = hashlib.sha256(held.astype("<f2").tobytes())
+    whole.update(repr((segments, stored.column("start").to_pylist(), stored.column("end").to_pylist())).encode())
+    loud = sum(b - a for a, b in segments)
+    return f"frames={len(held)};tensors={len(mel)};segments={len(segments)};loud={loud:.3f};mean={held.astype(np.float64).mean():.2f};{whole.hexdigest()[:32]}"
 
 
 def _encode(batches):
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         texts = batch.column("text").to_pylist()
         files = [wav_bytes(padded(t)) for t in texts]
         sizes = [len((t or "").encode("utf-8")) for t in texts]
@@ -164,13 +196,14 @@ def _encode(batches):
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, media): each text as a WAV file whose samples are its padded UTF-8 bytes.  Null counts as empty."""
+    """Rows (id, n_bytes, media): each text as a WAV file whose samples are its padded UTF-8 bytes.  Null counts as empty; every row, repeated or not,
+    has its file; other columns are ignored; an empty table gives an empty result."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_encode, T.StructType([source.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 def _tensors(batches):
-    for batch in batches:
+    for batch in sliced(batches, "media", 200):
         rows = {k: [] for k in ("row", "tensor_no", "start", "end", "frames", "mel", "segments")}
         for row, media in enumerate(batch.column("media").to_pylist()):
             if media is None:
@@ -187,7 +220,8 @@ def _tensors(batches):
 
 def audio_tensors(media: DataFrame) -> DataFrame:
     """Rows (id, tensor_no, start, end, frames, mel, segments) from WAV files (id, media): mel is a TENSOR_FRAMES x MELS tensor, row by row, that
-    covers the seconds start to end; segments are the loud spans that meet it.  Null media has no rows; a damaged file raises."""
+    covers the seconds start to end; segments are the loud spans that meet it.  Null media has no rows; a damaged file raises; repeated ids are
+    files of their own."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
     schema = T.StructType([media.schema["id"], T.StructField("tensor_no", T.IntegerType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("frames", T.IntegerType()), T.StructField("mel", T.ArrayType(T.FloatType())), T.StructField("segments", span)])
     return media.select("id", "media").mapInArrow(_tensors, schema)
@@ -200,21 +234,39 @@ def as_tensor_array(mel: pa.Array) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), TENSOR_FRAMES * MELS))
 
 
-def _report(batches):
-    for batch in batches:
-        out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+def _stored(batches):
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors")
+    for batch in sliced(batches, "media", 200):
+        out = {k: [] for k in names}
         for media in batch.column("media").to_pylist():
             samples, rate = wav_samples(media)
-            for k, v in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), digest(features(samples, rate)))):
+            for k, v in zip(names, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), store_tensors(features(samples, rate)))):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array(v, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k, v in out.items())], names=["id", "n_bytes", *out])
+        kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "tensors": pa.binary()}
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["id", "n_bytes", *names])
+
+
+def _features(batches):
+    for batch in sliced(batches, "tensors"):
+        feature = [digest(load_tensors(x)) for x in batch.column("tensors").to_pylist()]
+        kept = [n for n in batch.schema.names if n != "tensors"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(feature, pa.string())], names=[*kept, "feature"])
+
+
+def stored_tensors(media: DataFrame) -> DataFrame:
+    """Rows (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensors) of WAV files (id, n_bytes, media): what
+    each file holds, and its features as an Arrow stream of fixed-shape tensors with time spans (see store_tensors)."""
+    numbers = ("payload_bytes", "tail_crc32", "media_bytes")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    fields = [T.StructField(k, T.LongType() if k in numbers else T.StringType()) for k in names]
+    return media.mapInArrow(_stored, T.StructType([media.schema["id"], media.schema["n_bytes"], *fields, T.StructField("tensors", T.BinaryType())]))
 
 
 def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as a WAV file in a table of the shared folder, reads the files back and returns one row each: id, n_bytes, payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256 and feature (see digest)."""
-    stored = settled(text_media(docs, id_col, text_col), "media")
-    text = {"payload_sha256", "media_sha256", "feature"}
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    schema = T.StructType([stored.schema["id"], stored.schema["n_bytes"], *(T.StructField(k, T.StringType() if k in text else T.LongType()) for k in names)])
-    return stored.mapInArrow(_report, schema).withColumnRenamed("id", id_col)
+    """Stores every text as a WAV file in a table of the shared folder, reads the files back, stores their features as tensors in a second table and
+    returns one row each from that: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature (see digest).
+
+    Nulls, repeats, other columns and empty tables as text_media."""
+    stored = settled(stored_tensors(settled(text_media(docs, id_col, text_col), "media")), "tensors")
+    schema = T.StructType([f for f in stored.schema.fields if f.name != "tensors"] + [T.StructField("feature", T.StringType())])
+    return stored.mapInArrow(_features, schema).withColumnRenamed("id", id_col)

@@ -134,6 +134,61 @@ def test_long_files_have_the_features_of_one_piece(monkeypatch):
     assert whole.mel.shape == parts.mel.shape and np.allclose(whole.mel, parts.mel, atol=1e-3)
 
 
+def test_log_mel_equals_plain_sums():
+    """Frames, window, Fourier sums and triangles written out one by one."""
+    x = np.random.default_rng(3).normal(size=700).astype(np.float32)
+    rate, size = 10_000, audio.FRAME
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio.MELS + 1) / 2595) - 1) for i in range(audio.MELS + 2)]
+    got = audio.log_mel(x, rate)
+    starts = range(0, len(x) - size + 1, audio.HOP)
+    assert got.shape == (len(starts), audio.MELS)
+    t = np.arange(size)
+    for row, start in zip(got, starts):
+        frame = x[start : start + size].astype(float) * (0.5 - 0.5 * np.cos(2 * np.pi * t / (size - 1)))
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * t / size))) ** 2 for k in range(size // 2 + 1)]
+        for band in range(audio.MELS):
+            low, peak, high = edges[band : band + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                f = k * rate / size
+                total += p * ((f - low) / (peak - low) if low < f <= peak else (high - f) / (high - peak) if peak < f < high else 0)
+            assert abs(row[band] - np.log(total + audio.FLOOR)) < 2e-2
+
+
+def test_segments_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 300):
+        for _ in range(20):
+            mel = np.repeat(rng.normal(size=(n, 1)).cumsum(axis=0), audio.MELS, axis=1).astype(np.float32)
+            energy = mel.mean(axis=1)
+            low = float(energy.mean())
+            high, loud, want, began = low + 0.5 * float(energy.std()), False, [], 0
+            for i, e in enumerate(energy):
+                if not loud and high - low >= 1e-6 and e >= high:
+                    loud, began = True, i
+                elif loud and e < low:
+                    loud = False
+                    want.append((began, i))
+            if loud:
+                want.append((began, n))
+            assert audio.energy_segments(mel, 1.0) == [(float(a), float(b)) for a, b in want]
+
+
+def test_tensors_go_through_the_store():
+    raw = np.random.default_rng(5).integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+    f = audio.features(raw)
+    stored = audio.load_tensors(audio.store_tensors(f))
+    assert stored.schema.field("mel").type.shape == [audio.TENSOR_FRAMES, audio.MELS] and sum(stored.column("frames").to_pylist()) == len(f.mel)
+    mel = stored.column("mel").to_numpy_ndarray()
+    held = np.concatenate([m[:n] for m, n in zip(mel, stored.column("frames").to_pylist())])
+    assert np.abs(held - f.mel).max() < 0.02
+    starts, ends = stored.column("start").to_pylist(), stored.column("end").to_pylist()
+    assert starts[0] == 0 and starts[1:] == ends[:-1] and abs(ends[-1] - len(f.mel) * f.seconds_per_frame) < 1e-9
+    inside = {(x["start"], x["end"]) for row in stored.column("segments").to_pylist() for x in row}
+    assert inside == set(f.segments)
+
+
 def test_loud_stretch_is_found():
     t = np.arange(32_000)
     loud = np.where((t > 8000) & (t < 20_000), 100 * np.sin(t * 0.3), 2 * np.sin(t * 0.3)) + 128
@@ -158,6 +213,9 @@ def test_media_report_and_tensors(spark):
     assert array.type == pa.fixed_shape_tensor(pa.float32(), (audio.TENSOR_FRAMES, audio.MELS)) and len(array) == tensors.num_rows
     assert all(a < b for a, b in zip(tensors["start"].to_pylist(), tensors["end"].to_pylist()))
     assert audio.media_report(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(7, "word " * 400_000, 1, "m"), (7, "word " * 400_000, 2, "n")], "doc_id bigint, text string, media int, id string")
+    twice = audio.media_report(long).collect()
+    assert len(twice) == 2 and twice[0]["feature"] == twice[1]["feature"] and twice[0]["n_bytes"] == 2_000_000
 
 
 def brute_nearest(rows, asked, top):
