@@ -429,6 +429,67 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == frame(spark, rows).columns and kept.count() == sum(r["predicted"] for r in got.values())
 
 
+def test_attention_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    x, starts, labels = rng.normal(size=(9, quality.FEATURES)), np.array([0, 4, 5]), np.array([1.0, 0.0, 1.0])
+    model = quality.train([x[:4], x[4:5], x[5:]], labels, epochs=1)
+    p, got = model.p, model.scores(x, starts)
+    for first, last, score in zip(starts, [4, 5, 9], got):
+        inner, weights = [], []
+        for row in x[first:last]:
+            h = [np.tanh(sum(np.clip((row[i] - model.mean[i]) / model.scale[i], -8, 8) * p["W"][i, j] for i in range(quality.FEATURES)) + p["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [np.tanh(np.dot(h, p["V"][:, k])) / (1 + np.exp(-np.dot(h, p["U"][:, k]))) for k in range(quality.GATE)]
+            inner.append(h), weights.append(np.exp(np.dot(gate, p["w"])))
+        mean = sum(w / sum(weights) * np.array(h) for w, h in zip(weights, inner))
+        assert abs(score - 1 / (1 + np.exp(-(np.dot(mean, p["c"]) + p["d"][0])))) < 1e-9
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(9)
+    x, starts, labels = rng.normal(size=(12, quality.FEATURES)), np.array([0, 3, 4, 9]), np.array([1.0, 0.0, 0.0, 1.0])
+    model = quality.train([x[:3], x[3:4], x[4:9], x[9:]], labels, epochs=1)
+
+    def loss():
+        s = model.scores(x, starts)
+        return -np.mean(labels * np.log(s) + (1 - labels) * np.log(1 - s))
+
+    for name, grad in quality.gradients(model, x, starts, labels).items():
+        flat = model.p[name].reshape(-1)
+        for i in rng.choice(len(flat), min(12, len(flat)), replace=False):
+            held = flat[i]
+            flat[i] = held + 1e-5
+            high = loss()
+            flat[i] = held - 1e-5
+            low = loss()
+            flat[i] = held
+            assert abs((high - low) / 2e-5 - grad.reshape(-1)[i]) < 1e-6, name
+
+
+def test_passage_features_of_all_scripts():
+    marks, russian, other = (quality.passage_features(t)[0] for t in ("??? ! ?? ?!", "Это простое русское предложение о погоде", "Мы вчера ходили в лес за грибами"))
+    grams = slice(quality.WORD_BINS, quality.WORD_BINS + quality.GRAM_BINS)
+    assert np.abs(marks - russian).max() > 0.5 and np.abs(russian[grams] - other[grams]).max() > 0.05
+    text = " ".join(f"w{i % 40}" for i in range(150))
+    x = quality.passage_features(text)
+    assert x.shape == (3, quality.FEATURES) and np.allclose(x[:, -4:-1:2], [[1, 40 / 64], [1, 40 / 64], [22 / 64, 1]]) and x[:, -1].tolist() == [0, 1, 1]
+    assert np.allclose((x[:, : quality.WORD_BINS] ** 2).sum(axis=1), 1, atol=1e-5) and np.allclose((x[:, grams] ** 2).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(quality.passage_features(" ".join(f"w{i % 40}" for i in range(64)))[0, : quality.WORD_BINS], x[0, : quality.WORD_BINS])
+    for odd in (None, "", " \n", "a", "é", "a b", "\ud7ff", "x" * 300_000):
+        assert np.isfinite(quality.passage_features(odd)).all()
+
+
+def test_quality_of_clashing_columns_and_long_texts(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 30) if i % 2 else "!!! " * 20, i, 0.5, "t", {"k": 1}) for i in range(80)] + [(80, "good " * 200_000, 1, 0.1, "t", None), (80, "good " * 200_000, 1, 0.1, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int, score double, id string, c0 map<string,int>")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.where("doc_id < 80").collect()} == set(range(1, 80, 2))
+    assert quality.quality_report(docs, labels).count() == 82 and quality.keep_good(docs.limit(0), labels).count() == 0
+    few = quality.fit(docs, labels, passages=5)
+    assert few is not None and quality.fit(docs, labels, passages=0) is None
+
+
 def test_attention_finds_the_bad_passage():
     rng = np.random.default_rng(0)
     bags, y = [], []
