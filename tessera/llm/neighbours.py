@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.lineage import settled
 
 DEGREE = 32
-SETTLED_SHARE = 0.001
+SETTLED_SHARE = 0.02
 CELLS_EACH = 3
 CELL_ROWS = 256
 MAX_PIVOTS = 1024
