@@ -161,3 +161,23 @@ def human_size(size: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Percent to one decimal; 0 of nothing is 0."""
     return F.when(whole > 0, F.floor(part.cast("double") / whole * 1000 + 0.5) / 10).otherwise(F.lit(0.0))
+
+
+def percentile_of(ordered: Column, percent: float) -> Column:
+    """The percentile of an ascending array of numbers, between neighbours in proportion; null of an empty one."""
+    place = (F.size(ordered) - 1) * (percent / 100)
+    low = F.get(ordered, F.floor(place).cast("int"))
+    high = F.get(ordered, F.ceil(place).cast("int"))
+    return F.when(F.size(ordered) > 0, low + (high - low) * (place - F.floor(place)))
+
+
+def playtime_summary(reviews: Column) -> Column:
+    """struct<count, median, p25, p75, median_forever> of minutes played, from an array of struct<at_review, forever>; null if no review has any.
+
+    A review counts with its minutes at the review, else with those overall; the last median is of the minutes overall alone."""
+    positive = lambda x: F.when((x > 0) & (x < float("inf")), x.cast("double"))
+    series = lambda f: F.array_sort(F.filter(F.transform(reviews, f), lambda x: x.isNotNull()))
+    at = series(lambda r: F.coalesce(positive(r["at_review"]), positive(r["forever"])))
+    ever = series(lambda r: positive(r["forever"]))
+    found = F.struct(F.size(at).alias("count"), percentile_of(at, 50).alias("median"), percentile_of(at, 25).alias("p25"), percentile_of(at, 75).alias("p75"), percentile_of(ever, 50).alias("median_forever"))
+    return F.when(F.size(at) > 0, found)

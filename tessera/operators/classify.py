@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import normalize_name
 from tessera.functions.scalars import slot
 
 # Product types of the two stores, endings of titles, and genres of software.
@@ -86,3 +87,14 @@ def classify_purchasable(free: Column, prices: list[Column], released: Column, n
         priced = priced | F.coalesce(p > 0, F.lit(False))
     good = ~live | F.coalesce(free, F.lit(False)) | priced | F.coalesce(released > now, F.lit(False)) | yes
     return good | ~no
+
+
+def with_base_exists(listed: DataFrame, items: DataFrame, *, name: str = "name", id_col: str = "id", key: str = "name_normalized", non_item: str = "non_game") -> DataFrame:
+    """The listed rows with `base_exists`: whether another item proper has the normal form of their bundle's base title (false for titles of no bundle).
+
+    A left equi-join with one row for each title; a row without an id is no item yet, so any item counts as another."""
+    held = items.where(F.col(non_item).isNull()).groupBy(F.col(key).alias("__key")).agg(F.min(id_col).alias("__low"), F.max(id_col).alias("__high"))
+    base = listed.withColumn("__base", normalize_name(bundle_base(F.col(name))))
+    base = base.withColumn("__base", F.when(bundle_base(F.col(name)).isNotNull(), F.col("__base")))
+    other = F.col("__low").isNotNull() & (F.col(id_col).isNull() | (F.col("__low") != F.col(id_col)) | (F.col("__high") != F.col(id_col)))
+    return base.join(held, F.col("__base") == F.col("__key"), "left").select(*[listed[c] for c in listed.columns], F.coalesce(other, F.lit(False)).alias("base_exists"))

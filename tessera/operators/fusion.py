@@ -183,3 +183,28 @@ def four_date_release(meta: Column, survey: Column, times: Column, store: Column
     ladder = F.when(near(meta, survey) | near(meta, times), meta).when(near(survey, times), survey)
     ladder = ladder.when(survey.isNotNull() & ~survey.eqNullSafe(store), survey).otherwise(F.coalesce(meta, times, survey, store))
     return F.coalesce(first, ladder)
+
+
+def has_any_price(prices: Column) -> Column:
+    """Whether any region has an initial or a final price; 0 says nothing."""
+    some = F.lit(False)
+    for region in ("usd", "rub", "cis_usd"):
+        some = some | ~empty_number(prices[region]["initial"]) | ~empty_number(prices[region]["final"])
+    return F.coalesce(some, F.lit(False))
+
+
+def store_fields(records: DataFrame, by: str = "game_id", fields: tuple[str, ...] = ("name", "image", "description_en", "description_ru", "achievements")) -> DataFrame:
+    """One row an item: the store's fields and the prices to show, from the long form of extracted records (by, source, priority, vocabulary).
+
+    A field is the first filled one of Steam and GOG, else that of the store record: Steam's, GOG's, or the first by priority of those with a store
+    release.  Prices are those of the first of Steam and GOG that has any, else the store record's.  One aggregation."""
+    own = F.when(F.col("source") == "steam", 0).when(F.col("source") == "gog", 1)
+    rank = F.coalesce(own, F.when(F.col("store_release").isNotNull(), 2 + F.col("priority")))
+    first = lambda value, order, when: F.min_by(F.when(when, value), F.when(when, order))
+    blank = lambda c: F.coalesce(c.cast("string").isin("", "0"), F.lit(True))
+    picks = [first(F.col(f), own, own.isNotNull() & ~blank(F.col(f))).alias(f"__{f}") for f in fields]
+    store = first(F.struct(F.col("source").alias("store"), "prices", *fields), rank, rank.isNotNull()).alias("__store")
+    sold = first(F.col("prices"), own, own.isNotNull() & has_any_price(F.col("prices"))).alias("__prices")
+    found = records.groupBy(by).agg(*picks, store, sold)
+    shown = [F.coalesce(f"__{f}", F.when(~blank(F.col("__store")[f]), F.col("__store")[f])).alias(f) for f in fields]
+    return found.select(by, F.col("__store.store").alias("store"), *shown, F.coalesce("__prices", "__store.prices").alias("prices"))

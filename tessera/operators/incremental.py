@@ -15,8 +15,10 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[Co
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: str) -> DataFrame:
-    """New rows replace old ones of their key; of several new ones the most recent counts.  Old rows without a new one go through an anti-join, unsorted."""
-    turn = Window.partitionBy(*keys).orderBy(F.col(recency).desc_nulls_last())
+    """New rows replace old ones of their key; of several new ones the most recent counts, of equally recent ones that with the smallest hash of all
+    columns but maps.  Old rows without a new one go through an anti-join, unsorted."""
+    tie = F.xxhash64(*[f.name for f in new.schema.fields if "map<" not in f.dataType.simpleString()])
+    turn = Window.partitionBy(*keys).orderBy(F.col(recency).desc_nulls_last(), tie)
     fresh = new.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
@@ -41,12 +43,12 @@ def guarded_upsert(old: DataFrame, new: DataFrame, keys: list[str], *, method: s
 def selective_update(old: DataFrame, new: DataFrame, key: str, *, identity: list[str], always: list[str], overridden: DataFrame | None = None) -> DataFrame:
     """Columns of the old rows set from the new ones: identity columns never, blank new values not, `always` columns even if blank.
 
-    overridden: (key, field, value as string) of values set by hand, which win."""
+    overridden: (key, field, value as string) of values set by hand, which win; of several for one field the largest."""
     names = [c for c in old.columns if c != key]
     joined = old.alias("o").join(new.select(key, *[F.col(c).alias(f"__{c}") for c in names if c in new.columns]), key, "left").withColumn("__hit", F.lit(True))
     hand = None
     if overridden is not None:
-        hand = overridden.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__hand"))
+        hand = overridden.groupBy(key, "field").agg(F.max("value").alias("value")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__hand"))
         joined = joined.join(hand, key, "left")
     out = [F.col(key)]
     for c in names:

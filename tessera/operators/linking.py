@@ -118,3 +118,53 @@ def taken_back(proposals: DataFrame, held: DataFrame, *, target_id: str, candida
     """Proposals whose target holds no other candidate already; held: (target, candidate)."""
     mine = held.select(F.col(target_id).alias("__t"), F.col(candidate).alias("__own"))
     return proposals.join(mine, (F.col(target_id) == F.col("__t")) & (F.col(candidate) != F.col("__own")), "left_anti")
+
+
+def attach_ladder(products: DataFrame, items: DataFrame, links: DataFrame, named: DataFrame, *, own_methods: tuple[str, ...] = ("wikidata", "igdb")) -> DataFrame:
+    """(external_id, item_id, status, method, confidence): where each product of a shop belongs.
+
+    products: external_id, slug, class (null for an item proper), purged.  items: id, shop_id, shop_slug.  links: item_id, external_id, method.
+    named: external_id, item_id, decision (match, ambiguous or none), confidence of a title match.
+    In this order: an item that has the product's id (store, 100), one that has its slug (store, 100), one that is linked to the id or the slug by
+    one of own_methods (that method, 95), the title match.  If the item found by slug or link has another product's id, or the title is
+    ambiguous, it is a conflict.  Without any, the product is purged, of another class (non_item), or a new item (create).  Ties go to the smallest
+    item.  Every step is an equi-join."""
+    p = products.select("external_id", "slug", "class", "purged")
+    own = items.groupBy(F.col("shop_id").alias("external_id")).agg(F.min("id").alias("by_id"))
+    slugged = items.where(F.col("shop_slug").isNotNull()).groupBy(F.col("shop_slug").alias("slug")).agg(F.min(F.struct("id", "shop_id")).alias("by_slug"))
+    asked = p.select("external_id", F.explode(F.array_distinct(F.array_compact(F.array("external_id", "slug")))).alias("key"))
+    via = asked.join(links.where(F.col("method").isin(*own_methods)).select(F.col("external_id").alias("key"), "item_id", "method"), "key")
+    via = via.join(items.select(F.col("id").alias("item_id"), "shop_id"), "item_id").groupBy("external_id").agg(F.min(F.struct("item_id", "shop_id", "method")).alias("by_link"))
+    title = named.groupBy("external_id").agg(F.min(F.struct("item_id", "decision", "confidence")).alias("by_name"))
+    rows = p.join(own, "external_id", "left").join(slugged, "slug", "left").join(via, "external_id", "left").join(title, "external_id", "left")
+    found = F.coalesce(F.col("by_slug.id"), F.col("by_link.item_id"))
+    other = F.when(F.col("by_slug").isNotNull(), F.col("by_slug.shop_id")).otherwise(F.col("by_link.shop_id"))
+    linked = F.col("by_slug").isNull()
+
+    def said(status: str, item: Column | None = None, method: Column | str | None = None, confidence: Column | int | None = None) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(lit(item).cast("bigint").alias("item_id"), F.lit(status).alias("status"), lit(method).cast("string").alias("method"), lit(confidence).cast("int").alias("confidence"))
+
+    verdict = (
+        F.when(F.col("by_id").isNotNull(), said("attach", F.col("by_id"), "store", 100))
+        .when(found.isNotNull() & other.isNotNull() & (other != F.col("external_id")), said("conflict", found))
+        .when(found.isNotNull(), said("attach", found, F.when(linked, F.col("by_link.method")).otherwise("store"), F.when(linked, 95).otherwise(100)))
+        .when(F.col("by_name.decision") == "match", said("attach", F.col("by_name.item_id"), "name", F.col("by_name.confidence")))
+        .when(F.col("by_name.decision") == "ambiguous", said("conflict", F.col("by_name.item_id")))
+        .when(F.coalesce("purged", F.lit(False)), said("purged"))
+        .when(F.col("class").isNotNull(), said("non_item"))
+        .otherwise(said("create", None, "store", 100))
+    )
+    return rows.select("external_id", verdict.alias("v")).select("external_id", "v.*")
+
+
+def backfilled_slugs(items: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, slug, action): slugs that records (id, slug) bring to items (id, slug) without one: set, or collision if another item has it or gets it.
+
+    Of several items that ask for one slug the smallest gets it; of several slugs for one item the first in order counts."""
+    asked = records.where(F.col("slug").isNotNull()).groupBy("id").agg(F.min("slug").alias("wanted"))
+    open_ = items.where(F.col("slug").isNull()).select("id").join(asked, "id")
+    held = items.where(F.col("slug").isNotNull()).groupBy(F.col("slug").alias("wanted")).agg(F.count("*").alias("held"))
+    first = open_.groupBy("wanted").agg(F.min("id").alias("first"))
+    free = F.col("held").isNull() & (F.col("id") == F.col("first"))
+    return open_.join(held, "wanted", "left").join(first, "wanted").select("id", F.col("wanted").alias("slug"), F.when(free, "set").otherwise("collision").alias("action"))

@@ -48,6 +48,19 @@ def dictionary_search(counts: DataFrame, needle: str, n: int = SUGGESTIONS) -> D
     return counts.where(F.contains(low, F.lit(q))).withColumn("rank", rank).orderBy("rank", F.col("n").desc(), "value").limit(n)
 
 
+def distinct_values(items: DataFrame, column: str) -> DataFrame:
+    return items.select(column).distinct()
+
+
+def contains_search(items: DataFrame, needles: dict[str, str]) -> DataFrame:
+    """Rows of which any of the columns, as text, holds its needle; blank needles find nothing."""
+    found = F.lit(False)
+    for column, needle in needles.items():
+        if needle.strip():
+            found = found | F.coalesce(F.contains(F.col(column).cast("string"), F.lit(needle)), F.lit(False))
+    return items.where(found)
+
+
 def keyset_page(items: DataFrame, after: int, n: int, id_col: str = "id") -> DataFrame:
     return items.where(F.col(id_col) > after).orderBy(id_col).limit(n)
 

@@ -41,6 +41,40 @@ def remaining(items: DataFrame, records: DataFrame, key: str, by: str, at: str,
     return items.join(newest, key, "left").groupBy(by).agg(F.count_if(F.col("__at").isNull() | (F.col("__at") < limit)).alias("remaining"))
 
 
+def id_range(items: DataFrame, id_col: str, offset: int = 0) -> DataFrame:
+    """One row (low, high, total): bounds of the ids, and the rows with `offset` counted before."""
+    return items.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"), (F.count("*") + offset).alias("total"))
+
+
+def counted_list(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The wanted rows with `n`, how many rows have their key; 0 where there are none."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return wanted.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def grouped_values(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, held, joined): the distinct values of each group in order, as an array and joined by ', '.  For columns of few values."""
+    held = rows.groupBy(by).agg(F.array_sort(F.collect_set(value)).alias("held"))
+    return held.withColumn("joined", F.array_join("held", ", "))
+
+
+def members(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, value: str) -> DataFrame:
+    """The parents with `members`, the sorted values of their children; an empty array where there are none."""
+    grouped = children.groupBy(F.col(child_key).alias("__key")).agg(F.array_sort(F.collect_list(value)).alias("members"))
+    joined = parents.join(grouped, F.col(parent_key) == F.col("__key"), "left").drop("__key")
+    return joined.withColumn("members", F.coalesce("members", F.array().cast(grouped.schema["members"].dataType)))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, ...): exact percentiles between neighbours in proportion, one column for each name in shares."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.percentile(value, share).alias(name) for name, share in shares.items()])
+
+
+def parsed_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows with `parsed` (fields of the schema; nulls where the text is no JSON) and `keys` (names at the top; null for what is no object)."""
+    return rows.withColumn("parsed", F.from_json(column, schema)).withColumn("keys", F.json_object_keys(column))
+
+
 def write_json(df: DataFrame, path: str, *, gzip: bool = False) -> None:
     """One object a line with all keys, nulls too; the commit protocol makes the folder appear whole."""
     writer = df.write.option("ignoreNullFields", "false")

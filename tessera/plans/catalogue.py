@@ -168,7 +168,7 @@ def dictionary_top(spark, d):
 
 @query("""SELECT DISTINCT o_orderpriority FROM orders""")
 def distinct_values(spark, d):
-    return table(spark, d, "orders").select("o_orderpriority").distinct()
+    return ranking.distinct_values(table(spark, d, "orders"), "o_orderpriority")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200""")
@@ -183,7 +183,7 @@ def offset_page(spark, d):
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE contains(c_name, '77') OR contains(CAST(c_custkey AS VARCHAR), '99')""")
 def contains_search(spark, d):
-    return table(spark, d, "customer").where(F.col("c_name").contains("77") | F.col("c_custkey").cast("string").contains("99")).select("c_custkey", "c_mktsegment")
+    return ranking.contains_search(table(spark, d, "customer"), {"c_name": "77", "c_custkey": "99"}).select("c_custkey", "c_mktsegment")
 
 
 # --- joins, freshness, reports -----------------------------------------------------------------------
@@ -251,28 +251,25 @@ def covered_distinct(spark, d):
 
 @query("""SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) + 1000 AS rolls FROM orders""")
 def id_range(spark, d):
-    return table(spark, d, "orders").agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), (F.count("*") + 1000).alias("rolls"))
+    return reports.id_range(table(spark, d, "orders"), "o_orderkey", 1000).withColumnRenamed("total", "rolls")
 
 
 @query("""WITH m(c_mktsegment, rank) AS (VALUES ('BUILDING', 1), ('MACHINERY', 2), ('NOTHING', 3)), c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)
 SELECT m.c_mktsegment, CAST(rank AS INTEGER) AS rank, coalesce(n, 0) AS n FROM m LEFT JOIN c USING (c_mktsegment)""")
 def fixed_list_join(spark, d):
     fixed = spark.createDataFrame([("BUILDING", 1), ("MACHINERY", 2), ("NOTHING", 3)], "c_mktsegment string, rank int")
-    counts = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return fixed.join(counts, "c_mktsegment", "left").select("c_mktsegment", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+    return reports.counted_list(fixed, table(spark, d, "customer"), "c_mktsegment").select("c_mktsegment", "rank", "n")
 
 
 @query("""SELECT o_orderpriority, CAST(list_sort(list(DISTINCT o_orderstatus)) AS VARCHAR[]) AS statuses, string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS joined FROM orders GROUP BY 1""")
 def grouped_concat(spark, d):
-    statuses = F.array_sort(F.collect_set("o_orderstatus"))
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(statuses.alias("statuses")).withColumn("joined", F.array_join("statuses", ", "))
+    return reports.grouped_values(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus").withColumnRenamed("held", "statuses")
 
 
 @query("""SELECT r_name, CAST(coalesce(list_sort(list(n_name) FILTER (n_name IS NOT NULL)), []) AS VARCHAR[]) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0 GROUP BY 1""")
 def group_join(spark, d):
     nations = table(spark, d, "nation").where("n_nationkey % 2 = 0")
-    joined = table(spark, d, "region").join(nations, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("nations"))
+    return reports.members(table(spark, d, "region"), nations, "r_regionkey", "n_regionkey", "n_name").select("r_name", F.col("members").alias("nations"))
 
 
 @query("""SELECT o_orderkey, c_name, n_name, o_orderstatus = 'O' AS is_open, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents,
@@ -416,7 +413,7 @@ def legacy_release(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS p25, median(value) AS p50, quantile_cont(value, 0.75) AS p75 FROM events GROUP BY 1""")
 def review_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.25).alias("p25"), F.median("value").alias("p50"), F.percentile("value", 0.75).alias("p75"))
+    return reports.percentiles(table(spark, d, "events"), "event_type", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 @query("""WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (value > 10) AS up, count(*) FILTER (value <= 10) AS down FROM events GROUP BY 1, 2)
@@ -622,7 +619,7 @@ def jsonld_pick(spark, d):
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_keys(props) AS VARCHAR[]) AS keys FROM events""")
 def json_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").alias("j"), F.json_object_keys("props").alias("keys")).select("event_id", "j.k", "keys")
+    return reports.parsed_json(table(spark, d, "events"), "props", "k bigint").select("event_id", "parsed.k", "keys")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE NULL END AS chosen FROM documents""")

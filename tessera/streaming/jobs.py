@@ -13,26 +13,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a local one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, on a local master only, a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet table as a stream; files_per_trigger caps the rate."""
+    """A Parquet table, a file or a folder, as a stream; files_per_trigger caps the rate."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
-    return reader.parquet(path + "*")
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # streams take folders and patterns; this pattern fits the path alone
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns the table it wrote; restarts resume from its checkpoint."""
+def run_available(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over what there is and returns the table it wrote.
+
+    With the same `folder`, which holds the table and the checkpoint, a later run goes on where the last one ended and adds to its table; without one
+    every run begins anew."""
     spark = df.sparkSession
-    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    home = folder.rstrip("/") if folder else shared_path(spark, name)
+    out, state = f"{home}/rows", f"{home}/state"
     query = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)

@@ -86,6 +86,27 @@ def test_tables(spark, tmp_path):
     assert reports.markdown_table([{"a": 1234, "b": None}], ["a", "b"]).splitlines()[-1] == "| 1,234 |  |"
 
 
+def test_ties_and_repeated_overrides(spark):
+    old = spark.createDataFrame([(1, "a", 1)], "k int, v string, at int")
+    new = spark.createDataFrame([(2, "c", 2), (2, "d", 2), (2, "e", 2)], "k int, v string, at int")
+    picked = {tuple(r) for p in (1, 2, 5) for r in incremental.upsert(old, new.repartition(p), ["k"], "at").where("k = 2").collect()}
+    assert len(picked) == 1
+    hand = spark.createDataFrame([(1, "v", "x"), (1, "v", "y"), (1, "v", "x")], "k int, field string, value string")
+    assert incremental.selective_update(old, new, "k", identity=[], always=[], overridden=hand).first()["v"] == "y"
+
+
+def test_streams_resume(spark, tmp_path):
+    """A second run of the same folder reads only what came since; neighbours of the table are not read."""
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i int").coalesce(1)
+    source, home = str(tmp_path / "table"), str(tmp_path / "home")
+    rows(1, 2).write.parquet(source)
+    rows(99).write.parquet(source + "2")
+    run = lambda: sorted(r["i"] for r in jobs.run_available(jobs.read_stream(spark, source), "r", folder=home).collect())
+    assert run() == [1, 2]
+    rows(3).write.mode("append").parquet(source)
+    assert run() == [1, 2, 3] and run() == [1, 2, 3]
+
+
 def test_sequences(spark):
     t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
     rows = [(1, 0, "bad", t(0)), (1, 1, "bad", t(30)), (1, 2, "ok", t(31)), (2, 3, "bad", t(0)), (2, 4, "ok", t(5)), (2, 5, "bad", t(40))]
