@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.lineage import settled
+from tessera.llm.lineage import settled, spare
 
 MIN_WORDS = 5
 LINE_KEY = ["h", "g"]
+_SUM_BITS = (1 << 42) - 1  # so many bits of a word's hash: sums over two million words fit a bigint
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, short_repeats: bool) -> DataFrame:
@@ -52,19 +53,32 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (_same_words(a, b) + _same_words(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
+def deletion_variants(lines: DataFrame) -> DataFrame:
+    """Rows (h, g, i, v) of lines (h, g, words): v is the hash of the line whole (i = 0) and without its i-th word.
+
+    A line's hash is made of two sums over its words of a hash of word and place.  Without word i it is the sum before i and, with places one lower,
+    the sum after it; running sums give all variants of a line in time proportional to its length.
+    """
+    spark = lines.sparkSession
+    dealt = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *LINE_KEY)  # long lines are few but heavy
+    words = dealt.select("h", "g", F.size("words").alias("n"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w))).alias("at", "code")).withColumn("i", F.col("at") + 1)
+    parts = {f"{name}{s}": F.xxhash64(F.lit(s), "code", place).bitwiseAND(F.lit(_SUM_BITS)) for s in (1, 2) for name, place in (("own", F.col("i")), ("moved", F.col("i") - 1))}
+    line = Window.partitionBy(*LINE_KEY)
+    so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = words.select("h", "g", "n", "i", *[c.alias(k) for k, c in parts.items()])
+    sums = sums.select("h", "g", "n", "i", *[F.sum(f"own{s}").over(line).alias(f"whole{s}") for s in (1, 2)], *[(F.sum(f"own{s}").over(so_far) - F.col(f"own{s}") + F.sum(f"moved{s}").over(line) - F.sum(f"moved{s}").over(so_far)).alias(f"without{s}") for s in (1, 2)])
+    variant = F.struct("i", F.xxhash64("without1", "without2", F.col("n") - 1).alias("v"))
+    whole = F.struct(F.lit(0).alias("i"), F.xxhash64("whole1", "whole2", "n").alias("v"))
+    return sums.select("h", "g", F.explode(F.when(F.col("i") == 1, F.array(whole, variant)).otherwise(F.array(variant))).alias("x")).select("h", "g", "x.i", "x.v")
+
+
 def near_lines(candidates: DataFrame) -> DataFrame:
     """Rows (h, g, other): for each line (h, g, words, first) the earliest lines within one word edit, one for each variant at most.
 
     Each line emits its hash whole and without each of its words.  A replaced word at place i shows as equal variants without i, an inserted one as
     a variant equal to a whole line.  Each group of equal keys is aggregated, not paired.
     """
-    spark = candidates.sparkSession
-    dealt = candidates.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *LINE_KEY)  # long lines are few but heavy
-    coded = dealt.select("h", "g", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    n = F.size("words")
-    gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("v")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("words").alias("v")))
-    keys = settled(coded.select("h", "g", F.explode(F.concat(whole, gaps)).alias("x")).select("h", "g", "x.i", "x.v"), "variants")
+    keys = settled(deletion_variants(candidates.select("h", "g", "words")), "variants")
     again = keys.groupBy("v").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("v")
     owners = candidates.select("h", "g", F.struct("first", "h", "g").alias("own"))
     shared = settled(keys.join(again, "v").join(owners, LINE_KEY), "shared")  # keys of two lines at least
@@ -101,26 +115,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = seen.select(*LINE_KEY, "id", "row", "line_no", "line").join(close, LINE_KEY).where(_place() == F.col("first")).select(*LINE_KEY, "first", F.split("line", " ").alias("words")).dropDuplicates(LINE_KEY)
     near = settled(near_lines(settled(texts, "candidates")).groupBy(*LINE_KEY).agg(F.min("near").alias("near")), "near")
 
-    marked = lines.select(*LINE_KEY, "first", "n").join(near, LINE_KEY, "left").select(*LINE_KEY, F.coalesce(F.least("first", "near"), "first").alias("kept"), (F.col("n") > 1) .alias("again"), (F.col("near") < F.col("first")).alias("late"))
+    marked = lines.select(*LINE_KEY, "first", "n").join(near, LINE_KEY, "left").select(*LINE_KEY, F.coalesce(F.least("first", "near"), "first").alias("kept"), (F.col("n") > 1).alias("again"), (F.col("near") < F.col("first")).alias("late"))
     marked = marked.where("again OR late").select(*LINE_KEY, "kept")
     gone = seen.select(*LINE_KEY, "id", "row", "line_no").join(marked, LINE_KEY).where(_place() > F.col("kept"))
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def _row_joined(docs: DataFrame, gone: DataFrame, id_col: str, row: Column) -> DataFrame:
-    marked = docs.withColumn("__row", row)
-    gone = gone.select(F.col("id").alias("__id"), F.col("row").alias("__gone"), F.col("dropped").alias("__dropped"))
-    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__row"] == gone["__gone"]), "left").drop("__id", "__gone", "__row")
+    """The documents and last, in a column of an unused name, the numbers of their lines that go (null: none)."""
+    row_, id_, gone_, dropped_ = spare(docs.columns, "row", "id", "gone", "dropped")
+    marked = docs.withColumn(row_, row)
+    gone = gone.select(F.col("id").alias(id_), F.col("row").alias(gone_), F.col("dropped").alias(dropped_))
+    return marked.join(gone, marked[id_col].eqNullSafe(gone[id_]) & (marked[row_] == gone[gone_]), "left").select(*[marked[f"`{c}`"] for c in docs.columns], gone[dropped_])
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: the id, n_lines (0 for null text), n_dropped and dropped (numbers of the lines that go, ascending)."""
-    gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words), "dropped")
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
+    """One row per document: the id, n_lines (0 for null text), n_dropped and dropped (numbers of the lines that go, ascending).  Nulls, repeats and
+    ties as repeated_lines; other columns are ignored; an empty table gives an empty result."""
+    gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words, short_repeats=short_repeats), "dropped")
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"), F.xxhash64(text).alias("__text"), text.isNull().alias("__none"))
-    slim = slim.withColumn("n_lines", F.when(F.col("__none"), 0).otherwise(F.col("n_lines"))).drop("__none")
-    out = _row_joined(slim, gone, id_col, F.col("__text")).withColumn("dropped", F.coalesce("__dropped", F.array().cast("array<int>")))
-    return out.select(id_col, "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    slim = docs.select(F.col(id_col).alias("key"), n_lines.alias("n_lines"), F.xxhash64(text).alias("text"))
+    out = _row_joined(slim, gone, "key", F.col("text")).toDF("key", "n_lines", "text", "gone").withColumn("dropped", F.coalesce("gone", F.array().cast("array<int>")))
+    return out.select(F.col("key").alias(id_col), "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False, length_col: str | None = None) -> DataFrame:
@@ -131,9 +148,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words, short_repeats=short_repeats), "dropped")
     text = F.col(text_col).cast("string")
     out = _row_joined(docs, gone, id_col, F.xxhash64(text))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    changed = F.col("__dropped").isNotNull()
+    dropped = F.col(f"`{out.columns[-1]}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(dropped, i)), "\n")
+    changed = dropped.isNotNull()
     out = out.withColumn(text_col, F.when(changed, left).otherwise(F.col(text_col)))
     if length_col:
         out = out.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

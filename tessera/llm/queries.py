@@ -44,15 +44,16 @@ def op5_best_fit(spark, sf_dir):
 def op9_line_dedup(spark, sf_dir):
     from tessera.llm.line_dedup import line_report
 
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), short_repeats=True)
 
 
 ORACLES["op9_line_dedup"] = """
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-words AS (SELECT doc_id, line_no, line, string_split(line, ' ') AS w FROM lines WHERE len(string_split(line, ' ')) >= 5),
-d AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, min((doc_id, line_no)) AS first FROM words GROUP BY line),
+words AS (SELECT doc_id, line_no, line, string_split(line, ' ') AS w FROM lines WHERE line <> ''),
+every AS (SELECT line, any_value(w) AS w, len(any_value(w)) AS n, min((doc_id, line_no)) AS first FROM words GROUP BY line),
+d AS (SELECT * FROM every WHERE n >= 5),
 pairs AS (
   SELECT a.line, a.w AS aw, a.n AS an, b.w AS bw, b.n AS bn, b.first FROM d a JOIN d b ON a.w[1] = b.w[1] AND abs(a.n - b.n) <= 1 AND b.first < a.first
   UNION ALL
@@ -65,7 +66,7 @@ measured AS (
 near AS (SELECT line, min(first) AS near FROM measured
   WHERE (CASE WHEN head < 0 THEN least(an, bn) ELSE head END) + (CASE WHEN tail < 0 THEN least(an, bn) ELSE tail END) >= greatest(an, bn) - 1 GROUP BY line),
 gone AS (
-  SELECT w.doc_id, list(w.line_no ORDER BY w.line_no) AS dropped FROM words w JOIN d USING (line) LEFT JOIN near USING (line)
+  SELECT w.doc_id, list(w.line_no ORDER BY w.line_no) AS dropped FROM words w JOIN every d USING (line) LEFT JOIN near USING (line)
   WHERE (w.doc_id, w.line_no) > d.first OR (near.near IS NOT NULL AND (w.doc_id, w.line_no) > near.near) GROUP BY w.doc_id)
 SELECT t.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines,
   CAST(coalesce(len(dropped), 0) AS INTEGER) AS n_dropped, coalesce(CAST(dropped AS INTEGER[]), []) AS dropped

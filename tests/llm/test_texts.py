@@ -171,6 +171,29 @@ def test_line_dedup_equals_brute_force(spark):
         assert left[i]["text"] == want and left[i]["n_chars"] == (None if t is None else len(want))
 
 
+def test_variants_are_hashes_of_what_is_left(spark):
+    """Equal for equal lists of words and only for these, whether whole or without a word."""
+    rng = random.Random(41)
+    lines = [[rng.choice("abc") for _ in range(rng.randrange(1, 7))] for _ in range(60)]
+    got = line_dedup.deletion_variants(spark.createDataFrame([(k, 0, w) for k, w in enumerate(lines)], "h bigint, g int, words array<string>")).collect()
+    left = {(r["h"], r["i"]): tuple(lines[r["h"]][: r["i"] - 1] + lines[r["h"]][r["i"] :]) if r["i"] else tuple(lines[r["h"]]) for r in got}
+    assert len(got) == sum(len(w) + 1 for w in lines) == len(left)
+    by = {}
+    for r in got:
+        by.setdefault(r["v"], set()).add(left[r["h"], r["i"]])
+    assert all(len(held) == 1 for held in by.values()) and len(by) == len(set(left.values()))
+
+
+def test_short_repeats_long_lines_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, "Hi.\nHi.\n\n\none two three four five"), (2, "Hi.\none two three four six"), (3, long), (4, long.replace("w777 ", "", 1)), (5, None), (None, "Hi."), (None, "Hi.")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id bigint, text string, row int, gone string, __id int")
+    got = [(r["doc_id"], r["dropped"]) for r in line_dedup.line_report(docs, short_repeats=True).collect()]
+    assert sorted(got, key=str) == sorted([(1, [1]), (2, [0, 1]), (3, []), (4, [0]), (5, []), (None, [0]), (None, [0])], key=str)
+    left = line_dedup.dedup_lines(docs, short_repeats=True)
+    assert left.columns == docs.columns and {r["doc_id"]: r["text"] for r in left.collect()}[1] == "Hi.\n\n\none two three four five"
+
+
 def test_pipeline_drops_repeats_of_short_lines(spark):
     import corpus_pipeline
 
