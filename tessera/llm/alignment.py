@@ -18,7 +18,6 @@ class _Hashes(dict):
 
 _hashes = _Hashes()
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 32
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -102,7 +101,8 @@ def band_width(n: int, m: int, similarity: float) -> int:
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     """Edit distance of two code sequences if it is at most `band`, else None.
 
-    Only diagonals within the band are followed: for each cost, the furthest row reached on every diagonal.
+    Only cells within `band` of the diagonal are followed, a column of them at a time as the bits of one integer (the bit-vector algorithms of
+    Myers 1999 and, for the band, of Hyyro 2003).
     """
     n, m = len(a), len(b)
     if abs(n - m) > band:
@@ -119,34 +119,50 @@ def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return max(n, m) if max(n, m) <= band else None
-    common = _shared(a, b)
-    if max(n, m) - common > band:
+    if max(n, m) - _shared(a, b) > band:
         return None
-    pad_a = np.concatenate([a.view(np.int64), np.zeros(_BLOCK, np.int64)])
-    pad_b = np.concatenate([b.view(np.int64), np.ones(_BLOCK, np.int64)])
-    ahead = np.arange(_BLOCK)
-    goal = m - n
-    low_k = high_k = 0
-    reach = _slide(pad_a, pad_b, np.zeros(1, np.int64), np.zeros(1, np.int64), n, m, ahead)
-    if goal == 0 and reach[0] >= n:
-        return 0
-    for cost in range(1, band + 1):
-        wide = np.full(len(reach) + 4, -(1 << 40), dtype=np.int64)
-        wide[2:-2] = reach
-        diagonals = np.arange(low_k - 1, high_k + 2)
-        now = np.maximum(np.maximum(wide[1:-1] + 1, wide[:-2]), wide[2:] + 1)
-        rest = band - cost
-        fit = (diagonals >= goal - rest) & (diagonals <= goal + rest) & (diagonals >= -n) & (diagonals <= m)
-        first, last = int(fit.argmax()), len(fit) - int(fit[::-1].argmax())
-        if not fit.any():
+    rows, places = {}, a.tolist()
+    for i, word in enumerate(places):
+        rows[word] = rows.get(word, 0) | 1 << i
+    found = _whole_columns(rows, n, b.tolist()) if n <= 2 * band + 1 else _band_columns(rows, n, b.tolist(), band)
+    return found if found is not None and found <= band else None
+
+
+def _whole_columns(rows: dict[int, int], n: int, b: list[int]) -> int:
+    """Distance of n words, given by the bits of their places, from the words b; `up` and `down` are the steps of +1 and -1 along a column."""
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = whole, 0, n
+    for word in b:
+        same = rows.get(word, 0) | down
+        free = (((same & up) + up) ^ up) | same
+        right, left = (down | ~(free | up)) & whole, free & up
+        distance += bool(right & last) - bool(left & last)
+        right, left = right << 1 | 1, left << 1
+        up, down = (left | ~(free | right)) & whole, right & free & whole
+    return distance
+
+
+def _band_columns(rows: dict[int, int], n: int, b: list[int], band: int) -> int | None:
+    """As _whole_columns, for columns cut to 2 * band + 1 cells around the diagonal, which move down by one with each word; None once the distance
+    is above the band for certain."""
+    width = 2 * band + 1
+    whole, last = (1 << width) - 1, 1 << (width - 1)
+    up, down, distance = whole ^ ((1 << band) - 1), 0, band
+    for j, word in enumerate(b, 1):
+        held, shift = rows.get(word, 0), j - band - 1
+        same = (held >> shift if shift >= 0 else held << -shift) & whole
+        free = (((same & up) + up) ^ up) | same | down
+        right, left = (down | ~(free | up)) & whole, free & up
+        if j + band <= n:  # the lowest cell of the band is in the table: down its diagonal
+            distance += not free & last
+        else:  # along the last row
+            place = 1 << (n - j + band)
+            distance += bool(right & place) - bool(left & place)
+        if distance - (len(b) - j) > band and j + band >= n:
             return None
-        diagonals, now = diagonals[first:last], now[first:last]
-        now = np.minimum(now, np.minimum(n, m - diagonals))
-        reach = _slide(pad_a, pad_b, now, diagonals, n, m, ahead)
-        low_k, high_k = int(diagonals[0]), int(diagonals[-1])
-        if low_k <= goal <= high_k and reach[goal - low_k] >= n:
-            return cost
-    return None
+        free >>= 1
+        up, down = (left | ~(free | right)) & whole, free & right
+    return distance
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -154,18 +170,3 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     values, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
     inverse = inverse.reshape(-1)
     return int(np.minimum(np.bincount(inverse[: len(a)], minlength=len(values)), np.bincount(inverse[len(a) :], minlength=len(values))).sum())
-
-
-def _slide(a, b, rows, diagonals, n, m, ahead):
-    rows = rows.copy()
-    active = np.flatnonzero((rows >= 0) & (rows < n) & (rows + diagonals < m) & (rows + diagonals >= 0))
-    while len(active):
-        i = rows[active]
-        j = i + diagonals[active]
-        same = a[i[:, None] + ahead] == b[j[:, None] + ahead]
-        run = np.where(same.all(axis=1), len(ahead), same.argmin(axis=1))
-        run = np.minimum(run, np.minimum(n - i, m - j))
-        rows[active] = i + run
-        active = active[run == len(ahead)]
-        active = active[(rows[active] < n) & (rows[active] + diagonals[active] < m)]
-    return rows

@@ -52,6 +52,21 @@ def test_banded_distance():
         assert found == (d if d <= band else None)
 
 
+def test_distance_in_narrow_and_wide_bands():
+    """Longer sequences, bands from 0 to wider than the sequences, insertions and deletions at either end."""
+    rng = random.Random(61)
+    for _ in range(250):
+        a = [rng.randrange(rng.choice([3, 50])) for _ in range(rng.randrange(1, 130))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = [rng.randrange(60) for _ in range(rng.randrange(3))]
+        d = distance(a, b)
+        for band in {0, 1, 2, d - 1, d, d + 1, 3 * d, 200} - {-1}:
+            found = alignment.banded_distance(np.array(a, np.uint64), np.array(b, np.uint64), band)
+            assert found == (d if d <= band else None), (a, b, band)
+
+
 def test_kmers_are_labelled_and_order_matters():
     k = alignment.labelled_kmers(alignment.word_codes("a a a a a a a"), 5)
     assert len(set(k.tolist())) == 3
