@@ -26,7 +26,7 @@ MONTHS = {
 
 
 def _found(date: Column, precision: str) -> Column:
-    return F.when(date.isNotNull(), F.struct(date.alias("date"), F.lit(precision).alias("precision")))
+    return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(precision).alias("precision"))))
 
 
 def _parts(tokens: Column, table: Column) -> Column:

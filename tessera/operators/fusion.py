@@ -174,15 +174,20 @@ def resolve_release(candidates: DataFrame, by: str = "item_id", tolerance: int =
 def four_date_release(meta: Column, survey: Column, times: Column, store: Column, platform: Column, months: int = 8) -> Column:
     """The older rule for four dates: three of the six pairs within `months` decide (the first date of the last such pair), else the first near pair."""
     four = [meta, survey, times, store]
-    near = lambda a, b: F.coalesce(whole_months(a, b) <= months, F.lit(False))
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    count = sum((near(four[i], four[j]).cast("int") for i, j in pairs), F.lit(0))
-    last = F.coalesce(*[F.when(near(four[i], four[j]), four[i]) for i, j in reversed(pairs)])
-    whole = meta.isNotNull() & survey.isNotNull() & times.isNotNull() & store.isNotNull()
-    first = F.when(whole, F.when(count >= 3, last)).when(F.coalesce(platform != "Steam", F.lit(True)), store)
-    ladder = F.when(near(meta, survey) | near(meta, times), meta).when(near(survey, times), survey)
-    ladder = ladder.when(survey.isNotNull() & ~survey.eqNullSafe(store), survey).otherwise(F.coalesce(meta, times, survey, store))
-    return F.coalesce(first, ladder)
+    measured = F.array(*[F.coalesce(whole_months(four[i], four[j]) <= months, F.lit(False)) for i, j in pairs])
+
+    def ruled(near: Column) -> Column:
+        of = {pair: near[at] for at, pair in enumerate(pairs)}
+        count = F.size(F.filter(near, lambda x: x))
+        last = F.coalesce(*[F.when(of[i, j], four[i]) for i, j in reversed(pairs)])
+        whole = meta.isNotNull() & survey.isNotNull() & times.isNotNull() & store.isNotNull()
+        first = F.when(whole, F.when(count >= 3, last)).when(F.coalesce(platform != "Steam", F.lit(True)), store)
+        ladder = F.when(of[0, 1] | of[0, 2], meta).when(of[1, 2], survey)
+        ladder = ladder.when(survey.isNotNull() & ~survey.eqNullSafe(store), survey).otherwise(F.coalesce(meta, times, survey, store))
+        return F.coalesce(first, ladder)
+
+    return let(measured, ruled)
 
 
 def has_any_price(prices: Column) -> Column:

@@ -29,7 +29,8 @@ VOCABULARY: dict[str, str] = {
     "time_main": "double", "time_complete": "double", "time_main_igdb": "double", "time_complete_igdb": "double", "time_gamefaqs": "double",
     "playtime_review_minutes": "double", "playtime_review_count": "bigint", "playtime_review_p25": "double", "playtime_review_p75": "double", "playtime_median": "double", "playtime_mean": "double",
 }
-EARLY_ACCESS_GENRE = "70"
+EARLY_ACCESS_GENRE = "70"  # a fixed value
+# The stores' names of systems, the game database's forms of dates, and legal forms of companies.
 PLATFORMS = {"windows": "WIN", "mac": "MAC", "osx": "MAC", "linux": "LNX"}
 DATE_FORMATS = {0: "day", 1: "month", 2: "year", 3: "quarter", 4: "quarter", 5: "quarter", 6: "quarter", 7: "unknown"}
 # Numbers of the game database for stores and kinds of web sites.
