@@ -16,7 +16,8 @@ from tessera.llm.lineage import settled, sliced
 from tessera.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
-BUCKETS = 1024
+BUCKET_ROWS = 1000
+LARGEST_ID = 65_535  # packed ids and positions are unsigned 16-bit numbers
 
 
 class CapacityTree:
@@ -125,7 +126,10 @@ def _cutter(path: str, capacity: int, end_id: int | None, keep_ids: bool):
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype("<u2").tobytes())
+                        wide = np.frombuffer(part, "<u4")
+                        if wide.max() > LARGEST_ID:
+                            raise ValueError(f"id {wide.max()} does not fit 16 bits")
+                        ids.append(wide.astype("<u2").tobytes())
             columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
@@ -161,13 +165,14 @@ def _placer(plan: Plan, wanted: list[str]):
 def placed(cut: DataFrame, capacity: int) -> DataFrame:
     """The pieces with sequence_id and offset by best-fit decreasing over all of them; `cut` is settled (read twice).
 
-    The driver sees one count for each length, at most `capacity` numbers.  A piece's rank among those of its length is its place in a hash bucket
-    plus the size of the buckets before, so that no task sorts a whole length.
+    The driver sees one count for each length, at most `capacity` numbers.  A piece's rank among those of its length is its place in a hash bucket of
+    about BUCKET_ROWS of them plus the size of the buckets before, so that no task sorts a whole length.
     """
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_decreasing(histogram, capacity)
     names = cut.columns
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")))
@@ -235,8 +240,11 @@ def packed_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per packed sequence: input_ids and position_ids (capacity little-endian unsigned 16-bit numbers each, padded with pad_id and 0),
     cu_seqlens (0 and the end of each segment), doc_ids and pieces of the segments, n_tokens.  Positions restart at 0 in each segment.
 
-    Texts of more than `capacity` ids are cut without loss.  Nulls, repeats and empty tables: as best_fit_pack.
+    Texts of more than `capacity` ids are cut without loss.  Nulls, repeats and empty tables: as best_fit_pack.  ValueError if an id, the padding or a
+    position does not fit 16 bits.
     """
+    if not 1 <= capacity <= LARGEST_ID + 1 or not 0 <= pad_id <= LARGEST_ID:
+        raise ValueError(f"capacity {capacity} or padding {pad_id} does not fit 16 bits")
     cut = settled(pieces(docs, id_col, text_col, capacity, end_id, keep_ids=True, path=path).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     places = placed(cut.drop("ids", "start"), capacity).select("uid", "sequence_id", "offset")  # ids stay out of the ranking
     laid = cut.join(places, "uid").select("sequence_id", "offset", "id", "piece", "length", "ids")

@@ -108,6 +108,13 @@ def test_warc_report(spark):
     assert any(r["headers"] is None and r["gap_end"] for r in read)
 
 
+def test_warc_of_very_long_pages(spark):
+    long = "<p>é</p>" * 500_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (2, "u", long), (3, None, "")], "page_id bigint, url string, html string")
+    got = sorted(tuple(r)[::3] for r in warc.warc_report(pages).collect())
+    assert got == [(1, "response"), (2, "revisit"), (2, "revisit"), (3, "response")]
+
+
 def test_wav_and_payload():
     for text in ("", None, "a", "é" * 288, "x" * 577):
         raw = audio.padded(text)

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,14 @@ def test_short_texts_and_repeats(spark):
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6, 8: 8}
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(33)
+    long = words(rng, 120_000, 10**6)
+    rows = [(1, long), (2, long.replace(" w1", " v1", 9)), (3, words(rng, 120_000, 10**6)), (4, "spam " * 50_000), (5, "spam " * 50_001)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_large_bucket_loses_no_link(spark, monkeypatch):
     """Many unlike texts around one passage, near pairs among them; blocks are small, so that pairs lie within and across them."""
     monkeypatch.setattr(near_dup, "BLOCK", 16)
@@ -303,6 +312,20 @@ def test_pack_round_trip(spark):
     assert packing.best_fit_pack(docs.limit(0)).count() == packing.packed_matrices(docs.limit(0)).count() == 0
 
 
+def test_matrices_refuse_what_does_not_fit(spark, monkeypatch):
+    docs = frame(spark, [(1, "some words here")])
+    for wrong in ({"capacity": 70_000}, {"pad_id": 65_536}, {"capacity": 0}):
+        with pytest.raises(ValueError):
+            packing.packed_matrices(docs, **wrong)
+    assert packing.packed_matrices(docs, capacity=65_536, pad_id=65_535).first()["n_tokens"] > 2
+    cut = packing._cutter(tokens.vocabulary_path(), 8, 70_000, True)
+    with pytest.raises(ValueError, match="16 bits"):
+        list(cut([pa.RecordBatch.from_pydict({"id": [1], "text": ["x"]})]))
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)  # several buckets of one length
+    got = packing.best_fit_pack(frame(spark, [(i, "same") for i in range(40)]), capacity=16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 40 and len({r["sequence_id"] for r in got}) == -(-40 // (16 // got[0]["length"]))
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 10, "c": 100}, {"a": 5, "b": 2, "c": 1}, 210)
     assert t["b"] == 30 and abs(float(t["a"]) - 150) < 1e-9 and abs(float(t["c"]) - 30) < 1e-9
