@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import let
 
+# Words for a date that is not known.
 UNKNOWN = ("coming soon", "tba", "to be announced", "soon", "скоро", "дата неизвестна", "demnächst", "bientôt")
 # Month names and abbreviations in English, Russian, German and French.
 MONTHS = {

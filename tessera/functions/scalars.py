@@ -181,3 +181,9 @@ def playtime_summary(reviews: Column) -> Column:
     ever = series(lambda r: positive(r["forever"]))
     found = F.struct(F.size(at).alias("count"), percentile_of(at, 50).alias("median"), percentile_of(at, 25).alias("p25"), percentile_of(at, 75).alias("p75"), percentile_of(ever, 50).alias("median_forever"))
     return F.when(F.size(at) > 0, found)
+
+
+def year_of(text: Column) -> Column:
+    """The year that a date as text begins with; null if it begins with no four digits or with 0000."""
+    year = F.regexp_extract(text.cast("string"), r"^\s*(\d{4})(?!\d)", 1).try_cast("int")
+    return F.when(year > 0, year)

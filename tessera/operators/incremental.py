@@ -130,3 +130,19 @@ def replace_version(df: DataFrame, path: str) -> str:
     version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     return version
+
+
+def replaced_members(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
+    """Membership rows with the groups that `new` names replaced as a whole by its distinct rows; other groups stay.  A group is emptied by a row of
+    nulls but for its key."""
+    fresh = new.select(*old.columns).distinct()
+    others = [F.col(c).isNotNull() for c in old.columns if c != group]
+    kept = others[0]
+    for c in others[1:]:
+        kept = kept & c
+    return old.join(new.select(group).distinct(), group, "left_anti").unionByName(fresh.where(kept))
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Adds rows to a log table; readers see all of an append or none of it."""
+    df.write.mode("append").parquet(path)

@@ -95,3 +95,15 @@ def stale_by_status(items: DataFrame, records: DataFrame, *, key: str, now: str,
 def newest(items: DataFrame, keep: int, by: list[Column], order: list[Column]) -> DataFrame:
     """Rows beyond the `keep` newest of each group: what pruning removes."""
     return items.withColumn("__turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__turn") > keep).drop("__turn")
+
+
+def natural_key(name: Column) -> Column:
+    """A sort key in which numbers count as numbers and case does not: theme2 before theme10."""
+    runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0")).otherwise(r)), "")
+
+
+def natural_listing(files: DataFrame, pattern: str, name_col: str = "name") -> DataFrame:
+    """(place, name) of the files whose whole name fits the pattern in any case, in natural order; for listings of one folder."""
+    found = files.where(F.col(name_col).rlike(f"(?i)^(?:{pattern})$"))
+    return found.select(F.row_number().over(Window.orderBy(natural_key(F.col(name_col)), name_col)).alias("place"), F.col(name_col).alias("name"))

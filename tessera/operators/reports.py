@@ -91,3 +91,15 @@ def markdown_table(rows: list, columns: list[str]) -> str:
     cells = [[f"{v:,}" if isinstance(v, int) else "" if v is None else str(v) for v in (r[c] for c in columns)] for r in rows]
     lines = [columns, ["---"] * len(columns), *cells]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def counters(rows: DataFrame, by: str, totals: dict[str, Column]) -> DataFrame:
+    """One row for each source with how many of its rows meet each condition: the counters of a run."""
+    return rows.groupBy(by).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in totals.items()])
+
+
+def source_status(sources: DataFrame, statuses: DataFrame, covered_items: DataFrame, states: DataFrame, by: str = "source") -> DataFrame:
+    """The fixed list of sources in its order with counts by status, covered items and state; counts are 0, flags false and times null where there are none."""
+    out = sources.join(statuses, by, "left").join(covered_items, by, "left").join(states, by, "left")
+    zero = {c: 0 for d in (statuses, covered_items) for c in d.columns if c != by}
+    return out.fillna(zero).fillna({c: False for c, kind in states.dtypes if kind == "boolean"})

@@ -44,3 +44,12 @@ def repeated_failures(events: DataFrame, by: str, order: list[str], at: str, bad
 def backlog(pending: Column, batch: int) -> Column:
     """What a source does with its queue: skip enqueueing over half a batch, trim over two."""
     return F.when(pending > 2 * batch, "trim").when(pending > batch / 2, "skip").otherwise("enqueue")
+
+
+def with_pause(events: DataFrame, by: str, at: str, block: Column, hours: int) -> DataFrame:
+    """The events with `paused`: whether a block of their source less than `hours` earlier still holds it up.  A later block begins the pause anew.
+
+    Events of one moment do not pause each other.  One window of running maxima over each source."""
+    before = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(block, F.col(at))).over(before)
+    return events.withColumn("paused", F.coalesce(F.col(at) < last + F.make_interval(hours=F.lit(hours)), F.lit(False)))

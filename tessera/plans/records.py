@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import names, scalars
-from tessera.operators import classify, facets, fusion, incremental, linking, publishing, reports, sequences
+from tessera.operators import classify, facets, fusion, incremental, linking, publishing, ranking, reports, sequences
 from tessera.session import table
 from tessera.sources import extractors, review_pages
 from tessera.streaming import jobs
@@ -394,3 +394,52 @@ def names_export(spark, d):
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 300 > 200 THEN 'trim' WHEN o_orderkey % 300 > 50 THEN 'skip' ELSE 'enqueue' END AS verdict FROM orders""")
 def back_pressure(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sequences.backlog(F.col("o_orderkey") % 300, 100).alias("verdict"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 1950 + c_custkey % 70 END AS year FROM customer""")
+def years(spark, d):
+    k = F.col("c_custkey")
+    shown = F.when(k % 3 == 0, F.concat(_text(1950 + k % 70), F.lit("-02-03"))).when(k % 3 == 1, _text(1950 + k % 70)).otherwise(F.element_at(F.array(F.lit("0000-01-01"), F.lit("19777"), F.lit("soon"), F.lit(None)), (k % 4 + 1).cast("int")))
+    return table(spark, d, "customer").select("c_custkey", scalars.year_of(shown).alias("year"))
+
+
+@query("""SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'error' AND b.ts < e.ts AND e.ts < b.ts + INTERVAL 3 HOURS) AS paused FROM events e""")
+def timed_pause(spark, d):
+    """Events that meet a source held up by an error of the three hours before."""
+    return sequences.with_pause(table(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error", 3).select("event_id", "paused")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY n) AS INTEGER) AS place, 'Theme' || n || '-x.mp3' AS name FROM (SELECT DISTINCT p_size AS n FROM part)""")
+def theme_listing(spark, d):
+    sizes = table(spark, d, "part").select("p_size").distinct()
+    names_ = sizes.select(F.explode(F.array(*[F.concat(F.lit(head), _text("p_size"), F.lit(tail)) for head, tail in (("Theme", "-x.mp3"), ("theme", ".txt"), ("other", ".ogg"))])).alias("name"))
+    return ranking.natural_listing(names_, r"theme[\w-]*\.(mp3|ogg|m4a)")
+
+
+@query("""SELECT o_custkey AS preset, o_orderkey AS item FROM orders WHERE o_custkey % 3 > 0 UNION ALL SELECT DISTINCT o_custkey, -1 FROM orders WHERE o_custkey % 6 = 0""")
+def preset_replacement(spark, d):
+    """A third of the presets is replaced: half of these by one item that is given twice, the rest by nothing."""
+    old = table(spark, d, "orders").select(F.col("o_custkey").alias("preset"), F.col("o_orderkey").alias("item"))
+    new = old.where("preset % 3 = 0").select("preset", F.when(F.col("preset") % 6 == 0, -1).cast("bigint").alias("item"))
+    return incremental.replaced_members(old, new.unionByName(new), "preset")
+
+
+@query("""SELECT o_orderpriority AS source, count(*) * 2 AS rolls, CAST(count(*) * 6 AS BIGINT) AS items FROM orders GROUP BY 1""")
+def roll_log(spark, d):
+    """Two appends to the log of rolls, each with its list of items."""
+    path, k = jobs.shared_path(spark, "rolls"), F.col("o_orderkey")
+    rolls = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.array(k, k + 1, k + 2).alias("items"))
+    for _ in range(2):
+        incremental.append_rows(rolls, path)
+    log = spark.read.parquet(path)
+    return log.groupBy("source").agg(F.count("*").alias("rolls"), F.sum(F.size("items")).alias("items"))
+
+
+@query("""WITH s(source) AS (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')), c AS (SELECT o_orderpriority AS source, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'F') AS error, count(DISTINCT o_custkey) AS covered FROM orders GROUP BY 1)
+SELECT s.source, coalesce(ok, 0) AS ok, coalesce(error, 0) AS error, coalesce(covered, 0) AS covered, s.source = '2-HIGH' AS paused FROM s LEFT JOIN c USING (source)""")
+def sources_report(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "source")
+    fixed = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "source string")
+    statuses = reports.counters(o, "source", {"ok": F.col("o_orderstatus") == "O", "error": F.col("o_orderstatus") == "F"})
+    covered = reports.covered(o, o.select("o_custkey"), "source", "o_custkey")
+    return reports.source_status(fixed, statuses, covered, spark.createDataFrame([("2-HIGH", True)], "source string, paused boolean"))

@@ -49,16 +49,16 @@ def test_databases(spark):
     assert f["links"]["steam"]["id"] == "10" and f["links"]["wikipedia"]["url"] == "w"
     f = extract(spark, "steamspy", {"appid": 1, "name": "n", "positive": 3, "negative": 0, "owners": "20,000 .. 50,000", "median_forever": 0, "average_forever": 5, "tags": {"b": 1, "a": 9}})
     assert (f["score_steam"], f["score_steam_votes"], f["owners_estimate"]) == (75, 3, 35000) and f["tags"] == ["a", "b"] and "playtime_median" not in f and f["playtime_mean"] == 5
-    f = extract(spark, "hltb", {"release_na": "2011-04-19", "comp_main": 30600, "comp_100": 0, "profile_steam": 620})
-    assert f["time_main"] == 8.5 and "time_complete" not in f and f["links"]["steam"]["id"] == "620" and f["release"]["precision"] == "day"
+    f = extract(spark, "hltb", {"release_na": "2013-07-09", "comp_main": 30600, "comp_100": 0, "profile_steam": 4242})
+    assert f["time_main"] == 8.5 and "time_complete" not in f and f["links"]["steam"]["id"] == "4242" and f["release"]["precision"] == "day"
     f = extract(spark, "gamerankings", {"id": "1", "platform": "PC", "score": 90.5, "reviews": 2, "path": "/pc/1"})
     assert f["score_gamerankings"] == 91 and f["links"]["gamefaqs"]["id"] == "1"
     assert extract(spark, "gamerankings", {"score": 90, "reviews": 0}) == {}
 
 
 def test_reviews(spark):
-    f = extract(spark, "metacritic", {"slug": "s", "url": "u", "metascore": 95, "criticReviews": 10, "userScore": 88, "datePublished": "2011-04-18"})
-    assert (f["score_critics"], f["score_critics_count"], f["score_users"]) == (95, 10, 88) and f["links"]["metacritic"] == {"id": "s", "url": "u"}
+    f = extract(spark, "metacritic", {"slug": "s", "url": "u", "metascore": 77, "criticReviews": 10, "userScore": 88, "datePublished": "2013-07-08"})
+    assert (f["score_critics"], f["score_critics_count"], f["score_users"]) == (77, 10, 88) and f["links"]["metacritic"] == {"id": "s", "url": "u"}
     f = extract(spark, "gamefaqs", {"pid": "9", "url": "u", "difficultyLabel": "Tough", "ratingTitle": "4.36 out of 5", "lengthTitle": "38.7 hours"})
     assert (f["difficulty"], f["score_gamefaqs"], f["time_gamefaqs"]) == ("Tough", 4.36, 38.7)
 
