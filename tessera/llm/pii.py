@@ -48,7 +48,8 @@ _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_SECRET = re.compile(r"(?:password|passwd|token|secret|api_?key)\x20?[=:]\x20?\"?(?P<named>[0-9A-Za-z_/+-]{16,})|\b(?P<key>AKIA[0-9A-Z]{16})\b|\b(?P<plain>[0-9a-f]{32,128})\b", re.IGNORECASE)
+_SECRET = re.compile(r"(?:password|passwd|token|secret|api_?key)\x20?[=:]\x20?\"?(?P<named>[0-9A-Za-z_/+-]{16,})|\b(?P<key>AKIA[0-9A-Z]{16})\b", re.IGNORECASE)
+_PLAIN_SECRET = re.compile(r"\b[0-9a-f]{32,128}\b", re.IGNORECASE)
 _LOCAL_PHONE = re.compile(r"(?<![\w+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 
 
@@ -92,8 +93,12 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and (not part or int(part) <= 255)
 
 
-def _proposed(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Confirmed spans (kind, form, start, end), kind by kind; the base kinds leftmost and non-overlapping, failed matches dropped without another try."""
+def _proposed(text: str, threshold: float) -> Iterator[tuple[str, str, int, int]]:
+    """Confirmed spans (kind, form, start, end), kind by kind; the base kinds leftmost and non-overlapping, failed matches dropped without another try.
+
+    Forms that only a hint lifts to the threshold are sought only in texts that hold one of their hints."""
+    low = text.lower()
+    hopeful = lambda kind, form: threshold <= PRIOR[form] or any(w in low for w in HINTS[kind])
     for start, end in _emails(text):
         yield "email", "email", start, end
     for m in _IP.finditer(text):
@@ -112,12 +117,19 @@ def _proposed(text: str) -> Iterator[tuple[str, str, int, int]]:
         whole = m[0].replace(" ", "")
         if 15 <= len(whole) <= 34 and mod97(whole):
             yield "iban", "iban", m.start(), m.end()
-    for m in _SECRET.finditer(text):
-        form = m.lastgroup
-        if form != "plain" or not (m["plain"].isdigit() or m["plain"].isalpha()):
-            yield "secret", f"secret_{form}", m.start(form), m.end(form)
-    for m in _LOCAL_PHONE.finditer(text):
-        yield "local_phone", "local_phone", m.start(), m.end()
+    named = []
+    if "=" in text or ":" in text or "akia" in low:
+        for m in _SECRET.finditer(text):
+            named.append(m.span(m.lastgroup))
+            yield "secret", f"secret_{m.lastgroup}", *named[-1]
+    if hopeful("secret", "secret_plain"):
+        taken = set(named)
+        for m in _PLAIN_SECRET.finditer(text):
+            if m.span() not in taken and not (m[0].isdigit() or m[0].isalpha()):
+                yield "secret", "secret_plain", m.start(), m.end()
+    if hopeful("local_phone", "local_phone"):
+        for m in _LOCAL_PHONE.finditer(text):
+            yield "local_phone", "local_phone", m.start(), m.end()
 
 
 def context_score(text: str, kind: str, form: str, start: int, end: int) -> float:
@@ -137,7 +149,7 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """Spans in code points, by kind and start.  Base spans stay whatever their score; those of added kinds need the threshold and lie apart from base
     spans."""
     text, found, taken = text or "", [], []
-    for kind, form, start, end in _proposed(text):
+    for kind, form, start, end in _proposed(text, threshold):
         score = context_score(text, kind, form, start, end)
         if kind in BASE_KINDS:
             taken.append((start, end))
