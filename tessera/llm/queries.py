@@ -126,3 +126,36 @@ def op10_nearest(spark, sf_dir):
     from tessera.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_word_runs(spark, sf_dir):
+    from tessera.llm.runs import run_report
+
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_word_runs"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS h
+  FROM documents),
+n AS (SELECT doc_id, h, h // 10 AS g, len(w) AS n FROM d),
+rule AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM n),
+raw AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
+words AS MATERIALIZED (SELECT r.doc_id, r.i, s.word FROM raw r JOIN rule USING (doc_id)
+  JOIN raw s ON s.doc_id = r.doc_id AND s.i = CASE WHEN r.i >= a THEN a + (r.i - a) % p ELSE r.i END),
+places AS (SELECT doc_id, q, unnest(range(0, n - 2 * q, q)) AS i FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM rule WHERE n >= 6)),
+likely AS (SELECT DISTINCT x.doc_id, q FROM places x JOIN words a ON a.doc_id = x.doc_id AND a.i = x.i
+  JOIN words b ON b.doc_id = x.doc_id AND b.i = x.i + q AND b.word = a.word JOIN words c ON c.doc_id = x.doc_id AND c.i = x.i + 2 * q AND c.word = a.word),
+equal AS (SELECT l.doc_id, q, a.i, a.i - row_number() OVER (PARTITION BY l.doc_id, q ORDER BY a.i) AS island
+  FROM likely l JOIN words a ON a.doc_id = l.doc_id JOIN words b ON b.doc_id = l.doc_id AND b.i = a.i + q AND b.word = a.word),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+per AS (SELECT doc_id, count(*) AS n_runs, max((length, -start, -period)) AS x, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM (SELECT * FROM words ANTI JOIN gone USING (doc_id, i)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -x[2] AS start, x[1] AS length, -x[3] AS period, CAST(floor(1000 * x[1] / -x[3]) AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
