@@ -159,3 +159,10 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -x[2] AS start, x[1] AS length,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op11_spotsigs(spark, sf_dir):
+    from tessera.llm.spotsigs import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
