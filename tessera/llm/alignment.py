@@ -33,19 +33,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _kmers(codes: np.ndarray, k: int) -> np.ndarray:
+    n = len(codes)
+    k = min(k, n)
+    grams = np.zeros(n - k + 1, dtype=np.uint64)
+    for i in range(k):
+        grams = (grams * _GOLDEN) ^ _mix(codes[i : n - k + 1 + i] + np.uint64(i + 1))
+    return _mix(grams)
+
+
+def repeated(codes: np.ndarray, k: int) -> np.ndarray:
+    """Which k-mers of a text of at least one word stand further back in it already."""
+    grams = _kmers(codes, k)
+    again = np.ones(len(grams), dtype=bool)
+    again[np.unique(grams, return_index=True)[1]] = False
+    return again
+
+
 def labelled_kmers(codes: np.ndarray, k: int) -> np.ndarray:
     """One hash per k-mer in text order; equal k-mers of one text differ by their occurrence number.
 
     A text of fewer than k words is one k-mer of all its words, an empty text has none.
     """
-    n = len(codes)
-    if n == 0:
+    if len(codes) == 0:
         return codes
-    k = min(k, n)
-    grams = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        grams = (grams * _GOLDEN) ^ _mix(codes[i : n - k + 1 + i] + np.uint64(i + 1))
-    grams = _mix(grams)
+    grams = _kmers(codes, k)
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     fresh = np.empty(len(ranked), dtype=bool)
@@ -64,11 +76,17 @@ def sketch_seeds(sketches: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, sketches, dtype=np.uint32), rng.integers(0, 2**31, sketches, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def order_minhash(codes: np.ndarray, k: int, picks: int, seeds: tuple[np.ndarray, np.ndarray], first: int = 0) -> np.ndarray:
+def order_minhash(codes: np.ndarray, k: int, picks: int, seeds: tuple[np.ndarray, np.ndarray], first: int = 0, once: bool = False) -> np.ndarray:
     """One signed 64-bit key for each sketch: its `picks` smallest labelled k-mers, hashed in the order they have in the text.
 
-    Sketches are numbered from `first`; those of different numbers are never equal but by chance."""
+    Sketches are numbered from `first`; those of different numbers are never equal but by chance.  once: of the first occurrences alone; none for
+    a text that repeats no k-mer, as they would be the same."""
     grams = labelled_kmers(codes, k)
+    if once:
+        again = repeated(codes, k)
+        if not again.any():
+            return np.empty(0, np.int64)
+        grams = grams[~again]
     xors, odds = seeds
     keys = np.zeros(len(xors), dtype=np.uint64)
     if len(grams) == 0:

@@ -132,8 +132,8 @@ def test_near_duplicates_of_very_long_texts(spark):
 
 
 def test_large_bucket_loses_no_link(spark, monkeypatch):
-    """Many unlike texts around one passage, near pairs among them; blocks are small, so that pairs lie within and across them."""
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    """Many unlike texts around one passage, near pairs among them."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
     monkeypatch.setattr(near_dup, "SALT_ROWS", 20)
     rng = random.Random(31)
     passage, rows, pairs = words(rng, 60), [], []
@@ -147,6 +147,20 @@ def test_large_bucket_loses_no_link(spark, monkeypatch):
     assert all(found[b] == a for a, b in pairs) and len(set(found.values())) == 120
 
 
+def test_alignments_grow_with_the_rows(spark, monkeypatch):
+    """Texts that repeat one word pair and are else unlike share most sketches; they are held against a few leaders, not against each other.  Near pairs
+    among them are found by the sketches of the words outside the repeats."""
+    aligned = []
+    verified = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *a: (aligned.append(pairs.count()), verified(pairs, *a))[1])
+    rng = random.Random(32)
+    rows = [(i, "spam ham " * 300 + words(rng, 160, 10**6)) for i in range(150)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 0.05)) for i in range(0, 150, 5)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert all(found[1000 + i] == i for i in range(0, 150, 5)) and len(set(found.values())) == 150
+    assert sum(aligned) < 15 * len(rows)  # all pairs: 90 a row
+
+
 def test_near_duplicates_of_a_star(spark):
     """A large group whose members are near its centre, not near each other, is one class."""
     rng = random.Random(6)
