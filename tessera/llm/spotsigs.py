@@ -129,12 +129,13 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # rows meet by two hashes, of the id (null has one too) and of the text
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("i", F.xxhash64("id"))
     ring = settled(_ring(base.select("id", "h", F.length("text").cast("bigint").alias("n")).distinct()), "ring")
-    asked = ring.select(F.xxhash64("next.id").alias("i"), F.col("next.h").alias("h"), F.xxhash64("id").alias("asker"), F.col("h").alias("asker_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    heads = base.join(asked.hint("merge"), ["i", "h"]).groupBy("i", "h").agg(*[F.first(c).alias(c) for c in ("text", "asker", "asker_h", "half")])  # repeated rows once
-    heads = heads.select(F.col("asker").alias("i"), F.col("asker_h").alias("h"), F.substring("text", F.lit(1), F.col("half")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    asked = ring.select(F.xxhash64("next.id").alias("i"), F.col("next.h").alias("h"), F.xxhash64("id").alias("asker"), F.col("h").alias("asker_h"), F.col("id").alias("asker_id"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+    keyed = base.select("i", "h", "text")  # dealt once, for both joins
+    heads = keyed.join(asked.hint("merge"), ["i", "h"]).groupBy("i", "h").agg(*[F.first(c).alias(c) for c in ("text", "asker", "asker_h", "asker_id", "half")])  # repeated rows once
+    heads = heads.select(F.col("asker").alias("i"), F.col("asker_h").alias("h"), F.col("asker_id").alias("id"), F.substring("text", F.lit(1), F.col("half")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head")
-    rows = base.join(heads, ["i", "h"]).select("id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_sigs")
+    rows = keyed.join(heads, ["i", "h"]).select("id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_sigs")
     rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
