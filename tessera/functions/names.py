@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,51 @@ def name_variants(name: Column) -> Column:
     return F.slice(let(every, first), 1, 4)
 
 
+_DANGLING = re.compile(r"(?:\s+(?:the|a|an|and|of|for))+$", re.I)
+
+
+class VariantLadder:
+    """Table function: the rungs of a title's variants, (place from 1, variant), from its normal form and that of its part before a dash or colon (null
+    without one): the form, without dangling articles, without marketing endings, and the short form treated likewise; different ones, case aside."""
+
+    def __init__(self):
+        self.endings = re.compile(r"\b(?:" + "|".join(re.escape(x) for x in sorted(SUFFIXES, key=len, reverse=True)) + ")$", re.I)
+
+    def _bare(self, title: str) -> str:
+        for _ in range(3):
+            title = self.endings.sub("", title).strip(" ")
+        return _DANGLING.sub("", title).strip(" ")
+
+    def eval(self, normal: str, head: str, most: int):
+        rungs = []
+        if normal is not None:
+            plain = _DANGLING.sub("", normal).strip(" ")
+            rungs = [normal.strip(" "), plain, self._bare(plain)]
+        if head is not None:
+            rungs.append(self._bare(_DANGLING.sub("", head).strip(" ")))
+        seen = set()
+        for rung in rungs:
+            if rung and rung.lower() not in seen and len(seen) < most:
+                seen.add(rung.lower())
+                yield len(seen), rung
+
+
+def variants_udtf():
+    """The table function of VariantLadder, for lateral joins and for spark.udtf.register."""
+    return F.udtf(VariantLadder, returnType="place int, variant string")
+
+
+def with_variants(rows: DataFrame, name_col: str, most: int = 4) -> DataFrame:
+    """Each row with its variants as rows of their own: its columns, place and variant; a lateral join with the table function.  Titles without a variant have
+    no row."""
+    raw = F.coalesce(F.col(name_col).cast("string"), F.lit(""))
+    cut = F.trim(F.split(raw, r"\s+[-–—]\s+|:", 2)[0])
+    has_tail = raw.rlike(r"\s+[-–—]\s+|:") & ((F.length(cut) >= 4) | (F.size(F.split(cut, r"\s+")) >= 2))
+    held = rows.withColumn("__normal", normalize_name(raw)).withColumn("__head", F.when(has_tail, normalize_name(cut)))
+    ladder = variants_udtf()
+    return held.lateralJoin(ladder(F.col("__normal").outer(), F.col("__head").outer(), F.lit(most))).drop("__normal", "__head")
+
+
 def is_demo(name: Column) -> Column:
     """Whether the last of several words is demo or soundtrack, or the title speaks of an alpha version."""
     words = F.split(F.trim(name), " ")

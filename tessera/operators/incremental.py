@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """All rows of both with one row a key: the first in `order`.  Columns are taken by name."""
@@ -33,11 +35,17 @@ def with_references(rows: DataFrame, parents: DataFrame, key: str, *, drop: bool
 
 
 def guarded_upsert(old: DataFrame, new: DataFrame, keys: list[str], *, method: str, confidence: str, protected: list[str]) -> DataFrame:
-    """A new row replaces an old one only if that was made by no protected method and has no higher confidence; among new ones the most confident."""
-    held = old.withColumn("__new", F.lit(False))
-    fresh = new.withColumn("__new", F.lit(True))
-    guard = (~F.col("__new") & F.col(method).isin(*protected)).cast("int")
-    return merge_latest(held, fresh, keys, [guard.desc(), F.col(confidence).desc_nulls_last(), F.col("__new").cast("int").desc()]).drop("__new")
+    """A new row replaces an old one only if that was made by no protected method and has no higher confidence; among new ones the most confident (ties: the
+    smallest hash of the row).  New rows come down to one a key, then one join; old rows are neither sorted nor grouped, so they need one row a key.  Null
+    keys never meet."""
+    tie = F.xxhash64(*[f.name for f in new.schema.fields if "map<" not in f.dataType.simpleString()])
+    turn = Window.partitionBy(*keys).orderBy(F.col(confidence).desc_nulls_last(), tie)
+    best = new.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
+    held = old.select(*keys, F.struct(*old.columns).alias("__old"))
+    both = held.join(best.select(*keys, F.struct(*old.columns).alias("__new")), keys, "full")
+    was, comes = F.col(f"__old.`{confidence}`"), F.col(f"__new.`{confidence}`")
+    stays = F.col("__old").isNotNull() & (F.col("__new").isNull() | F.coalesce(F.col(f"__old.`{method}`").isin(*protected), F.lit(False)) | F.coalesce(was > comes, was.isNotNull() & comes.isNull()))
+    return both.select(F.when(stays, F.col("__old")).otherwise(F.col("__new")).alias("r")).select("r.*")
 
 
 def selective_update(old: DataFrame, new: DataFrame, key: str, *, identity: list[str], always: list[str], overridden: DataFrame | None = None) -> DataFrame:
@@ -105,6 +113,33 @@ def retained(rows: DataFrame, created: str, now: str, months: int) -> DataFrame:
     return rows.where(F.col(created) >= F.add_months(F.lit(now).cast("date"), -months))
 
 
+def write_months(rows: DataFrame, path: str, at: str) -> None:
+    """Rows into a table with a folder for each month of `at` (column `month`, 'none' without a time); months that the rows touch are replaced, others stay."""
+    month = F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("none"))
+    rows.withColumn("month", month).repartition("month").write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def drop_old_months(spark: SparkSession, path: str, at: str, now: str, months: int) -> tuple[list[str], list[str]]:
+    """Retention on a table of write_months: folders of months wholly before the limit go as they are, the month that the limit cuts is rewritten without
+    its older rows, no other file is read or touched.  Gives the months dropped and rewritten; rows without a time stay, as do those of the limit itself."""
+    limit = spark.range(1).select(F.add_months(F.lit(now).cast("date"), -months).cast("string")).first()[0]
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = sorted(s.getPath().getName().removeprefix("month=") for s in files.listStatus(folder) if s.getPath().getName().startswith("month="))
+    old, cut = [m for m in found if m < limit[:7]], [m for m in found if m == limit[:7]]
+    for m in old:
+        files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"month={m}"), True)
+    for m in cut:
+        held = spark.read.parquet(f"{path.rstrip('/')}/month={m}")
+        rest = written(held.where(F.col(at) >= F.lit(limit).cast("date")), "month")
+        if rest.isEmpty():
+            files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"month={m}"), True)
+        else:
+            write_months(rest, path, at)
+    return old, cut
+
+
 def catalog_diff(seen: DataFrame, known: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
     """(key, change): new ones seen but neither known nor recorded, missing ones known but not seen."""
     new = seen.select(key).distinct().join(known.select(key), key, "left_anti").join(recorded.select(key), key, "left_anti").withColumn("change", F.lit("new"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import match_key, similar_percent_udf
+from tessera.session import written
+
+LOOKUPS, CANDIDATES = 3, 25
 
 
 def tokens(key: Column, least: int = 4) -> Column:
@@ -33,6 +38,45 @@ def block(targets: DataFrame, candidates: DataFrame, *, target_id: str, candidat
     return asked.join(held, "__w").select("__t", "__c").distinct()
 
 
+def looked_up_word(key: Column, least: int = 4) -> Column:
+    """The word that a title is looked up by inside others: its first of at least `least` characters, else its first."""
+    words = F.split(key, " ")
+    return F.coalesce(F.get(F.filter(words, lambda w: F.length(w) >= least), F.lit(0)), F.get(words, F.lit(0)))
+
+
+def _grams(text: Column, width: Column | int) -> Column:
+    """The distinct stretches of `width` characters of a text."""
+    width = F.lit(width) if isinstance(width, int) else width
+    starts = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, width)))
+
+
+def contains_block(targets: DataFrame, candidates: DataFrame, *, target_id: str, candidate_id: str, key: str = "key", least: int = 4, most: int = CANDIDATES) -> DataFrame:
+    """Pairs (__t, __c): candidates whose key equals the target's or holds its looked-up word anywhere, also inside a word; of each target the first `most`,
+    equal keys first, then by id.
+
+    Words are looked up once for all targets that ask for them: by the rarest of their stretches of three characters (shorter words: by themselves) in an
+    index of the candidates' stretches, an equi-join; what it finds is verified.  Null and empty keys find nothing."""
+    word = looked_up_word(F.col(key), least)
+    asked = targets.where(F.col(key) != "").select(F.col(target_id).alias("__t"), F.col(key).alias("__key"), word.alias("__word"))
+    words = written(asked.select("__word").where("__word <> ''").distinct(), "words")
+    pieces = words.select("__word", F.explode(_grams(F.col("__word"), F.least(F.length("__word"), F.lit(3)))).alias("__gram"))
+    held = candidates.where(F.col(key) != "").select(F.col(candidate_id).alias("__c"), F.col(key).alias("__held"))
+    widths = [r["n"] for r in words.select(F.least(F.length("__word"), F.lit(3)).alias("n")).distinct().collect()]  # 1, 2 or 3
+    every = F.flatten(F.array(*[_grams(F.col("__held"), n) for n in widths])) if widths else F.array().cast("array<string>")
+    index = written(held.select("__c", "__held", F.explode(every).alias("__gram")).join(pieces.select("__gram").distinct(), "__gram", "left_semi"), "grams")
+    often = index.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = pieces.join(often, "__gram", "left").groupBy("__word").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__gram")).alias("__x"))
+    found = rarest.select("__word", F.col("__x.__gram").alias("__gram")).join(index, "__gram").where(F.contains("__held", F.col("__word")))
+    first = Window.partitionBy("__word").orderBy("__c")
+    found = found.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= most).select("__word", "__c")
+    inside = asked.join(found, "__word").select("__t", "__c", F.lit(1).alias("__tier"))
+    equal = asked.join(held, asked["__key"] == held["__held"]).select("__t", "__c", F.lit(0).alias("__tier"))
+    both = equal.unionByName(inside).groupBy("__t", "__c").agg(F.min("__tier").alias("__tier"))
+    turn = Window.partitionBy("__t").orderBy("__tier", "__c")
+    return both.withColumn("__i", F.row_number().over(turn)).where(F.col("__i") <= most).select("__t", "__c")
+
+
 def scored_pairs(targets: DataFrame, candidates: DataFrame, pairs: DataFrame, *, target_id: str, candidate_id: str, key: str = "key", score=None, within: int | None = None) -> DataFrame:
     """Pairs with both sides' columns (candidate's prefixed c_), exact and sim (0..100).
 
@@ -114,6 +158,47 @@ def tiers(proposals: DataFrame, *, target_id: str, tier: str, candidate: str) ->
     return proposals.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").drop("__turn")
 
 
+def cascade(targets: DataFrame, tiers: list[tuple[str, Callable[[DataFrame], DataFrame]]], *, target_id: str) -> DataFrame:
+    """What the first tier that decides says of each target, with its name as `tier`.  A tier is a function from the open targets to decided rows (with
+    target_id); it sees only what the tiers before it left open.  Each tier's rows are written, so no tier is worked out twice."""
+    open_, decided = targets, None
+    for name, tier in tiers:
+        found = written(tier(open_).withColumn("tier", F.lit(name)), "tier")
+        decided = found if decided is None else decided.unionByName(found)
+        open_ = open_.join(found.select(target_id).distinct(), target_id, "left_anti")
+    return decided
+
+
+def lookups(targets: DataFrame, candidates: DataFrame, *, target_id: str, candidate_id: str, decide: Callable[[DataFrame], DataFrame], variants: str = "variants", key: str = "key", most: int = LOOKUPS, platform: tuple[str, str] | None = None, candidates_of=contains_block, **scoring) -> DataFrame:
+    """(target, match_id, status, tier, what `decide` adds): targets looked up by the first of their `variants` (array of titles), those that stay open by
+    the second, and so on, `most` at most; scores are those of the variant, not of the title.  Titles are keyed by match_key.
+
+    decide: from scored pairs to (target, match_id, ...), rows for decided targets alone.  platform: (column, name) of the candidates' list of platforms and
+    the one that a match must have, else its status is no_platform and it has no match.  Targets that no variant decides: not_found, without tier."""
+
+    # titles are keyed once, not by every tier that looks at them
+    targets = written(targets.withColumn("__keys", F.transform(F.slice(variants, 1, most), match_key)), "targets")
+    candidates = written(candidates, "candidates")
+
+    def nth(i: int) -> Callable[[DataFrame], DataFrame]:
+        def tier(open_: DataFrame) -> DataFrame:
+            asked = open_.withColumn(key, F.get("__keys", F.lit(i))).where(F.col(key) != "").drop("__keys")
+            pairs = candidates_of(asked, candidates, target_id=target_id, candidate_id=candidate_id, key=key)
+            return decide(scored_pairs(asked, candidates, pairs, target_id=target_id, candidate_id=candidate_id, key=key, **scoring))
+
+        return tier
+
+    found = cascade(targets, [(str(i + 1), nth(i)) for i in range(most)], target_id=target_id)
+    status = F.lit("match")
+    if platform is not None:
+        sold = candidates.select(F.col(candidate_id).alias("match_id"), F.coalesce(F.array_contains(platform[0], platform[1]), F.lit(False)).alias("__sold"))
+        found = found.join(sold, "match_id", "left")
+        status = F.when(F.col("__sold"), "match").otherwise("no_platform")
+    found = found.withColumn("status", F.when(F.col("match_id").isNull(), "ambiguous").otherwise(status)).drop("__sold")
+    found = found.withColumn("match_id", F.when(F.col("status") == "match", F.col("match_id"))).withColumn("tier", F.col("tier").cast("int"))
+    return targets.select(target_id).join(found, target_id, "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
 def taken_back(proposals: DataFrame, held: DataFrame, *, target_id: str, candidate: str) -> DataFrame:
     """Proposals whose target holds no other candidate already; held: (target, candidate)."""
     mine = held.select(F.col(target_id).alias("__t"), F.col(candidate).alias("__own"))

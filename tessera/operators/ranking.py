@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.segments import numbered
+
 SEARCH_ROWS, DICTIONARY_ROWS, SUGGESTIONS, PAGE = 20, 2000, 50, 50
 
 
@@ -104,6 +106,7 @@ def natural_key(name: Column) -> Column:
 
 
 def natural_listing(files: DataFrame, pattern: str, name_col: str = "name") -> DataFrame:
-    """(place, name) of the files whose whole name fits the pattern in any case, in natural order; for listings of one folder."""
-    found = files.where(F.col(name_col).rlike(f"(?i)^(?:{pattern})$"))
-    return found.select(F.row_number().over(Window.orderBy(natural_key(F.col(name_col)), name_col)).alias("place"), F.col(name_col).alias("name"))
+    """(place, name) of the files whose whole name fits the pattern in any case, in natural order; places from ranges of names and their counts."""
+    found = files.where(F.col(name_col).rlike(f"(?i)^(?:{pattern})$")).select(F.col(name_col).alias("name"))
+    placed = numbered(found.withColumn("__key", natural_key(F.col("name"))), [F.col("__key"), F.col("name")])
+    return placed.select(F.col("place").cast("int").alias("place"), "name")

@@ -279,14 +279,14 @@ def export_rows(spark, d):
     return joined.select("o_orderkey", "c_name", "n_name", (F.col("o_orderstatus") == "O").alias("is_open"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), _cents("o_totalprice").alias("cents"), F.when(F.col("c_mktsegment") == "BUILDING", _cents("c_acctbal")).alias("building_balance"))
 
 
-@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN n_chars * 90 WHEN lang = 'en' THEN n_chars ELSE n_chars * 2 END AS price, CASE WHEN lang = 'fr' AND substr(text, 1, 10) <> '' THEN substr(text, 1, 10) ELSE source END AS description,
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN n_chars * 90 WHEN lang = 'en' THEN n_chars ELSE n_chars * 2 END AS price, CASE WHEN lang = 'fr' AND text <> '' THEN text ELSE source END AS description,
 CASE WHEN n_chars >= 10 THEN CASE WHEN doc_id % 101 >= 95 AND n_chars >= 500 THEN 'Overwhelmingly Positive' WHEN doc_id % 101 >= 80 AND n_chars >= 50 THEN 'Very Positive' WHEN doc_id % 101 >= 80 THEN 'Positive' WHEN doc_id % 101 >= 70 THEN 'Mostly Positive'
   WHEN doc_id % 101 >= 40 THEN 'Mixed' WHEN doc_id % 101 >= 20 THEN 'Mostly Negative' WHEN n_chars >= 500 THEN 'Overwhelmingly Negative' WHEN n_chars >= 50 THEN 'Very Negative' ELSE 'Negative' END END AS label FROM documents""")
 def card(spark, d):
     docs, n = table(spark, d, "documents"), F.col("n_chars")
     lang = F.when(F.col("lang") == "fr", "ru").otherwise(F.col("lang"))
     price = facets.price_block(lang, F.lit(False), F.when(F.col("lang") == "en", n).otherwise(n * 2), n * 90, n)
-    shown = facets.described(lang, F.col("source"), F.substring("text", 1, 10))
+    shown = facets.described(lang, F.col("source"), F.col("text"))
     label = scalars.review_label(F.col("doc_id") % 101, n)
     block = facets.recent_block(F.col("doc_id") % 101, n, label)
     return docs.select("doc_id", price.alias("price"), shown.alias("description"), block["label"].alias("label"))
@@ -304,12 +304,12 @@ def first_non_empty(spark, d):
     return fusion.fuse(records, "l_orderkey", {"q": scalars.empty_number(F.col("q"))}, ["tags"], F.col("p")).withColumn("tags", F.array_sort("tags"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 100 WHEN c_custkey % 5 <> 0 THEN c_custkey % 90 END AS score, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 100 <> 0 THEN 'metacritic' WHEN c_custkey % 5 <> 0 AND c_custkey % 90 <> 0 THEN 'legacy' END AS source
-FROM customer WHERE (c_custkey % 3 = 1 AND c_custkey % 100 <> 0) OR (c_custkey % 3 <> 1 AND c_custkey % 5 <> 0 AND c_custkey % 90 <> 0)""")
+@query("""WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 100 <> 0 THEN c_custkey % 100 END AS first, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 90 <> 0 THEN c_custkey % 90 END AS second FROM customer)
+SELECT c_custkey, coalesce(first, second) AS score, CASE WHEN first IS NOT NULL THEN 'metacritic' WHEN second IS NOT NULL THEN 'legacy' END AS source FROM s""")
 def critics_priority(spark, d):
     k = F.col("c_custkey")
     best = fusion.critics_score([(F.when(k % 3 == 1, k % 100), k % 7, "metacritic"), (F.when(k % 5 != 0, k % 90), k % 7, "legacy")])
-    return table(spark, d, "customer").select("c_custkey", best.alias("b")).where("b IS NOT NULL AND NOT (c_custkey % 3 = 1 AND c_custkey % 100 = 0)").select("c_custkey", "b.score", "b.source")
+    return table(spark, d, "customer").select("c_custkey", best.alias("b")).select("c_custkey", "b.score", "b.source")
 
 
 def _orders_rated(spark, d):
@@ -505,9 +505,10 @@ def slug(spark, d):
     return table(spark, d, "part").select("p_partkey", names.slug(F.concat("p_name", F.lit(" & "), "p_brand", F.lit("’s  Café!"))).alias("slug"))
 
 
-@query("""SELECT p_partkey, '|' || replace(p_name, ' ', '|') || '|' AS pipes, CAST(list_sort(string_split(p_name, ' ')) AS VARCHAR[]) AS back FROM part WHERE len(list_distinct(string_split(p_name, ' '))) = len(string_split(p_name, ' '))""")
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), u AS (SELECT p_partkey, list_filter(w, lambda x, i: list_position(w, x) = i) AS u FROM w)
+SELECT p_partkey, '|' || array_to_string(u, '|') || '|' AS pipes, CAST(list_sort(u) AS VARCHAR[]) AS back FROM u""")
 def list_codec(spark, d):
-    p = table(spark, d, "part").where(F.size(F.array_distinct(F.split("p_name", " "))) == F.size(F.split("p_name", " ")))
+    p = table(spark, d, "part")
     pipes = scalars.to_pipes(F.concat(F.split("p_name", " "), F.array(F.lit(" "), F.split("p_name", " ")[0])))
     return p.select("p_partkey", pipes.alias("pipes")).withColumn("back", F.array_sort(scalars.from_pipes(F.col("pipes"))))
 

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from tessera.plans import catalogue, records
+from tessera.plans import catalogue, flows, records
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -114,7 +114,7 @@ def test_entry_points_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     try:
         again = importlib.reload(entry_points)
-        assert set(again.queries()) == set(catalogue.QUERIES) | set(records.QUERIES) and set(again.oracle_sql()) == set(catalogue.ORACLES) | set(records.ORACLES)
+        assert set(again.queries()) == set(catalogue.QUERIES) | set(records.QUERIES) | set(flows.QUERIES) and set(again.oracle_sql()) == set(catalogue.ORACLES) | set(records.ORACLES) | set(flows.ORACLES)
     finally:
         monkeypatch.undo()
         importlib.reload(entry_points)
