@@ -7,18 +7,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.lineage import settled
+from tessera.llm.lineage import discard, settled
 
 DEGREE = 32
-SETTLED_SHARE = 0.02
+SETTLED_SHARE = 0.001
 CELLS_EACH = 3
 CELL_ROWS = 256
 MAX_PIVOTS = 1024
 SPLIT = 16
-BEAM = 192
 _AT_ONCE = 1 << 21
 
 
+def beam_width(rows: int, degree: int = DEGREE) -> int:
+    """The rule of the beam: six times the degree up to 2^16 rows, and once the degree more each time the rows double beyond."""
+    return degree * max(6, (max(rows, 1) - 1).bit_length() - 10)
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, of finite components, not zero."""
     v = vector.cast("array<double>")
@@ -206,7 +210,8 @@ def build_graph(nodes: DataFrame, *, degree: int = DEGREE, rounds: int | None =
     their own, level by level, so cells keep their size however many rows there are.
     Each round then compares, around every node, its neighbours and up to `degree` of those it is a neighbour of with each other, and keeps what is
     nearer than a node's furthest neighbour so far; only pairs with a new edge are compared.  Rounds go on until at most SETTLED_SHARE
-    of the edges are new (or for `rounds`, if given).
+    of the edges are new (or for `rounds`, if given).  Nodes are distinct and not null, codes of one length; ties go to smaller nodes; nodes with equal codes are
+    neighbours like any; one node has no edges, an empty table gives none.  Other columns are ignored.
     """
     n = nodes.count()
     count = int(min(MAX_PIVOTS, max(1, n // (CELL_ROWS // 2))))
@@ -231,7 +236,8 @@ def build_graph(nodes: DataFrame, *, degree: int = DEGREE, rounds: int | None =
         coded = nodes.join(graph.select("node", "low"), "node", "left").select(F.col("node").alias("u"), "code", F.coalesce("low", F.lit(-2.0)).cast("float").alias("low"))
         groups = around.join(coded, "u").groupBy("v").agg(F.collect_list(F.struct(F.col("u").alias("node"), "code", "low", "new")).alias("members"))
         found = groups.select("members").mapInArrow(_within(degree), _EDGE)
-        graph = _merged(edges.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), degree)
+        last, graph = graph, _merged(edges.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), degree)
+        discard(last)
         changed = graph.select(F.size(F.filter("edges", lambda e: e["new"])).alias("n")).agg(F.sum("n")).first()[0] or 0
         turn += 1
         if changed <= SETTLED_SHARE * n * degree:
@@ -249,12 +255,14 @@ def _measured(batches):
             yield pa.RecordBatch.from_arrays([batch.column("query")[part], batch.column("other")[part], pa.array(_similar(dots, _norms(x), _norms(y)))], names=["query", "other", "sim"])
 
 
-def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam: int = BEAM, hops: int | None = None, degree: int = DEGREE) -> DataFrame:
-    """Greedy search: from each query's node, step by step to the neighbours (either way) of the `beam` nearest nodes found so far,
-    until all of these have been expanded (or for `hops` steps, if given).
+def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam: int | None = None, hops: int | None = None, degree: int = DEGREE) -> DataFrame:
+    """Greedy search: from each query's node, step by step to the neighbours (either way) of the `beam` nearest nodes found so far (beam_width of the nodes, if
+    not given), until all of these have been expanded (or for `hops` steps, if given).
 
-    queries: (query), nodes that are searched for; gives (query, other, sim), at most `beam` rows for each.
+    queries: (query), distinct nodes that are searched for; gives (query, other, sim), at most `beam` rows for each, ties to smaller nodes.  Queries without
+    an edge, or that are no nodes, find nothing; empty tables give an empty result.
     """
+    beam = beam or beam_width(nodes.count(), degree)
     back = _top(edges, "other", degree, "node").select(F.col("other").alias("node"), F.col("node").alias("other"))
     both = settled(edges.select("node", "other").unionByName(back).groupBy("node").agg(F.collect_set("other").alias("others")), "both")  # at most 2 * degree each
     wanted = queries.join(nodes, queries["query"] == nodes["node"]).select("query", F.col("code").alias("qcode"))
@@ -270,7 +278,8 @@ def search_graph(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, beam
         everything = held.withColumn("done", F.lit(True)).unionByName(scored.withColumn("done", F.lit(False)))
         order = Window.partitionBy("query").orderBy(F.col("sim").desc(), "other")
         ranked = everything.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= beam)
-        held = settled(ranked.groupBy("query", "other").agg(F.max("sim").alias("sim"), F.max("done").alias("done")), "beam")
+        last, held = held, settled(ranked.groupBy("query", "other").agg(F.max("sim").alias("sim"), F.max("done").alias("done")), "beam")
+        discard(last)
     return held.select("query", "other", "sim")
 
 

@@ -272,6 +272,21 @@ def test_large_cells_are_split_by_nearness(spark, monkeypatch):
     assert neighbours._split_cells(alike, 7).count() == 100
 
 
+def test_nearest_with_clashing_columns(spark):
+    """Other columns, named like those that the operator makes, neither disturb it nor come out."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i, 0.5, 7, "x", [i], 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, node bigint, sim double, unit int, query string, ids array<int>, v int")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    plain = neighbours.nearest(df.select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in plain.collect()) and found.count() == 15
+
+
+def test_beam_grows_with_the_rows():
+    assert [neighbours.beam_width(n) for n in (0, 1, 1000, 1 << 16, (1 << 16) + 1, 10**5, 2 * 10**5, 10**9)] == [192, 192, 192, 192, 224, 224, 256, 640]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
