@@ -255,7 +255,10 @@ def _features(batches):
 
 def stored_tensors(media: DataFrame) -> DataFrame:
     """Rows (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensors) of WAV files (id, n_bytes, media): what
-    each file holds, and its features as an Arrow stream of fixed-shape tensors with time spans (see store_tensors)."""
+    each file holds, and its features as an Arrow stream of fixed-shape tensors with time spans (see store_tensors).
+
+    Ids may be null or repeated: rows come out as they come in.  media must not be null (a text that is null has a file of one padded block); other columns are
+    ignored; an empty table gives an empty result."""
     numbers = ("payload_bytes", "tail_crc32", "media_bytes")
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
     fields = [T.StructField(k, T.LongType() if k in numbers else T.StringType()) for k in names]

@@ -143,7 +143,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False, length_col: str | None = None) -> DataFrame:
     """The documents, all columns kept, without their repeated lines (see repeated_lines); no document goes, texts may become empty.
 
-    length_col, if given, is set to the new length of changed texts.
+    length_col, if given, is set to the new length of changed texts.  Null texts stay null, rows equal in id and text change alike, columns of
+    any name are kept, and an empty table gives an empty one.
     """
     gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words, short_repeats=short_repeats), "dropped")
     text = F.col(text_col).cast("string")

@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Trains on at most `rows` labelled documents that are not held out, chosen by the hash of their id, of which those are learned from, in that
     order, whose passages are at most `passages` together; each counts with all its passages.  None if there is no such row.
 
-    Of several labels or texts of one id the largest counts.
+    Of several labels or texts of one id the largest counts.  Null labels and null ids are not learned from, null texts count as empty; ids without a
+    document or without a label do no harm, nor do other columns of any name.  Empty tables: None.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)

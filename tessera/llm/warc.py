@@ -237,6 +237,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     The payload is the page in UTF-8 (null: empty).  Of pages with equal payloads of at least min_bytes bytes, those of the smallest id are
     response records with the payload, the others revisit records that refer to it.  Smaller payloads are always response records.  A null id is
     never the smallest; if all ids of a payload are null, all are response records.  Rows that share the smallest id are all response records.
+    Repeated rows have records of their own, null urls an empty target; other columns are ignored; an empty table gives no archive.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))

@@ -106,3 +106,39 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 
     again = sorted((r["doc_id"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf).collect())
     assert again == pieces
+
+
+def stages(spark, docs, sf):
+    import corpus_pipeline
+
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert i == 4 or out.columns == docs.columns
+        out.write.parquet(f"{sf}/out{i}")
+        docs = spark.read.parquet(f"{sf}/out{i}")
+    return docs
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """A very long text, rows of nulls, repeated rows, and columns named like those that the stages make."""
+    rng = random.Random(52)
+    prose = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) + str(rng.randrange(900)) for _ in range(n))
+    rows = [(i, prose(20), "en", "ab"[i % 2], 1, i, "x", 0.5, 7, "y", i) for i in range(12)]
+    rows += [(50, prose(60_000), "en", "a", 1, 0, "x", 0.5, 7, "y", 0), (None, None, None, None, None, None, None, None, None, None, None)]
+    rows += rows[:2]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, key string, score double, copies int, row string, length bigint"
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(100, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    packed = stages(spark, spark.createDataFrame(rows, schema), sf)
+    taken = {r["doc_id"]: r["node"] for r in spark.read.parquet(f"{sf}/out3").collect()}
+    single = {r["doc_id"]: len(r["text"] or "") for r in spark.read.parquet(f"{sf}/out2").collect()}
+    assert single.keys() == {*range(12), 50, None} and single[50] > 300_000
+    assert {r["doc_id"] for r in packed.collect()} == taken.keys() <= single.keys() and all(taken[i] == i for i in taken if i is not None and i < 12)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert stages(spark, docs, sf).count() == 0
