@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators: quality classifier, line dedup, near-duplicate removal, source mixing, best-fit packing."""
+"""A corpus pipeline of five operators: quality classifier, line dedup, near-duplicate removal, source mixing, best-fit packing.
+
+For all stages: null texts count as empty and null ids as ids of their own, null sources as a source; repeated rows are documents of their own until
+the third stage keeps one of each class; ties go to the smallest id, then to a hash of the row; further columns, whatever their names, go through
+the first four stages unchanged; empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from tessera.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels that are not held out, does not reject."""
+    """Documents that the classifier, trained on the labels that are not held out, does not reject; all, if there is no label to learn from."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
