@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.names import normalize_name
+from tessera.functions.names import match_key, normalize_name
 from tessera.functions.scalars import slot
 
 # Product types of the two stores, endings of titles, and genres of software.
@@ -89,6 +89,24 @@ def classify_purchasable(free: Column, prices: list[Column], released: Column, n
     return good | ~no
 
 
+# Words that mark a pack as no item of its own.
+PACK_WORDS = ("dlc", "soundtrack", "artbook", "season pass", "expansion", "upgrade", "bonus", "costume", "skin")
+
+
+def keepable(products: DataFrame, *, kind: str = "kind", title: str = "title", pack: str = "pack") -> DataFrame:
+    """The products without packs that only wrap others: those whose normal title holds one of PACK_WORDS, or equals that of a product which is no pack.
+
+    Titles of products meet by an anti-join on distinct normal titles; products of other kinds, or without one, stay."""
+    marked = products.withColumn("__pack", F.coalesce(F.col(kind) == pack, F.lit(False))).withColumn("__key", match_key(F.coalesce(F.col(title), F.lit(""))))
+    own = marked.where("NOT __pack").select(F.col("__key").alias("__title")).distinct()
+    extra = F.lit(False)
+    for word in PACK_WORDS:
+        extra = extra | F.contains("__key", F.lit(word))
+    packs = marked.where("__pack").where(~extra)
+    packs = packs.join(own, packs["__key"] == own["__title"], "left_anti")
+    return marked.where("NOT __pack").unionByName(packs).drop("__pack", "__key")
+
+
 def with_base_exists(listed: DataFrame, items: DataFrame, *, name: str = "name", id_col: str = "id", key: str = "name_normalized", non_item: str = "non_game") -> DataFrame:
     """The listed rows with `base_exists`: whether another item proper has the normal form of their bundle's base title (false for titles of no bundle).
 

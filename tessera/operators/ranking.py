@@ -72,6 +72,17 @@ def offset_page(items: DataFrame, page: int, order: list[Column], n: int = PAGE)
     return items.orderBy(*order).offset((page - 1) * n).limit(n)
 
 
+def filtered_page(rows: DataFrame, equal: dict[str, str | None], page: int, order: list[Column], n: int = PAGE, total: str = "total") -> DataFrame:
+    """A page (from 1) of the rows whose columns equal the given values (None: any value), each with how many rows there are on all pages.
+
+    A top-k beside one count; a page beyond the last has no rows."""
+    for column, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    count = rows.agg(F.count("*").alias(total))
+    return offset_page(rows, page, order, n).join(F.broadcast(count))  # one row
+
+
 def stale_first(items: DataFrame, records: DataFrame, *, key: str, fetched: str, now: str, days: int, n: int, popularity: str | None = None) -> DataFrame:
     """Up to n items never fetched or fetched over `days` days before `now`: never fetched ones first, then the oldest (or the most popular).
 

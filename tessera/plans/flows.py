@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import names
-from tessera.operators import incremental, linking, sequences
+from tessera.functions import names, urls
+from tessera.operators import classify, incremental, linking, ranking, sequences
 from tessera.plans import catalogue
 from tessera.session import shared_path, table
 from tessera.sources import paged
@@ -165,3 +165,42 @@ def pause_state(spark, d):
     stream = jobs.read_stream(spark, f"{d}/events.parquet").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("block"))
     out = jobs.run_available(jobs.pause_stream(stream, "user_id", "event_id", "ts", "block", 3 * 3_600_000), "pauses")
     return out.where("kind = 'event'").select("event_id", "paused")
+
+
+# --- packs, pages of conflicts, addresses ------------------------------------------------------------
+
+_PACKS = ["", " DLC Collection Pack", " Twin Pack", " Season Pass", " Skins"]
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 3 = 0 AS pack, p_partkey + CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END AS number FROM part)
+SELECT p_partkey FROM p WHERE NOT pack OR (number % 5 IN (0, 2) AND number NOT IN (SELECT p_partkey FROM p WHERE NOT pack))""")
+def keepable_packs(spark, d):
+    """Packs that are neither extras nor wrap a product of the same title; every second one has its neighbour's."""
+    k = F.col("p_partkey")
+    number = k + F.when(k % 6 == 0, 1).otherwise(0)
+    title = F.concat(F.lit("Part"), number.cast("string"), F.get(F.array(*[F.lit(x) for x in _PACKS]), (number % 5).cast("int")))
+    products = table(spark, d, "part").select("p_partkey", F.when(k % 3 == 0, "pack").otherwise("game").alias("kind"), title.alias("title"))
+    return classify.keepable(products).select("p_partkey")
+
+
+@query("""SELECT o_orderkey, c_name, o_orderpriority, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS total FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20""")
+def conflict_page(spark, d):
+    """The second page of open conflicts of one field, with the count for the pager."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    page = ranking.filtered_page(o, {"o_orderstatus": "O", "o_orderpriority": "1-URGENT"}, 2, [F.col("o_orderdate").desc(), F.col("o_orderkey")], 20)
+    return page.select("o_orderkey", "c_name", "o_orderpriority", "total")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Q' || (p_partkey + 1) ELSE 'P' || p_partkey END AS entity, ['game', 'movie', 'unknown'][p_partkey % 3 + 1] AS kind, CASE WHEN p_partkey % 3 = 2 THEN 'dlc/' ELSE '' END || replace(p_name, ' ', '_') AS slug,
+CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') END AS linked, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS number, 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') || '_(' || p_size || ')' AS article FROM part""")
+def address_parts(spark, d):
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    p = table(spark, d, "part")
+    uri = F.when(k % 2 == 0, F.concat(F.lit("http://host/entity/Q"), (k + 1).cast("string"))).otherwise(F.concat(F.lit("P"), text))
+    shop = F.concat(F.get(F.array(F.lit("game/"), F.lit("movie/"), F.lit("dlc/")), (k % 3).cast("int")), F.replace("p_name", F.lit(" "), F.lit("_")))
+    link = F.concat(F.when(k % 2 == 0, "https://shop/en/game/").otherwise("https://shop/en/movie/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("?x=1#top"))
+    page = F.concat(F.lit("/pc/"), F.when(k % 5 != 0, text).otherwise(F.lit("")), F.lit("-some-title"))
+    article = urls.encyclopedia_url("en", F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")))
+    out = p.select("p_partkey", urls.entity_id(uri).alias("entity"), urls.shop_path(shop).alias("s"), urls.slug_of_link(link).alias("linked"), urls.page_number(page).alias("number"), article.alias("article"))
+    return out.select("p_partkey", "entity", "s.kind", "s.slug", "linked", "number", "article")
