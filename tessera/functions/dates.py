@@ -26,45 +26,55 @@ MONTHS = {
 }
 
 
-def _found(date: Column, precision: str) -> Column:
-    return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(precision).alias("precision"))))
+_EDGE = r"""[.,;:()"'`]*"""  # what may stand around a word of a date
 
 
-def _parts(tokens: Column, table: Column) -> Column:
-    """struct<year, month, day>: the last four-digit number, the last month name, the first number that can be a day."""
-    years = F.filter(tokens, lambda t: t.rlike(r"^\d{4}$"))
-    months = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda m: m.isNotNull())
-    days = F.filter(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\d{1,2}$")), lambda t: t.cast("int")), lambda d: (d >= 1) & (d <= 31))
-    return F.struct(F.try_element_at(years, F.lit(-1)).alias("y"), F.try_element_at(months, F.lit(-1)).alias("m"), F.get(days, F.lit(0)).alias("d"))
+def _last_word(text: Column, pattern: str) -> Column:
+    """The last word of a text, without the marks around it, that is of a pattern; empty without one."""
+    return F.regexp_extract(text, rf"(?s)^(?:.*\s)?{_EDGE}({pattern}){_EDGE}(?:\s.*)?$", 1)
 
 
-def _named(p: Column) -> Column:
-    written = lambda m, d: F.concat_ws("-", p["y"], F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
-    one = F.lit(1)
-    precision = F.when(p["m"].isNull(), "year").when(p["d"].isNull(), "month").otherwise("day")
-    found = F.struct(written(F.coalesce(p["m"], one), F.when(p["m"].isNull(), one).otherwise(F.coalesce(p["d"], one))).alias("date"), precision.alias("precision"))
-    return F.when(p["y"].isNotNull(), let(found, lambda x: F.when(x["date"].isNotNull(), x)))
+def _named(low: Column) -> Column:
+    """A date in words: the last four-digit number, the last month's name, the first number that can be a day; null without a year."""
+    year = _last_word(low, r"\d{4}")
+    name = _last_word(low, "|".join(n for names in MONTHS.values() for n in names))
+    day = F.regexp_extract(low, rf"(?s)^(?:.*?\s)??{_EDGE}(0?[1-9]|[12]\d|3[01]){_EDGE}(?:\s.*)?$", 1)
+    month = F.lit(None).cast("string")
+    for number, names in MONTHS.items():
+        month = F.when(name.isin(*names), f"{number:02d}").otherwise(month)
+    parts = F.struct(year.alias("y"), F.when(name != "", month).alias("m"), F.when(day != "", F.lpad(day, 2, "0")).alias("d"))
+
+    def dated(p: Column) -> Column:
+        written = F.concat_ws("-", p["y"], F.coalesce(p["m"], F.lit("01")), F.when(p["m"].isNull(), "01").otherwise(F.coalesce(p["d"], F.lit("01")))).try_cast("date")
+        precision = F.when(p["m"].isNull(), "year").when(p["d"].isNull(), "month").otherwise("day")
+        return F.when(p["y"] != "", F.struct(written.alias("date"), precision.alias("precision")))
+
+    return let(let(parts, dated), lambda x: F.when(x["date"].isNotNull(), x))
 
 
 def parse_date(text: Column) -> Column:
     """struct<date, precision> of a date as text: ISO, unix seconds or milliseconds, quarter, year, or day, month name and year in any order.
 
-    precision: day, month, quarter, year or unknown (date null).  Months, quarters and years stand for their first day.
+    precision: day, month, quarter, year or unknown (date null).  Months, quarters and years stand for their first day.  Only texts of none of the plain
+    shapes are searched for words.
     """
     raw = F.trim(text.cast("string"))
     low = F.lower(raw)
-    number = F.when(raw.rlike(r"^-?\d{5,}$"), raw.try_cast("double"))
+    number = raw.try_cast("double")
     seconds = F.when(F.abs(number) > 1e11, F.floor(number / 1000)).otherwise(number)
     unix = F.when(F.abs(seconds) < 2.5e11, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")))
-    iso = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1).try_cast("date")
-    q1, q2 = r"^q\s*([1-4])\s*[,\s]\s*(\d{4})$", r"^([1-4])\s*(?:кв|q)\.?\s*(\d{4})"
-    quarter = F.coalesce(*[F.make_date(F.regexp_extract(low, q, 2).try_cast("int"), (F.regexp_extract(low, q, 1).try_cast("int") - 1) * 3 + 1, F.lit(1)) for q in (q1, q2)])
-    year_only = F.when(raw.rlike(r"^\d{4}$") & (raw != "0000"), F.concat(raw, F.lit("-01-01")).try_cast("date"))
-
-    edge = r"""^[.,;:()"'`]+|[.,;:()"'`]+$"""
-    tokens = F.filter(F.transform(F.split(low, r"\s+"), lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "")
-    table = F.create_map(*[F.lit(x) for month, names in MONTHS.items() for name in names for x in (name, month)])
-    named = let(tokens, lambda t: let(_parts(t, table), _named))
+    first, second = r"^q\s*([1-4])\s*[,\s]\s*(\d{4})$", r"^([1-4])\s*(?:кв|q)\.?\s*(\d{4})"
+    quarter = lambda q: F.make_date(F.regexp_extract(low, q, 2).try_cast("int"), (F.regexp_extract(low, q, 1).try_cast("int") - 1) * 3 + 1, F.lit(1))
+    shapes = [
+        (raw.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), F.substring(raw, 1, 10).try_cast("date"), "day"),
+        (raw.rlike(r"^-?\d{5,}$"), unix, "day"),
+        (raw.rlike(r"^\d{4}$") & (raw != "0000"), F.concat(raw, F.lit("-01-01")).try_cast("date"), "year"),
+        (low.rlike(first), quarter(first), "quarter"),
+        (low.rlike(second), quarter(second), "quarter"),
+    ]
+    plain = F.lit(None).cast("struct<date: date, precision: string>")
+    for shape, date, precision in reversed(shapes):
+        plain = F.when(shape, F.struct(date.alias("date"), F.lit(precision).alias("precision"))).otherwise(plain)
     nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("precision"))
-    ladder = F.coalesce(_found(unix, "day"), _found(iso, "day"), _found(quarter, "quarter"), _found(year_only, "year"), named, nothing)
+    ladder = let(plain, lambda x: F.when(x["date"].isNotNull(), x).otherwise(F.coalesce(_named(low), nothing)))
     return F.when(raw.isNull() | (raw == "") | low.isin(*UNKNOWN), nothing).otherwise(ladder)

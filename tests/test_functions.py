@@ -116,3 +116,13 @@ def test_html(spark):
     assert values(spark, "string", [page], html.html_title) == ["T"]
     assert values(spark, "string", [page, "<html>"], lambda c: html.json_ld(c, "VideoGame", "name string")["name"]) == ["N", None]
     assert values(spark, "string", [page], lambda c: html.script_json(c, "__NEXT_DATA__")) == ['{"a":1}']
+
+
+def test_words_of_dates(spark):
+    """Which of several words counts, marks around words, shapes that hold no date, and line feeds."""
+    want = {
+        "05 jan 12. 2020": ("2020-01-05", "day"), "1 1999 20 may": ("1999-05-01", "day"), "(2019) 3 may\n2021.": ("2021-05-03", "day"), "mar june 2020": ("2020-06-01", "month"), "40 june 2020": ("2020-06-01", "month"),
+        "31 feb 2020": (None, "unknown"), "2020-02-30 3 May 2021": ("2021-05-03", "day"), "2020-13-40": (None, "unknown"), "99999999999999999999": (None, "unknown"), "-86400": ("1969-12-31", "day"), "Q4, 1998": ("1998-10-01", "quarter"), "year 2020": ("2020-01-01", "year"), "maybe 5": (None, "unknown"),
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", dates.parse_date(F.col("t")).alias("p")).select("t", F.col("p.date").cast("string").alias("d"), "p.precision")
+    assert {r["t"]: (r["d"], r["precision"]) for r in df.collect()} == want
