@@ -78,3 +78,21 @@ def parse_date(text: Column) -> Column:
     nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("precision"))
     ladder = let(plain, lambda x: F.when(x["date"].isNotNull(), x).otherwise(F.coalesce(_named(low), nothing)))
     return F.when(raw.isNull() | (raw == "") | low.isin(*UNKNOWN), nothing).otherwise(ladder)
+
+
+# Names of months as they are shown; Russian ones after a day, and alone.
+SHOWN = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+SHOWN_RU_OF = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+SHOWN_RU = ("Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август", "Сентябрь", "Октябрь", "Ноябрь", "Декабрь")
+NOT_KNOWN = "???"
+
+
+def shown_date(date: Column, precision: Column, lang: Column) -> Column:
+    """A release date as a visitor reads it, by its precision, in Russian (ru) or English; ??? without a date or a known precision."""
+    name = lambda names: F.get(F.array(*[F.lit(n) for n in names]), F.month(date) - 1)
+    year, day, quarter = (c.cast("string") for c in (F.year(date), F.dayofmonth(date), F.quarter(date)))
+    russian, space = F.coalesce(lang == "ru", F.lit(False)), F.lit(" ")
+    whole = F.when(russian, F.concat(day, space, name(SHOWN_RU_OF), space, year)).otherwise(F.concat(name(SHOWN), space, day, F.lit(", "), year))
+    month = F.concat(F.when(russian, name(SHOWN_RU)).otherwise(name(SHOWN)), space, year)
+    third = F.when(russian, F.concat(quarter, F.lit(" квартал "), year)).otherwise(F.concat(F.lit("Q"), quarter, space, year))
+    return F.coalesce(F.when(precision == "day", whole).when(precision == "month", month).when(precision == "quarter", third).when(precision == "year", year), F.lit(NOT_KNOWN))

@@ -51,3 +51,10 @@ def contains_any(text: Column, marks: list[str]) -> Column:
     for m in marks:
         found = found | low.contains(m.lower())
     return F.coalesce(found, F.lit(False))
+
+
+def paragraphs(text: Column) -> Column:
+    """Plain text as paragraphs: blank lines part them, other line feeds become breaks, signs of markup are escaped; empty for null."""
+    blocks = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    escaped = F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.replace(F.replace(F.replace(b, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    return F.array_join(F.transform(escaped, lambda b: F.concat(F.lit('<p style="padding-bottom:10px">'), F.replace(b, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import names, urls
+from tessera.functions import dates, html, names, urls
 from tessera.operators import classify, incremental, linking, ranking, sequences
 from tessera.plans import catalogue
 from tessera.session import shared_path, table
@@ -204,3 +204,27 @@ def address_parts(spark, d):
     article = urls.encyclopedia_url("en", F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")))
     out = p.select("p_partkey", urls.entity_id(uri).alias("entity"), urls.shop_path(shop).alias("s"), urls.slug_of_link(link).alias("linked"), urls.page_number(page).alias("number"), article.alias("article"))
     return out.select("p_partkey", "entity", "s.kind", "s.slug", "linked", "number", "article")
+
+
+_MONTHS_SQL = ", ".join(f"'{m}'" for m in dates.SHOWN)
+_RU_OF_SQL, _RU_SQL = (", ".join(f"'{m}'" for m in names_) for names_ in (dates.SHOWN_RU_OF, dates.SHOWN_RU))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS ru, o_orderkey % 5 AS p, o_orderdate AS d FROM orders)
+SELECT o_orderkey, CASE p WHEN 0 THEN CASE WHEN ru THEN day(d) || ' ' || [{_RU_OF_SQL}][month(d)] || ' ' || year(d) ELSE [{_MONTHS_SQL}][month(d)] || ' ' || day(d) || ', ' || year(d) END
+ WHEN 1 THEN CASE WHEN ru THEN [{_RU_SQL}][month(d)] ELSE [{_MONTHS_SQL}][month(d)] END || ' ' || year(d) WHEN 2 THEN CASE WHEN ru THEN quarter(d) || ' квартал ' || year(d) ELSE 'Q' || quarter(d) || ' ' || year(d) END
+ WHEN 3 THEN CAST(year(d) AS VARCHAR) ELSE '???' END AS shown FROM o""")
+def shown_dates(spark, d):
+    k = F.col("o_orderkey")
+    precision = F.get(F.array(*[F.lit(x) for x in ("day", "month", "quarter", "year", "unknown")]), (k % 5).cast("int"))
+    shown = dates.shown_date(F.col("o_orderdate").cast("date"), precision, F.when(k % 2 == 0, "ru").otherwise("en"))
+    return table(spark, d, "orders").select("o_orderkey", shown.alias("shown"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array('<' || replace(text, '. ', '.' || chr(10) || chr(10)) || ' & Co>', '\n{2,}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM documents),
+t AS (SELECT doc_id, array_to_string(list_transform(b, lambda x: '<p style="padding-bottom:10px">' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>'), '') AS t FROM b)
+SELECT doc_id, length(t) AS n, md5(t) AS digest FROM t""")
+def description_html(spark, d):
+    """Every text, its sentences parted by blank lines, as paragraphs."""
+    marked = F.concat(F.lit("<"), F.replace("text", F.lit(". "), F.lit(".\n\n")), F.lit(" & Co>"))
+    return table(spark, d, "documents").select("doc_id", html.paragraphs(marked).alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
