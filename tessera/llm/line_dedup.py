@@ -97,12 +97,12 @@ def near_lines(candidates: DataFrame) -> DataFrame:
     return pairs.where(within_one_edit(F.col("words"), F.col("words2"))).select("h", "g", F.col("other.first").alias("near"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = True) -> DataFrame:
     """Rows (id, row, dropped): for each document with repeated lines, the numbers (from 0) of the lines that go; `row` is the text's 64-bit hash.
 
     Lines are parted by line feeds, words by single spaces.  Of lines with at least min_words words, one goes if a line earlier in the order
-    (id, null last; text hash; number) is equal or at most one inserted, deleted or replaced word away (so their similarity is 0.8 or more);
-    shorter lines stay, but for short_repeats, which drops equal repeats of every line that is not empty.  Null texts have no lines.  Rows equal in id and text count as one document: none is earlier than the other.
+    (id, null last; text hash; number) is equal or at most one inserted, deleted or replaced word away (so their similarity is 0.8 or more, as it would not be
+    in lines of fewer than five words); of shorter lines that are not empty equal repeats go, unless short_repeats is false.  Null texts have no lines.  Rows equal in id and text count as one document: none is earlier than the other.
     """
     seen = _lines(docs, id_col, text_col, min_words, short_repeats)
     halves = F.when(F.col("n_words") >= min_words, _halves()) if short_repeats else _halves()
@@ -129,7 +129,7 @@ def _row_joined(docs: DataFrame, gone: DataFrame, id_col: str, row: Column) -> D
     return marked.join(gone, marked[id_col].eqNullSafe(gone[id_]) & (marked[row_] == gone[gone_]), "left").select(*[marked[f"`{c}`"] for c in docs.columns], gone[dropped_])
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = True) -> DataFrame:
     """One row per document: the id, n_lines (0 for null text), n_dropped and dropped (numbers of the lines that go, ascending).  Nulls, repeats and
     ties as repeated_lines; other columns are ignored; an empty table gives an empty result."""
     gone = settled(repeated_lines(docs, id_col, text_col, min_words=min_words, short_repeats=short_repeats), "dropped")
@@ -140,7 +140,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("key").alias(id_col), "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = False, length_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, short_repeats: bool = True, length_col: str | None = None) -> DataFrame:
     """The documents, all columns kept, without their repeated lines (see repeated_lines); no document goes, texts may become empty.
 
     length_col, if given, is set to the new length of changed texts.  Null texts stay null, rows equal in id and text change alike, columns of

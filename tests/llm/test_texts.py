@@ -200,10 +200,10 @@ def test_line_dedup_equals_brute_force(spark):
     rows += [(60, None), (61, ""), (62, "\n\n"), (None, rows[0][1])]
     gone = brute_lines(rows)
     docs = frame(spark, rows)
-    got = {r["doc_id"]: r for r in line_dedup.line_report(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.line_report(docs, short_repeats=False).collect()}
     assert {(i, n) for i, r in got.items() for n in r["dropped"]} == gone
     assert got[60]["n_lines"] == 0 and got[61]["n_lines"] == 1 and got[62]["n_lines"] == 3
-    left = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, length_col="n_chars").collect()}
+    left = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, length_col="n_chars", short_repeats=False).collect()}
     for i, t in rows:
         want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
         assert left[i]["text"] == want and left[i]["n_chars"] == (None if t is None else len(want))
