@@ -137,21 +137,21 @@ def resolve_release(candidates: DataFrame, by: str = "item_id", tolerance: int =
     several); if it is the only one (60); else the store date with a conflict (20).  Without independent dates the store's (30).  Candidates without
     date or precision are ignored; items without others are left out.
     """
-    dated = candidates.where(F.col("date").isNotNull() & (F.coalesce(F.col("precision"), F.lit("unknown")) != "unknown")).withColumn("rank", precision_rank(F.col("precision")))
-    month = F.year("date") * 12 + F.month("date")
-    line = Window.partitionBy(by).orderBy("month", "date")
-    alone = dated.where("kind = 'independent'").withColumn("month", month)
-    gaps = alone.withColumn("gap", (F.col("month") - F.lag("month").over(line) > tolerance).cast("int"))
-    gaps = gaps.withColumn("cluster", F.sum(F.coalesce("gap", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.min(F.struct((-F.col("rank")).alias("r"), "date", "precision"))
-    clusters = gaps.groupBy(by, "cluster").agg(F.count("*").alias("n"), best.alias("best"))
-    top = clusters.groupBy(by).agg(
-        F.min(F.struct((-F.col("n")).alias("m"), F.col("best.r").alias("r"), F.col("best.date").alias("d"), "best")).alias("top"),
-        F.sum("n").alias("independents"),
+    known = F.col("date").isNotNull() & (F.coalesce(F.col("precision"), F.lit("unknown")) != "unknown")
+    rows = candidates.where(known & F.col("kind").isin("independent", "store")).withColumn("rank", precision_rank(F.col("precision"))).withColumn("month", F.year("date") * 12 + F.month("date"))
+    # one exchange: the windows and both groupings have all of an item's candidates in one place
+    line = Window.partitionBy(by).orderBy("kind", "month", "date")
+    parted = (F.lag("kind").over(line) != F.col("kind")) | (F.col("month") - F.lag("month").over(line) > tolerance)
+    rows = rows.withColumn("parted", F.coalesce(parted, F.lit(False)).cast("int")).withColumn("cluster", F.sum("parted").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    best, early = F.min(F.struct((-F.col("rank")).alias("r"), "date", "precision")), F.min(F.struct("date", (-F.col("rank")).alias("r"), "precision"))
+    clusters = rows.groupBy(by, "kind", "cluster").agg(F.count("*").alias("n"), best.alias("best"), early.alias("early"))
+    independent = F.col("kind") == "independent"
+    joined = clusters.groupBy(by).agg(
+        F.min(F.when(independent, F.struct((-F.col("n")).alias("m"), F.col("best.r").alias("r"), F.col("best.date").alias("d"), "best"))).alias("top"),
+        F.sum(F.when(independent, F.col("n"))).alias("independents"),
+        F.min(F.when(independent, F.col("early"))).alias("early"),
+        F.min(F.when(~independent, F.col("best"))).alias("store"),
     )
-    early = alone.groupBy(by).agg(F.min(F.struct("date", (-F.col("rank")).alias("r"), "precision")).alias("early"))
-    store = dated.where("kind = 'store'").groupBy(by).agg(best.alias("store"))
-    joined = store.join(top.join(early, by), by, "full")
     size = -F.col("top.m")
     gap = F.abs((F.year("early.date") - F.year("store.date")) * 12 + F.month("early.date") - F.month("store.date"))
     old = F.col("store").isNotNull() & (gap > old_months) & (F.col("early.date") < F.col("store.date"))
