@@ -167,6 +167,36 @@ def replace_version(df: DataFrame, path: str) -> str:
     return version
 
 
+def _latest(spark: SparkSession, path: str) -> int:
+    """The number of the last complete manifest of a group of tables, 0 without one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/manifests")
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        return 0
+    done = lambda place: files.exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
+    return max([int(s.getPath().getName()) for s in files.listStatus(folder) if done(s.getPath())], default=0)
+
+
+def replace_together(tables: dict[str, DataFrame], path: str) -> int:
+    """New versions of several tables at once; gives the number of the state that they make.
+
+    All versions are written before the manifest that names them, so readers see all of them or, if a write fails, none.  Tables that are not given keep their
+    versions.  Of two writers that began from one state the second fails at its manifest and can be repeated; plans made from the old state stay valid."""
+    spark = next(iter(tables.values())).sparkSession
+    number = _latest(spark, path)
+    held = {r["name"]: r["folder"] for r in spark.read.schema("name string, folder string").json(f"{path.rstrip('/')}/manifests/{number:010d}").collect()} if number else {}
+    held |= {name: replace_version(df, f"{path.rstrip('/')}/{name}") for name, df in tables.items()}
+    spark.createDataFrame(sorted(held.items()), "name string, folder string").coalesce(1).write.json(f"{path.rstrip('/')}/manifests/{number + 1:010d}")
+    return number + 1
+
+
+def current(spark: SparkSession, path: str, name: str, number: int | None = None) -> DataFrame:
+    """A table as the last state of replace_together has it, or that of a number."""
+    number = number or _latest(spark, path)
+    held = spark.read.schema("name string, folder string").json(f"{path.rstrip('/')}/manifests/{number:010d}")
+    return spark.read.parquet(held.where(F.col("name") == name).first()["folder"])
+
+
 def replaced_members(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     """Membership rows with the groups that `new` names replaced as a whole by its distinct rows; other groups stay.  A group is emptied by a row of
     nulls but for its key."""

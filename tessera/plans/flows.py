@@ -167,6 +167,19 @@ def pause_state(spark, d):
     return out.where("kind = 'event'").select("event_id", "paused")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'seen' ELSE o_orderstatus END AS status, 'x' || c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey""")
+def replaced_together(spark, d):
+    """Two tables replaced in one step, after a step that wrote them first and one that failed half way."""
+    path = shared_path(spark, "state")
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status")), table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    incremental.replace_together({"orders": orders, "customers": customers}, path)
+    old, held = incremental.current(spark, path, "orders"), incremental.current(spark, path, "customers")
+    incremental.replace_version(old.limit(0), f"{path}/orders")  # a version that no manifest names
+    incremental.replace_together({"orders": old.withColumn("status", F.when(F.col("o_orderkey") % 2 == 0, "seen").otherwise(F.col("status"))), "customers": held.withColumn("name", F.concat(F.lit("x"), "name"))}, path)
+    new, named = incremental.current(spark, path, "orders"), incremental.current(spark, path, "customers")
+    return new.join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "status", "name")
+
+
 # --- packs, pages of conflicts, addresses ------------------------------------------------------------
 
 _PACKS = ["", " DLC Collection Pack", " Twin Pack", " Season Pass", " Skins"]

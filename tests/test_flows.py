@@ -240,3 +240,18 @@ def test_guarded_upsert_rules(spark):
     new = spark.createDataFrame([(1, "wiki", 90), (2, "wiki", 50), (3, "wiki", 40), (4, "wiki", 5), (6, "wiki", 7), (6, "wiki", 9), (6, "other", None)], s)
     got = incremental.guarded_upsert(old, new, ["k"], method="m", confidence="c", protected=["hand"])
     assert sorted(tuple(r) for r in got.collect()) == [(1, "hand", 10), (2, "wiki", 50), (3, "fuzzy", 50), (4, "wiki", 5), (5, "fuzzy", 1), (6, "wiki", 9)]
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i int")
+    held = lambda name, **k: sorted(r["i"] for r in incremental.current(spark, path, name, **k).collect())
+    assert incremental.replace_together({"a": rows(1), "b": rows(2)}, path) == 1
+    broken = rows(1).select((F.col("i") / F.raise_error(F.lit("no"))).alias("i"))
+    with pytest.raises(Exception):
+        incremental.replace_together({"a": rows(3), "b": broken}, path)
+    assert (held("a"), held("b")) == ([1], [2])
+    assert incremental.replace_together({"a": rows(3, 4)}, path) == 2
+    assert (held("a"), held("b"), held("a", number=1)) == ([3, 4], [2], [1])
+    os.remove(f"{path}/manifests/0000000002/_SUCCESS")  # a manifest that is not complete does not count
+    assert held("a") == [1]
