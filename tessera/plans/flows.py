@@ -35,9 +35,9 @@ _EACH = 25
 def _listing(spark, d):
     """Pages of 25 parts as a source lands them: page 2 is an error page, the page after three quarters is empty."""
     p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / _EACH).alias("page"), F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).alias("item"))
-    last = p.agg(F.max("page").alias("last"))
-    bodies = p.groupBy("page").agg(F.concat(F.lit('{"response":{"apps":['), F.array_join(F.collect_list("item"), ","), F.lit("]}}")).alias("body")).crossJoin(F.broadcast(last))  # one row
-    empty = F.floor((F.col("last") + 1) * 3 / 4)
+    last = p.agg(F.max("page")).first()[0] or 0
+    bodies = p.groupBy("page").agg(F.concat(F.lit('{"response":{"apps":['), F.array_join(F.collect_list("item"), ","), F.lit("]}}")).alias("body"))
+    empty = (last + 1) * 3 // 4
     return bodies.select("page", F.when(F.col("page") == 2, "<html>Sorry</html>").when(F.col("page") == empty, '{"response":{"apps":[]}}').otherwise(F.col("body")).alias("body"))
 
 
