@@ -17,8 +17,8 @@ SIMILARITY = 0.8
 # Texts of up to so many words have further sketches (k, picks, sketches): a few edits leave a short text no k-mer of five words.
 SHORT = ((75, 3, 2, 32), (20, 2, 1, 16))
 SMALL = 16
-LEADERS = 3
 SALT_ROWS = 1000
+CLASSES = 32  # of words, by hash, whose counts bound what two texts can have in common
 
 
 def _sketcher(k: int, picks: int, sketches: int, seed: int, similarity: float):
@@ -68,6 +68,60 @@ def _aligner(similarity: float):
     return run
 
 
+def _counter(batches):
+    """The different words of each text with their counts."""
+    import numpy as np
+
+    for batch in sliced(batches, "text"):
+        found = [np.unique(word_codes(text.as_py()), return_counts=True) for text in batch.column("text")]
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(words) for words, _ in found])
+        words, counts = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(words.view(np.int64)), pa.array(counts, pa.int32())], names=["node", "word", "many"])
+
+
+def _rare_words(similarity: float):
+    """Of each text the rarest words that stand in other texts too, as many as two near texts cannot both do without: rows (word, node, n, component,
+    left: words from this one on, rest: the count of this word, then counts of those after it by class)."""
+    import numpy as np
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            flat, ends = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py())
+            texts, words, many = (flat.field(c).to_numpy() for c in ("texts", "word", "many"))
+            out: list[tuple] = []
+            size = 0
+
+            def made():
+                word, place, left, rest = (np.concatenate([x[i] for x in out]) for i in range(4))
+                offsets = np.arange(len(word) + 1, dtype=np.int32) * (CLASSES + 1)
+                columns = [batch.column(c).take(pa.array(place)) for c in ("node", "n", "component")]
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest.reshape(-1), pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(word), *columns, pa.array(left, pa.int32()), rest], names=["word", "node", "n", "component", "left", "rest"])
+
+            for i in range(batch.num_rows):
+                own = slice(ends[i], ends[i + 1])
+                order = np.lexsort((words[own], texts[own]))
+                shared, word, count = texts[own][order], words[own][order], many[own][order].astype(np.int64)
+                before = np.cumsum(count) - count
+                n = int(before[-1] + count[-1])
+                k = int(np.searchsorted(before, band_width(n, n, similarity), side="right"))
+                kind = ((word.view(np.uint64) >> np.uint64(33)) % np.uint64(CLASSES)).astype(np.int64)
+                gone = np.zeros((k, CLASSES), np.int64)
+                gone[np.arange(k), kind[:k]] = count[:k]
+                after = np.bincount(kind, count, minlength=CLASSES).astype(np.int64) - np.cumsum(gone, axis=0)
+                keep = shared[:k] > 1
+                out.append((word[:k][keep], np.full(int(keep.sum()), i), n - before[:k][keep], np.column_stack([count[:k], after])[keep]))
+                size += len(out[-1][0])
+                if size >= 10_000:
+                    yield made()
+                    out, size = [], 0
+            if out:
+                yield made()
+
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose whole texts align within the band."""
     held = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -101,17 +155,50 @@ def _star(bucketed: DataFrame, similarity: float) -> DataFrame:
     return _led(placed, [F.col("weight")]).where("node <> leader").where(_alike("n", "leader_n", similarity)).select(*_ordered("node", "leader")).distinct()
 
 
-def _open_pairs(placed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components from buckets that span several: in those of at most SMALL rows every two, in larger ones each row and LEADERS
-    leaders, which are the same in all buckets of the same rows.  So pairs are a few a row and sketch, however large buckets get."""
+def _can_be_near(other: str, similarity: float) -> Column:
+    """Whether rows of rare words, or groups of them (least and greatest n, greatest left and rest), can hold near texts of which this is the first word
+    in common: those have all but the band of the longer one's words in common, and none of these before this word."""
+    longer = F.greatest("low", f"{other}low")
+    need = longer - F.floor((1 - similarity) * longer + 1e-9)
+    common = F.aggregate(F.zip_with("rest", f"{other}rest", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    alike = (F.col("high") >= need) & (F.col(f"{other}high") >= need)
+    return alike & (F.col("left") >= need) & (F.col(f"{other}left") >= need) & (common >= need)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select("word", *[F.col(c).alias(f"o_{c}") for c in rows.columns if c != "word"])
+
+
+def _near_by_words(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components among the texts `open_` (node, n, component), without loss of near ones: those that share one of their rarest
+    words and have enough words in common by class.  Components meet first, then their texts, so that a component is not held against itself."""
+    words = settled(texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_counter, "node bigint, word bigint, many int"), "words")
+    spread = words.groupBy("word").agg(F.count("*").cast("int").alias("texts"))
+    listed = words.join(spread, "word").groupBy("node").agg(F.collect_list(F.struct("texts", "word", "many")).alias("words")).join(open_, "node")
+    schema = "word bigint, node bigint, n int, component bigint, left int, rest array<int>"
+    rare = settled(listed.mapInArrow(_rare_words(similarity), schema), "rare")
+    most = F.array(*[F.max(F.col("rest")[i]) for i in range(CLASSES + 1)])
+    groups = rare.groupBy("word", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), most.alias("rest"))
+    groups = settled(groups.join(groups.groupBy("word").agg(F.count("*").alias("held")).where("held > 1").select("word"), "word"), "groups")
+    met = groups.join(_other(groups), "word").where("component < o_component").where(_can_be_near("o_", similarity)).select("word", "component", "o_component")
+    rows = rare.select("word", "component", "node", F.col("n").alias("low"), F.col("n").alias("high"), "left", "rest")
+    pairs = met.join(rows, ["word", "component"]).join(_other(rows), ["word", "o_component"]).where(_can_be_near("o_", similarity))
+    pairs = settled(pairs.select(*_ordered("node", "o_node")).distinct(), "near")
+    discard(words, rare, groups)
+    return pairs
+
+
+def _open_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components from buckets that span several, without loss of near ones: in buckets of at most SMALL rows every two of like
+    length, of the texts of larger ones those that can be near by their words."""
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     placed = settled(placed.join(spread, "key"), "open")
-    led = _led(placed.where(F.col("size") > SMALL), [F.xxhash64(F.lit(i), "node") for i in range(LEADERS)])
-    led = led.where("component <> led").where(_alike("n", "leader_n", similarity)).select(*_ordered("node", "leader"))
+    large = settled(placed.where(F.col("size") > SMALL).select("node", "n", "component").distinct(), "large")
+    by_words = _near_by_words(large, texts, similarity)
     few = placed.where(F.col("size") <= SMALL).select("key", "node", "n", "component")
     other = few.select("key", F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("component").alias("m_component"))
     every = few.join(other, "key").where("node < m AND component <> m_component").where(_alike("n", "m_n", similarity))
-    return led.unionByName(every.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
+    return by_words.unionByName(every.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K_WORDS, picks: int = PICKS, sketches: int = SKETCHES, similarity: float = SIMILARITY, seed: int = 7) -> DataFrame:
@@ -122,10 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes are the connected components.  Order MinHash proposes pairs: each sketch takes the `picks` smallest occurrence-labelled `k`-word
     k-mers in text order (short texts have further sketches of shorter k-mers, see SHORT; texts that repeat k-mers have further ones of each k-mer's
     first occurrence), and texts with an equal sketch share a bucket.  Every text is aligned with the bucket's most central text.  Buckets that
-    still span several components go on: those of at most SMALL texts compare every two, larger ones hold their texts against LEADERS further leaders.
-    So alignments grow in proportion to the rows, and no group is gathered or paired off.  The search is probabilistic: a pair whose k-mer sets
-    have Jaccard J shares one of the sketches with a probability of about 1 - (1 - J^picks)^sketches, and in a large bucket it is met through a
-    leader that is near to both, or through one of its other, smaller buckets.
+    still span several components go on: those of at most SMALL texts compare every two; the texts of larger ones are joined by their rarest words and
+    counts of words, a filter that loses no near pair.  So every near pair that shares a sketch ends in one class, whatever the size of its bucket, and
+    alignments are those of the star and of pairs that have nearly enough words in common.  The search is probabilistic in the sketches alone: a pair
+    whose k-mer sets have Jaccard J shares one of them with a probability of about 1 - (1 - J^picks)^sketches.
 
     Null text counts as empty; empty texts form one class of their own.  Equal texts always share a class, however many copies there are.  A null
     id takes part; it is a class's id only if the class has no other.  Repeated rows are returned as often as they come in.  Other columns are
@@ -147,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(first, texts, similarity)
     held = components(links)
     placed = bucketed.join(held, "node", "left").select("key", "size", "node", "n", F.coalesce("component", "node").alias("component"))
-    fresh = settled(_open_pairs(placed, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
+    fresh = settled(_open_pairs(placed, texts, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
     more = _verified(fresh, texts, similarity)
     if not more.isEmpty():
         discard(held)

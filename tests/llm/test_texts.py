@@ -161,6 +161,29 @@ def test_alignments_grow_with_the_rows(spark, monkeypatch):
     assert sum(aligned) < 15 * len(rows)  # all pairs: 90 a row
 
 
+def test_pairs_that_share_large_buckets_alone(spark):
+    """Near pairs of which no two words in a row outside the common repeats are the same three words on: all their sketches in common are of the repeats, which all texts share."""
+    rng = random.Random(34)
+    rows = [(i, "spam ham " * 300 + words(rng, 160, 10**6)) for i in range(40)]
+    for i in range(0, 40, 4):
+        parts = rows[i][1].split()
+        parts[602::3] = [f"other{i}x{j}" for j in range(len(parts[602::3]))]
+        rows.append((1000 + i, " ".join(parts)))
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
+def test_rare_words_lose_no_near_pair(spark):
+    """Short and long texts of a small vocabulary with repeats, each its own component, against all pairs; texts of one component are not paired."""
+    rng = random.Random(35)
+    texts = {i: words(rng, rng.choice([4, 9, 30, 60]), rng.choice([12, 60, 400])) for i in range(60)}
+    texts |= {100 + i: edited(rng, texts[i], rng.choice([0.05, 0.1, 0.2])) for i in range(60)}
+    near = {(i, j) for i, j in itertools.combinations(texts, 2) if i % 7 != j % 7 and distance(a := texts[i].split(), b := texts[j].split()) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    open_ = spark.createDataFrame([(i, len(t.split()), i % 7) for i, t in texts.items()], "node bigint, n int, component bigint")
+    found = [tuple(r) for r in near_dup._near_by_words(open_, spark.createDataFrame(list(texts.items()), "node bigint, text string"), 0.8).collect()]
+    assert near and near <= set(found) and len(found) == len(set(found)) and all(a < b and a % 7 != b % 7 for a, b in found)
+
+
 def test_near_duplicates_of_a_star(spark):
     """A large group whose members are near its centre, not near each other, is one class."""
     rng = random.Random(6)
