@@ -130,13 +130,21 @@ def gradients(model: GatedAttention, x: np.ndarray, starts: np.ndarray, labels:
     return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ da, "U": h.T @ dg, "w": (a * g).T @ de, "c": z.T @ dl, "d": np.array([dl.sum()])}
 
 
+def _moments(bags: list[np.ndarray], batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each feature over the passages of all documents, of which `batch` at a time are held in double precision."""
+    parts = [range(at, min(at + batch, len(bags))) for at in range(0, len(bags), batch)]
+    wide = lambda part: np.concatenate([bags[i] for i in part]).astype(float)
+    count = sum(map(len, bags))
+    mean = sum(wide(part).sum(0) for part in parts) / count
+    return mean, np.sqrt(sum(((wide(part) - mean) ** 2).sum(0) for part in parts) / count) + 1e-2
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 20, batch: int = 64, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> GatedAttention:
     """Fits the model to whole-document labels (Adam on the log loss); only document labels are seen, the passage weights are learned."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
-    d = every.shape[1]
+    d = bags[0].shape[1]
     p = {"W": rng.normal(0, d**-0.5, (d, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, HIDDEN), "d": np.array([np.log((labels.mean() + 0.01) / (1.01 - labels.mean()))])}
-    model = GatedAttention(every.mean(0, dtype=float), every.std(0, dtype=float) + 1e-2, p)
+    model = GatedAttention(*_moments(bags, batch), p)
     m1, m2, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
@@ -189,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     held = bags.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", kind)]))), "id").select("label", "n", "x").collect()
     held.sort(key=lambda r: (bytes(r["x"]), r["label"]))
-    x = [np.frombuffer(r["x"], "<f2").reshape(r["n"], FEATURES).astype(np.float32) for r in held]
+    x = [np.frombuffer(r["x"], "<f2").reshape(r["n"], FEATURES) for r in held]  # the bytes as they came, widened by the batch
     return train(x, np.array([r["label"] for r in held]))
 
 

@@ -542,6 +542,21 @@ def test_attention_equals_plain_loops():
         assert abs(score - 1 / (1 + np.exp(-(np.dot(mean, p["c"]) + p["d"][0])))) < 1e-9
 
 
+def test_training_holds_no_wide_copy_of_the_sample():
+    """The sample stays in the half precision that it comes in; what is held besides is in proportion to a batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bags = [rng.random((8, quality.FEATURES)).astype(np.float16) for _ in range(2000)]
+    tracemalloc.start()
+    model = quality.train(bags, np.arange(2000) % 2.0, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(b.nbytes for b in bags)
+    every = np.concatenate(bags).astype(float)
+    assert np.allclose(model.mean, every.mean(0)) and np.allclose(model.scale, every.std(0) + 1e-2)
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(9)
     x, starts, labels = rng.normal(size=(12, quality.FEATURES)), np.array([0, 3, 4, 9]), np.array([1.0, 0.0, 0.0, 1.0])
