@@ -60,11 +60,22 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = _Cache()
         vocabulary = self.tokenizer.get_vocab()
+        self.raw = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
+        probe = ["a", "the", "tokens", "qzxjkvw"]  # whether the tokenizer leaves plain words to its model as they are
+        self.alone = all([x.id for x in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words in one go; the last id of each word is one that ends words."""
+        """Encodes new words: plain ones, which the tokenizer neither changes nor splits, by its model alone, others in one go; the last id of each
+        word is one that ends words."""
+        model, raw = self.tokenizer.model.tokenize, self.raw
+        plain = [word for word in words if self.alone and word.isascii() and word.isalpha()]
+        for word in plain:
+            self.cache[word] = b"".join([raw[x.id] for x in model(word)])
+        if len(plain) == len(words):
+            return
+        words = [word for word in words if word not in self.cache]
         ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
@@ -87,16 +98,23 @@ class WordEncoder:
                 continue
             words = _PIECES.findall(text.lower())
             codes = list(map(get, words))
-            found.append(words if None in codes else b"".join(codes))
+            found.append((words, codes) if None in codes else b"".join(codes))
         wanted = list(dict.fromkeys(cache.missing))
         cache.missing.clear()
         for at in range(0, len(wanted), 5_000):
             self._learn(wanted[at : at + 5_000])
-        out = [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in found]
+        for i, x in enumerate(found):
+            if not isinstance(x, bytes):
+                words, codes = x
+                at = -1
+                for _ in range(codes.count(None)):
+                    at = codes.index(None, at + 1)
+                    codes[at] = cache[words[at]]
+                found[i] = b"".join(codes)
         for word in wanted:
             if len(word) > _LONGEST:
                 del cache[word]
-        return out
+        return found
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -291,6 +291,25 @@ def test_word_encoder_is_the_tokenizer():
         assert np.frombuffer(code, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_plain_words_are_learned_from_the_model():
+    """Plain words do not go through the whole tokenizer, the others do; equal ids as the tokenizer's, new and known."""
+    found, whole = tokens.WordEncoder(tokens.vocabulary_path()), tokens.WordEncoder(tokens.vocabulary_path()).tokenizer
+    given = []
+
+    class Counting:
+        model, encode = whole.model, whole.encode
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    found.tokenizer = Counting()
+    texts = ["It's done, they said: 12.5% (or so).", "don't -- x'd 'tis\t\r\nx" + "9" * 70, "a" * 70 + ", Été!", "zwqxv Zwqxv zwqxw", ""]
+    for _ in range(2):
+        assert found.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert found.alone and "été" in " ".join(given) and not {"zwqxv", "done", "said"} & set(" ".join(given).split())
+
+
 def test_capacity_tree_and_plan_equal_item_by_item():
     rng = random.Random(9)
     for _ in range(60):
