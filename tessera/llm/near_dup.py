@@ -19,6 +19,8 @@ SHORT = ((75, 3, 2, 32), (20, 2, 1, 16))
 SMALL = 16
 SALT_ROWS = 1000
 CLASSES = 32  # of words, by hash, whose counts bound what two texts can have in common
+KINDS = 1 << 18  # of words, by hash, that are counted together to tell rare ones
+PRIOR = 32  # rare words before a rare word of which two texts that meet at it must have none in common
 
 
 def _sketcher(k: int, picks: int, sketches: int, seed: int, similarity: float):
@@ -68,51 +70,60 @@ def _aligner(similarity: float):
     return run
 
 
+def _kinds(words, kinds: int):
+    import numpy as np
+
+    return ((words.view(np.uint64) >> np.uint64(33)) % np.uint64(kinds)).astype(np.int64)
+
+
 def _counter(batches):
-    """The different words of each text with their counts."""
+    """How many texts have the words of each kind: one count of a kind from each task."""
     import numpy as np
 
+    total = np.zeros(KINDS, np.int64)
     for batch in sliced(batches, "text"):
-        found = [np.unique(word_codes(text.as_py()), return_counts=True) for text in batch.column("text")]
-        nodes = np.repeat(batch.column("node").to_numpy(), [len(words) for words, _ in found])
-        words, counts = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(words.view(np.int64)), pa.array(counts, pa.int32())], names=["node", "word", "many"])
+        total += np.bincount(_kinds(np.concatenate([np.unique(word_codes(text.as_py())) for text in batch.column("text")]), KINDS), minlength=KINDS)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], names=["kind", "texts"])
 
 
-def _rare_words(similarity: float):
-    """Of each text the rarest words that stand in other texts too, as many as two near texts cannot both do without: rows (word, node, n, component,
-    left: words from this one on, rest: the count of this word, then counts of those after it by class)."""
+def _rare_words(similarity: float, counts):
+    """Of each text the rarest words, by the count of their kind, that can stand in other texts too, as many as two near texts cannot both do without: rows
+    (word, node, n, component, left: words from this one on, rest: the count of this word, then counts of those after it by class, prior: up to PRIOR words
+    of the rows just before this one).  Any one order of all words loses no pair; this one makes few."""
     import numpy as np
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column("words")
-            flat, ends = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py())
-            texts, words, many = (flat.field(c).to_numpy() for c in ("texts", "word", "many"))
+        for batch in sliced(batches, "text"):
             out: list[tuple] = []
             size = 0
 
             def made():
-                word, place, left, rest = (np.concatenate([x[i] for x in out]) for i in range(4))
+                word, place, left, rest, prior, many = (np.concatenate([x[i] for x in out]) for i in range(6))
                 offsets = np.arange(len(word) + 1, dtype=np.int32) * (CLASSES + 1)
                 columns = [batch.column(c).take(pa.array(place)) for c in ("node", "n", "component")]
                 rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest.reshape(-1), pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(word), *columns, pa.array(left, pa.int32()), rest], names=["word", "node", "n", "component", "left", "rest"])
-
-            for i in range(batch.num_rows):
-                own = slice(ends[i], ends[i + 1])
-                order = np.lexsort((words[own], texts[own]))
-                shared, word, count = texts[own][order], words[own][order], many[own][order].astype(np.int64)
+                prior = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(prior))
+                return pa.RecordBatch.from_arrays([pa.array(word), *columns, pa.array(left, pa.int32()), rest, prior], names=["word", "node", "n", "component", "left", "rest", "prior"])
+
+            for i, text in enumerate(batch.column("text")):
+                word, count = np.unique(word_codes(text.as_py()), return_counts=True)
+                shared = counts[_kinds(word, KINDS)]
+                order = np.lexsort((word, shared))
+                shared, word, count = shared[order], word[order].view(np.int64), count[order].astype(np.int64)
                 before = np.cumsum(count) - count
                 n = int(before[-1] + count[-1])
                 k = int(np.searchsorted(before, band_width(n, n, similarity), side="right"))
-                kind = ((word.view(np.uint64) >> np.uint64(33)) % np.uint64(CLASSES)).astype(np.int64)
+                kind = _kinds(word, CLASSES)
                 gone = np.zeros((k, CLASSES), np.int64)
                 gone[np.arange(k), kind[:k]] = count[:k]
                 after = np.bincount(kind, count, minlength=CLASSES).astype(np.int64) - np.cumsum(gone, axis=0)
                 keep = shared[:k] > 1
-                out.append((word[:k][keep], np.full(int(keep.sum()), i), n - before[:k][keep], np.column_stack([count[:k], after])[keep]))
-                size += len(out[-1][0])
+                word = word[:k][keep]
+                many = np.minimum(np.arange(len(word)), PRIOR)
+                prior = np.concatenate([word[at - m : at] for at, m in enumerate(many)]) if len(word) else word
+                out.append((word, np.full(len(word), i), n - before[:k][keep], np.column_stack([count[:k], after])[keep], prior, many))
+                size += len(word)
                 if size >= 10_000:
                     yield made()
                     out, size = [], 0
@@ -171,20 +182,25 @@ def _other(rows: DataFrame) -> DataFrame:
 
 def _near_by_words(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different components among the texts `open_` (node, n, component), without loss of near ones: those that share one of their rarest
-    words and have enough words in common by class.  Components meet first, then their texts, so that a component is not held against itself."""
-    words = settled(texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_counter, "node bigint, word bigint, many int"), "words")
-    spread = words.groupBy("word").agg(F.count("*").cast("int").alias("texts"))
-    listed = words.join(spread, "word").groupBy("node").agg(F.collect_list(F.struct("texts", "word", "many")).alias("words")).join(open_, "node")
-    schema = "word bigint, node bigint, n int, component bigint, left int, rest array<int>"
-    rare = settled(listed.mapInArrow(_rare_words(similarity), schema), "rare")
+    words and have enough words in common by class.  Components meet first, so that none is held against itself; then each text of the one with fewer
+    texts of that word meets the other component, and those that can be near any of its texts meet these.  A pair comes from the first word in common."""
+    import numpy as np
+
+    whole = settled(texts.join(open_, "node").select("node", "n", "component", "text"), "large_texts")
+    found = whole.select("text").mapInArrow(_counter, "kind int, texts bigint").groupBy("kind").agg(F.sum("texts").alias("texts")).toArrow()
+    counts = np.zeros(KINDS, np.int32)
+    counts[found.column("kind").to_numpy()] = np.minimum(found.column("texts").to_numpy(), 2**31 - 1)
+    schema = "word bigint, node bigint, n int, component bigint, left int, rest array<int>, prior array<bigint>"
+    rare = settled(whole.repartition("node").mapInArrow(_rare_words(similarity, counts), schema), "rare")
     most = F.array(*[F.max(F.col("rest")[i]) for i in range(CLASSES + 1)])
-    groups = rare.groupBy("word", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), most.alias("rest"))
-    groups = settled(groups.join(groups.groupBy("word").agg(F.count("*").alias("held")).where("held > 1").select("word"), "word"), "groups")
-    met = groups.join(_other(groups), "word").where("component < o_component").where(_can_be_near("o_", similarity)).select("word", "component", "o_component")
-    rows = rare.select("word", "component", "node", F.col("n").alias("low"), F.col("n").alias("high"), "left", "rest")
-    pairs = met.join(rows, ["word", "component"]).join(_other(rows), ["word", "o_component"]).where(_can_be_near("o_", similarity))
+    groups = settled(rare.groupBy("word", "component").agg(F.count("*").alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), most.alias("rest")), "groups")
+    met = groups.join(_other(groups), "word").where(F.struct("held", "component") < F.struct("o_held", "o_component")).where(_can_be_near("o_", similarity))
+    met = met.select("word", "component", "o_component", "o_low", "o_high", "o_left", "o_rest")
+    rows = rare.select("word", "component", "node", F.col("n").alias("low"), F.col("n").alias("high"), "left", "rest", "prior")
+    held = rows.join(met, ["word", "component"]).where(_can_be_near("o_", similarity)).select(*rows.columns, "o_component").drop("component")
+    pairs = held.join(_other(rows), ["word", "o_component"]).where(~F.arrays_overlap("prior", "o_prior")).where(_can_be_near("o_", similarity))
     pairs = settled(pairs.select(*_ordered("node", "o_node")).distinct(), "near")
-    discard(words, rare, groups)
+    discard(whole, rare, groups)
     return pairs
 
 
