@@ -38,3 +38,13 @@ def test_components_meet_without_all_their_texts(spark):
     found, most = near_pairs(spark, texts, component, "component")
     assert len(near) >= 5 and near <= set(found)
     assert most < 1.5 * len(found) + len(texts), (most, len(found))
+
+
+def test_words_are_not_joined(spark):
+    """Long texts of common words in any number: no join has a row for each word of each text."""
+    rng = random.Random(42)
+    texts = {i: words(rng, 400, 3000) for i in range(60)}
+    texts |= {100 + i: edited(rng, texts[i], 0.1) for i in range(10)}
+    found, most = near_pairs(spark, texts, lambda i: i)
+    assert {(i, 100 + i) for i in range(10)} <= set(found)
+    assert most < 60 * len(texts), most  # words: about 375 a text
