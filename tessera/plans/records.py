@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names, scalars
 from tessera.operators import classify, facets, fusion, incremental, linking, publishing, ranking, reports, sequences
-from tessera.session import table
+from tessera.session import spread, table
 from tessera.sources import extractors, review_pages
 from tessera.streaming import jobs
 
@@ -36,7 +36,7 @@ def _o(**fields) -> Column:
 
 
 def _extracted(df: DataFrame, key: str, source: str, payload: Column) -> DataFrame:
-    return df.select(key, extractors.EXTRACTORS[source](F.to_json(payload)).alias("f"))
+    return extractors.projected(spread(df), source, F.to_json(payload), (key,))
 
 
 # --- extractors --------------------------------------------------------------------------------------
@@ -53,7 +53,7 @@ def extract_steam(spark, d):
     )
     payload = _o(appid=_text(k), en=en, reviews=_o(success=1, query_summary=_o(total_positive=k, total_reviews=k * 2)))
     f = _extracted(table(spark, d, "part"), "p_partkey", "steam", payload)
-    return f.select("p_partkey", "f.name", "f.steam_appid", "f.description_en", "f.languages", "f.voiceovers", "f.developers", "f.platforms", F.col("f.prices.usd.initial").alias("initial"), F.col("f.store_release.date").alias("released"), F.col("f.score_steam").alias("score"), F.col("f.score_steam_votes").alias("votes"), F.col("f.steam_purchasable").alias("purchasable"))
+    return f.select("p_partkey", "name", "steam_appid", "description_en", "languages", "voiceovers", "developers", "platforms", F.col("prices.usd.initial").alias("initial"), F.col("store_release.date").alias("released"), F.col("score_steam").alias("score"), F.col("score_steam_votes").alias("votes"), F.col("steam_purchasable").alias("purchasable"))
 
 
 @query("""SELECT p_partkey, p_name || ' & é' AS name, CAST(p_partkey AS VARCHAR) AS gog_id, 'slug_' || p_partkey AS slug, ['WIN', 'MAC'] AS platforms, [p_brand] AS developers, 2000 AS initial, 500 AS final, 75 AS discount, ['English'] AS voiceovers, DATE '2014-05-06' AS released, true AS purchasable FROM part""")
@@ -65,8 +65,8 @@ def extract_gog(spark, d):
     prices = _o(_embedded=_o(prices=F.array(_o(currency=_o(code="EUR"), basePrice="1 EUR", finalPrice="1 EUR"), _o(currency=_o(code="USD"), basePrice="2000 USD", finalPrice="500 USD"))))
     link = _o(store=_o(href=F.concat(F.lit("https://www.gog.com/en/game/slug_"), _text(k), F.lit("?x=1"))))
     f = _extracted(table(spark, d, "part"), "p_partkey", "gog", _o(en=_o(overview="<b>O</b>", _links=link, _embedded=inner), pricesUsd=prices, catalog=_o(releaseDate="2014.05.06")))
-    usd = F.col("f.prices.usd")
-    return f.select("p_partkey", "f.name", "f.gog_id", F.col("f.gog_slug").alias("slug"), "f.platforms", "f.developers", usd["initial"].cast("int").alias("initial"), usd["final"].cast("int").alias("final"), usd["discount"].cast("int").alias("discount"), "f.voiceovers", F.col("f.store_release.date").alias("released"), F.col("f.gog_purchasable").alias("purchasable"))
+    usd = F.col("prices.usd")
+    return f.select("p_partkey", "name", "gog_id", F.col("gog_slug").alias("slug"), "platforms", "developers", usd["initial"].cast("int").alias("initial"), usd["final"].cast("int").alias("final"), usd["discount"].cast("int").alias("discount"), "voiceovers", F.col("store_release.date").alias("released"), F.col("gog_purchasable").alias("purchasable"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS released, ['day', 'month', 'year', 'quarter'][o_orderkey % 4 + 1] AS precision, o_orderkey % 100 + 1 AS score, 1.0 AS main, 2.0 AS complete, ['D'] AS developers, ['P'] AS publishers, CAST(o_orderkey AS VARCHAR) AS steam_id, 'https://w/' || o_orderkey AS wiki FROM orders""")
@@ -79,7 +79,7 @@ def extract_igdb(spark, d):
         involved_companies=F.array(firm("D", True), firm("P", False), firm("D", True)), external_games=F.array(_o(uid=_text(k), category=1)), websites=F.array(_o(url=F.concat(F.lit("https://w/"), _text(k)), type=3)),
     )
     f = _extracted(table(spark, d, "orders"), "o_orderkey", "igdb", _o(game=game, timeToBeat=_o(hastily=3600, completely=7200)))
-    return f.select("o_orderkey", F.col("f.release.date").alias("released"), F.col("f.release.precision").alias("precision"), F.col("f.score_igdb").alias("score"), F.col("f.time_main").alias("main"), F.col("f.time_complete").alias("complete"), "f.developers", "f.publishers", F.col("f.links")["steam"]["id"].alias("steam_id"), F.col("f.links")["wikipedia"]["url"].alias("wiki"))
+    return f.select("o_orderkey", F.col("release.date").alias("released"), F.col("release.precision").alias("precision"), F.col("score_igdb").alias("score"), F.col("time_main").alias("main"), F.col("time_complete").alias("complete"), "developers", "publishers", F.col("links")["steam"]["id"].alias("steam_id"), F.col("links")["wikipedia"]["url"].alias("wiki"))
 
 
 @query("""SELECT c_custkey, (c_custkey * 1000 + c_custkey * 3000) // 2 AS owners, CASE WHEN c_custkey > 0 THEN CAST(floor(c_custkey / (c_custkey + 1.0) * 100 + 0.5) AS BIGINT) END AS score, CASE WHEN c_custkey > 0 THEN c_custkey END AS votes,
@@ -89,14 +89,14 @@ def extract_steamspy(spark, d):
     span = F.concat(F.format_number(k * 1000, 0), F.lit(" .. "), F.format_number(k * 3000, 0))
     tags = F.create_map(F.lit("b"), F.lit(1), F.lit("high"), F.lit(9), F.lit("a"), F.lit(1))
     f = _extracted(table(spark, d, "customer"), "c_custkey", "steamspy", _o(appid=k, name=F.col("c_name"), positive=k, negative=F.lit(0), owners=span, median_forever=k % 3, average_forever=0, tags=tags))
-    return f.select("c_custkey", F.col("f.owners_estimate").alias("owners"), F.col("f.score_steam").alias("score"), F.col("f.score_steam_votes").alias("votes"), "f.tags", F.col("f.playtime_median").alias("median"))
+    return f.select("c_custkey", F.col("owners_estimate").alias("owners"), F.col("score_steam").alias("score"), F.col("score_steam_votes").alias("votes"), "tags", F.col("playtime_median").alias("median"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS released, CASE WHEN o_orderkey % 50 > 0 THEN floor((o_orderkey % 50) * 1800 / 3600.0 * 10 + 0.5) / 10 END AS main, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 3 AS VARCHAR) END AS steam_id FROM orders""")
 def extract_hltb(spark, d):
     k = F.col("o_orderkey")
     f = _extracted(table(spark, d, "orders"), "o_orderkey", "hltb", _o(game_id=k, release_na=F.date_format("o_orderdate", "yyyy-MM-dd"), comp_main=(k % 50) * 1800, comp_100=0, profile_steam=k % 3))
-    return f.select("o_orderkey", F.col("f.release.date").alias("released"), F.col("f.time_main").alias("main"), F.col("f.links")["steam"]["id"].alias("steam_id"))
+    return f.select("o_orderkey", F.col("release.date").alias("released"), F.col("time_main").alias("main"), F.col("links")["steam"]["id"].alias("steam_id"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 100 AS DOUBLE) END AS score, CASE WHEN o_orderkey % 4 > 0 THEN 'metacritic' END AS source, CASE WHEN o_orderkey % 4 > 0 THEN 12 END AS n, CAST(o_orderdate AS DATE) AS released, CASE WHEN o_orderkey % 2 = 0 THEN 's' || o_orderkey END AS slug FROM orders""")
@@ -104,7 +104,7 @@ def extract_metacritic(spark, d):
     k = F.col("o_orderkey")
     payload = _o(slug=F.when(k % 2 == 0, F.concat(F.lit("s"), _text(k))).otherwise(""), url="https://x/", metascore=F.when(k % 4 > 0, k % 100), criticReviews=12, datePublished=F.date_format("o_orderdate", "MMM d, yyyy"))
     f = _extracted(table(spark, d, "orders"), "o_orderkey", "metacritic", payload)
-    return f.select("o_orderkey", F.col("f.score_critics").alias("score"), F.col("f.score_critics_source").alias("source"), F.col("f.score_critics_count").cast("int").alias("n"), F.col("f.release.date").alias("released"), F.col("f.links")["metacritic"]["id"].alias("slug"))
+    return f.select("o_orderkey", F.col("score_critics").alias("score"), F.col("score_critics_source").alias("source"), F.col("score_critics_count").cast("int").alias("n"), F.col("release.date").alias("released"), F.col("links")["metacritic"]["id"].alias("slug"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Tough' END AS difficulty, c_custkey % 50 / 10.0 AS stars, CAST(c_custkey % 90 AS DOUBLE) AS hours, make_date(2000 + CAST(c_custkey % 20 AS INTEGER), 5, 4) AS released FROM customer""")
@@ -112,7 +112,7 @@ def extract_gamefaqs(spark, d):
     k = F.col("c_custkey")
     payload = _o(pid="9", url="u", difficultyLabel=F.when(k % 2 == 0, "Tough").otherwise(""), ratingTitle=F.concat(F.lit("Average: "), _text((k % 50).cast("double") / 10), F.lit(" out of 5")), lengthTitle=F.concat(_text(k % 90), F.lit(" hours")), releaseRaw=F.concat(F.lit("May 4, "), _text(k % 20 + 2000)))
     f = _extracted(table(spark, d, "customer"), "c_custkey", "gamefaqs", payload)
-    return f.select("c_custkey", "f.difficulty", F.col("f.score_gamefaqs").alias("stars"), F.col("f.time_gamefaqs").alias("hours"), F.col("f.release.date").alias("released"))
+    return f.select("c_custkey", "difficulty", F.col("score_gamefaqs").alias("stars"), F.col("time_gamefaqs").alias("hours"), F.col("release.date").alias("released"))
 
 
 @query("""SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS released, 'month' AS precision, 'g' || o_orderkey AS shop, 'https://en.wikipedia.org/wiki/A_' || o_orderkey AS wiki, o_orderkey AS steam_appid, ['X', 'Y'] AS developers FROM orders""")
@@ -122,14 +122,14 @@ def extract_wikidata(spark, d):
     dates = F.concat(F.date_format(F.add_months("o_orderdate", 24), "yyyy"), F.lit("-00-00|9||"), F.date_format("o_orderdate", "yyyy-MM"), F.lit("-00T00:00:00Z|10||1901-01-01|7"))
     payload = _o(item=v("http://x/Q1"), steamId=v(_text(k)), gogId_=v(F.concat(F.lit("game/g"), _text(k))), wikiEnTitle_=v(F.concat(F.lit("A "), _text(k))), pubDates=v(dates), developers=v("X|Y|X"))
     f = _extracted(table(spark, d, "orders"), "o_orderkey", "wikidata", payload)
-    return f.select("o_orderkey", F.col("f.release.date").alias("released"), F.col("f.release.precision").alias("precision"), F.col("f.links")["gog"]["id"].alias("shop"), F.col("f.links")["wikipedia_en"]["url"].alias("wiki"), "f.steam_appid", F.array_distinct("f.developers").alias("developers"))
+    return f.select("o_orderkey", F.col("release.date").alias("released"), F.col("release.precision").alias("precision"), F.col("links")["gog"]["id"].alias("shop"), F.col("links")["wikipedia_en"]["url"].alias("wiki"), "steam_appid", F.array_distinct("developers").alias("developers"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 + 1 END AS score, CASE WHEN c_custkey % 2 = 0 THEN 'https://gamefaqs.gamespot.com/pc/' || c_custkey END AS url FROM customer""")
 def extract_gamerankings(spark, d):
     k = F.col("c_custkey")
     f = _extracted(table(spark, d, "customer"), "c_custkey", "gamerankings", _o(id="1", platform=F.when(k % 2 == 0, "PC").otherwise("PS2"), score=(k % 90).cast("double") + 0.5, reviews=k % 4, path=F.concat(F.lit("/pc/"), _text(k))))
-    return f.select("c_custkey", F.col("f.score_gamerankings").alias("score"), F.col("f.links")["gamefaqs"]["url"].alias("url"))
+    return f.select("c_custkey", F.col("score_gamerankings").alias("score"), F.col("links")["gamefaqs"]["url"].alias("url"))
 
 
 @query("""SELECT p_partkey, [p_brand || ', Inc.', 'Small, Ltd'] AS developers, ['A', 'B'] AS genres, p_partkey % 2 = 0 AS on_steam, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS steam_appid, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_partkey AS VARCHAR) END AS gog_id, DATE '2001-02-03' AS hinted, p_partkey AS initial FROM part""")
@@ -137,7 +137,7 @@ def extract_legacy(spark, d):
     k = F.col("p_partkey")
     payload = _o(sid=_text(k), store_platform=F.when(k % 2 == 0, "Steam").otherwise("GOG"), store_url="s", developers=F.concat("p_brand", F.lit(", Inc., Small, Ltd")), genres="A, B,", published_meta="2001-02-03", price_en=k, meta_score=70)
     f = _extracted(table(spark, d, "part"), "p_partkey", "legacy", payload)
-    return f.select("p_partkey", "f.developers", "f.genres", F.col("f.links")["steam"].isNotNull().alias("on_steam"), "f.steam_appid", "f.gog_id", F.col("f.release_candidates")[0]["release"]["date"].alias("hinted"), F.col("f.prices.usd.initial").alias("initial"))
+    return f.select("p_partkey", "developers", "genres", F.col("links")["steam"].isNotNull().alias("on_steam"), "steam_appid", "gog_id", F.col("release_candidates")[0]["release"]["date"].alias("hinted"), F.col("prices.usd.initial").alias("initial"))
 
 
 @query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'steam' ELSE 'hltb' END AS source, count(*) AS n, CAST(count(*) FILTER (c_custkey % 3 = 0) AS BIGINT) AS named FROM customer WHERE c_custkey % 3 < 2 GROUP BY 1""")

@@ -1,6 +1,7 @@
 """One projection for each source: JSON payload -> the common vocabulary of extracted fields.
 
-Every extractor is a Column from a JSON text; unknown keys are ignored, and a payload that is no JSON gives nulls (PERMISSIVE).
+Every extractor is a Column from a JSON text; unknown keys are ignored, and a payload that is no JSON gives nulls (PERMISSIVE).  On tables use `projected`,
+which parses a payload once and works out only the fields that are read; a value that a field names several times is computed once (`let`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import names, scalars
 from tessera.functions.dates import parse_date
 from tessera.functions.html import html_text
+from tessera.functions.scalars import let
 from tessera.operators.fusion import source_priority
 
 _DATE = "struct<date: date, precision: string>"
@@ -39,12 +41,36 @@ WEBSITE = {1: "official", 3: "wikipedia", 17: "gog"}
 COMPANY_SUFFIX = r"(?i)^(inc|incorporated|llc|l\.l\.c|ltd|limited|llp|co|corp|corporation|gmbh|ag|kg|ug|s\.?a|s\.?l|s\.?r\.?l|s\.?r\.?o|a\.?s|b\.?v|n\.?v|ab|oy|aps|pty|pty ltd|plc|sp\. z o\.o|sarl|sas|kft|d\.o\.o|co\., ?ltd)\.?$"
 
 
-def _fields(found: dict[str, Column]) -> Column:
-    return F.struct(*[found.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in VOCABULARY.items()])
+EXTRACTORS: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(name: str, extract: Callable[[Column], Column]) -> None:
+    """Adds a source: a function from the payload column to a struct of VOCABULARY."""
+    EXTRACTORS[name] = extract
+
+
+def _source(schema: str):
+    """Registers a source by a function from the parsed payload, a struct of the schema, to a struct of VOCABULARY."""
+
+    def keep(fields: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def extract(payload: Column) -> Column:
+            return fields(F.from_json(payload, schema))
+
+        extract.schema, extract.fields = schema, fields
+        register(fields.__name__, extract)
+        return extract
+
+    return keep
+
+
+def _fields(found: dict[str, Column], known: Column | None = None) -> Column:
+    """The vocabulary; a field that was not found is null, and so are all where `known` is false."""
+    value = lambda k: F.when(known, found[k]) if known is not None else found[k]
+    return F.struct(*[(value(k) if k in found else F.lit(None)).cast(kind).alias(k) for k, kind in VOCABULARY.items()])
 
 
 def _some(c: Column) -> Column:
-    return F.when(F.size(c) > 0, c)
+    return let(c, lambda x: F.when(F.size(x) > 0, x))
 
 
 def _texts(c: Column) -> Column:
@@ -56,7 +82,7 @@ def _named(c: Column, key: str = "name") -> Column:
 
 
 def _dated(release: Column) -> Column:
-    return F.when(release["date"].isNotNull(), release)
+    return let(release, lambda r: F.when(r["date"].isNotNull(), r))
 
 
 def _money(initial: Column, final: Column, discount: Column) -> Column:
@@ -74,9 +100,7 @@ def _link(kind: Column | str, id_: Column, url: Column, when: Column) -> Column:
 
 
 def _links(*links: Column) -> Column:
-    kept = F.array_compact(F.array(*links))
-    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
-
+    return let(F.array_compact(F.array(*links)), lambda kept: F.when(F.size(kept) > 0, F.map_from_entries(kept)))
 
 
 def languages(raw: Column) -> tuple[Column, Column]:
@@ -96,8 +120,8 @@ _STORE = """appid string, en struct<name: string, steam_appid: bigint, is_free:
  reviews struct<success: int, query_summary: struct<total_positive: bigint, total_reviews: bigint>>, reviewsPlaytime struct<count: bigint, medianAtReview: double, p25AtReview: double, p75AtReview: double>, recentReviews struct<positive: bigint, negative: bigint>"""
 
 
-def steam(payload: Column) -> Column:
-    p = F.from_json(payload, _STORE)
+@_source(_STORE)
+def steam(p: Column) -> Column:
     en, ru, az, summary, recent, played = p["en"], p["ru"], p["az"], p["reviews"]["query_summary"], p["recentReviews"], p["reviewsPlaytime"]
     price = lambda o: _money(o["initial"], o["final"], F.coalesce(o["discount_percent"], F.lit(0)))
     dated = en["release_date"]
@@ -121,7 +145,7 @@ def steam(payload: Column) -> Column:
         "score_steam_recent": scalars.positive_share(recent["positive"], many), "score_steam_recent_votes": F.when(many > 0, many),
         "playtime_review_minutes": F.when(had, played["medianAtReview"]), "playtime_review_count": F.when(had, played["count"]), "playtime_review_p25": F.when(had, played["p25AtReview"]), "playtime_review_p75": F.when(had, played["p75AtReview"]),
     }
-    return F.when(en.isNotNull(), _fields(found)).otherwise(_fields({}))
+    return _fields(found, en.isNotNull())
 
 
 _SHOP_PRICES = "struct<_embedded: struct<prices: array<struct<currency: struct<code: string>, basePrice: string, finalPrice: string>>>>"
@@ -133,14 +157,18 @@ _SHOP = f"""en struct<overview: string, description: string, _links: struct<stor
 
 def _shop_price(prices: Column, currency: str) -> Column:
     entry = F.get(F.filter(prices["_embedded"]["prices"], lambda x: x["currency"]["code"] == currency), F.lit(0))
-    base, last = scalars.money_cents(entry["basePrice"]), scalars.money_cents(entry["finalPrice"])
-    i, f = F.coalesce(base, last), F.coalesce(last, base)
-    off = F.when((i > 0) & f.isNotNull(), F.greatest(F.lit(0), scalars.round_up_half((i - f).cast("double") / i * 100))).otherwise(0)
-    return F.when(i.isNotNull(), _money(i, f, off))
+    asked = let(entry, lambda e: F.struct(scalars.money_cents(e["basePrice"]).alias("base"), scalars.money_cents(e["finalPrice"]).alias("last")))
+
+    def priced(m: Column) -> Column:
+        i, f = F.coalesce(m["base"], m["last"]), F.coalesce(m["last"], m["base"])
+        off = F.when((i > 0) & f.isNotNull(), F.greatest(F.lit(0), scalars.round_up_half((i - f).cast("double") / i * 100))).otherwise(0)
+        return F.when(i.isNotNull(), _money(i, f, off))
+
+    return let(asked, priced)
 
 
-def gog(payload: Column) -> Column:
-    p = F.from_json(payload, _SHOP)
+@_source(_SHOP)
+def gog(p: Column) -> Column:
     en, catalog = p["en"], p["catalog"]
     inner, product = en["_embedded"], en["_embedded"]["product"]
     dotted = lambda c: F.regexp_replace(c, r"^(\d{4})\.(\d{2})\.(\d{2})$", "$1-$2-$3")
@@ -164,7 +192,7 @@ def gog(payload: Column) -> Column:
         "genres": _named(F.coalesce(catalog["genres"], inner["tags"])), "tags": _named(inner["tags"]), "categories": _named(inner["features"]), "languages": tongue(spoken), "voiceovers": tongue(voiced),
         "prices": _prices(usd, rub), "is_free": free, "gog_purchasable": buyable, "links": _links(_link("gog", product["id"], url, url.isNotNull())),
     }
-    return F.when(product.isNotNull(), _fields(found)).otherwise(_fields({}))
+    return _fields(found, product.isNotNull())
 
 
 _DATABASE = """game struct<id: bigint, name: string, first_release_date: bigint, release_dates: array<struct<date: bigint, date_format: int, category: int>>, aggregated_rating: double, rating: double, genres: array<struct<name: string>>,
@@ -172,11 +200,11 @@ _DATABASE = """game struct<id: bigint, name: string, first_release_date: bigint,
  timeToBeat struct<hastily: bigint, normally: bigint, completely: bigint>"""
 
 
-def igdb(payload: Column) -> Column:
-    p = F.from_json(payload, _DATABASE)
+@_source(_DATABASE)
+def igdb(p: Column) -> Column:
     g, t = p["game"], p["timeToBeat"]
     first = F.get(F.filter(g["release_dates"], lambda r: r["date"] == g["first_release_date"]), F.lit(0))
-    precision = scalars.slot(F.coalesce(first["date_format"], first["category"]), DATE_FORMATS, "day")
+    precision = let(first, lambda r: scalars.slot(F.coalesce(r["date_format"], r["category"]), DATE_FORMATS, "day"))
     released = F.struct(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(g["first_release_date"] / 86400).cast("int")).alias("date"), precision.alias("precision"))
     external = lambda kind: F.get(F.filter(g["external_games"], lambda e: (scalars.slot(F.coalesce(e["external_game_source"], e["category"]), EXTERNAL, None) == kind) & (e["uid"] != "")), F.lit(0))["uid"]
     site = lambda kind: F.get(F.filter(g["websites"], lambda w: scalars.slot(F.coalesce(w["type"], w["category"]), WEBSITE, None) == kind), F.lit(0))["url"]
@@ -186,26 +214,26 @@ def igdb(payload: Column) -> Column:
         "name": F.when(F.trim(g["name"]) != "", g["name"]), "release": F.when(g["first_release_date"].isNotNull(), released), "score_igdb": scalars.round_up_half(g["aggregated_rating"]), "score_igdb_users": scalars.round_up_half(g["rating"]),
         "time_main": scalars.hours(F.coalesce(t["normally"], t["hastily"]), 3600), "time_complete": scalars.hours(t["completely"], 3600), "genres": _named(g["genres"]), "developers": firms("developer"), "publishers": firms("publisher"),
         "links": _links(
-            _link("steam", store, F.concat(F.lit("https://store.steampowered.com/app/"), store), store.isNotNull()), _link("gog", shop, site("gog"), shop.isNotNull()),
-            _link("wikipedia", F.lit(None), site("wikipedia"), site("wikipedia").isNotNull()), _link("official", F.lit(None), site("official"), site("official").isNotNull()),
+            let(store, lambda x: _link("steam", x, F.concat(F.lit("https://store.steampowered.com/app/"), x), x.isNotNull())), let(shop, lambda x: _link("gog", x, site("gog"), x.isNotNull())),
+            let(site("wikipedia"), lambda url: _link("wikipedia", F.lit(None), url, url.isNotNull())), let(site("official"), lambda url: _link("official", F.lit(None), url, url.isNotNull())),
         ),
     }
-    return F.when(g.isNotNull(), _fields(found)).otherwise(_fields({}))
+    return _fields(found, g.isNotNull())
 
 
-def steamspy(payload: Column) -> Column:
-    p = F.from_json(payload, "appid bigint, name string, positive bigint, negative bigint, owners string, median_forever double, average_forever double, tags map<string, bigint>")
+@_source("appid bigint, name string, positive bigint, negative bigint, owners string, median_forever double, average_forever double, tags map<string, bigint>")
+def steamspy(p: Column) -> Column:
     votes = scalars.vote_share(p["positive"], p["negative"])
     ranked = F.transform(F.array_sort(F.transform(F.map_entries(p["tags"]), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), lambda x: x["k"])
     found = {
         "steam_appid": p["appid"], "owners_estimate": scalars.owners_midpoint(p["owners"]), "score_steam": votes["score"], "score_steam_votes": votes["votes"],
         "playtime_median": F.when(p["median_forever"] > 0, p["median_forever"]), "playtime_mean": F.when(p["average_forever"] > 0, p["average_forever"]), "tags": _some(ranked),
     }
-    return F.when(p["appid"].isNotNull() & p["name"].isNotNull(), _fields(found)).otherwise(_fields({}))
+    return _fields(found, p["appid"].isNotNull() & p["name"].isNotNull())
 
 
-def hltb(payload: Column) -> Column:
-    p = F.from_json(payload, "game_id bigint, game_name string, profile_steam bigint, release_world string, release_na string, release_eu string, release_jp string, comp_main bigint, comp_100 bigint")
+@_source("game_id bigint, game_name string, profile_steam bigint, release_world string, release_na string, release_eu string, release_jp string, comp_main bigint, comp_100 bigint")
+def hltb(p: Column) -> Column:
     sid = scalars.filled(p["profile_steam"])
     return _fields({
         "release": _dated(parse_date(F.coalesce(p["release_world"], p["release_na"], p["release_eu"], p["release_jp"]))), "time_main": scalars.hours(p["comp_main"], 3600), "time_complete": scalars.hours(p["comp_100"], 3600),
@@ -213,8 +241,8 @@ def hltb(payload: Column) -> Column:
     })
 
 
-def metacritic(payload: Column) -> Column:
-    p = F.from_json(payload, "slug string, url string, name string, datePublished string, metascore double, criticReviews bigint, userScore double, userRatings bigint, platform string")
+@_source("slug string, url string, name string, datePublished string, metascore double, criticReviews bigint, userScore double, userRatings bigint, platform string")
+def metacritic(p: Column) -> Column:
     scored = p["metascore"].isNotNull()
     return _fields({
         "score_critics": p["metascore"], "score_critics_source": F.when(scored, "metacritic"), "score_critics_count": F.when(scored, p["criticReviews"]), "score_users": p["userScore"], "release": _dated(parse_date(p["datePublished"])),
@@ -222,8 +250,8 @@ def metacritic(payload: Column) -> Column:
     })
 
 
-def gamefaqs(payload: Column) -> Column:
-    p = F.from_json(payload, "pid string, url string, pageName string, difficultyLabel string, ratingTitle string, lengthTitle string, releaseRaw string")
+@_source("pid string, url string, pageName string, difficultyLabel string, ratingTitle string, lengthTitle string, releaseRaw string")
+def gamefaqs(p: Column) -> Column:
     return _fields({
         "difficulty": F.when(p["difficultyLabel"] != "", p["difficultyLabel"]), "score_gamefaqs": scalars.first_number(p["ratingTitle"]), "time_gamefaqs": scalars.first_number(p["lengthTitle"]), "release": _dated(parse_date(p["releaseRaw"])),
         "links": _links(_link("gamefaqs", p["pid"], p["url"], F.coalesce((p["pid"] != "") & (p["url"] != ""), F.lit(False)))),
@@ -238,18 +266,19 @@ WIKI_PRECISION = {"11": "day", "10": "month", "9": "year"}
 def earliest_release(raw: Column) -> Column:
     """The earliest of 'date|precision||date|precision' in the order given; precisions but day, month and year do not count."""
 
-    def one(pair: Column, i: Column) -> Column:
-        date, precision = F.substring(F.split(pair, r"\|")[0], 1, 10), scalars.slot(F.get(F.split(pair, r"\|"), F.lit(1)), WIKI_PRECISION, None)
-        day = F.when(precision == "year", F.concat(F.substring(date, 1, 4), F.lit("-01-01"))).when(precision == "month", F.concat(F.substring(date, 1, 7), F.lit("-01"))).when(precision == "day", date)
+    def one(parts: Column, i: Column) -> Column:
+        date, precision = F.substring(parts[0], 1, 10), scalars.slot(F.get(parts, F.lit(1)), WIKI_PRECISION, None)
+        day = let(precision, lambda p: F.when(p == "year", F.concat(F.substring(date, 1, 4), F.lit("-01-01"))).when(p == "month", F.concat(F.substring(date, 1, 7), F.lit("-01"))).when(p == "day", date))
         return F.struct(day.try_cast("date").alias("date"), i.alias("i"), precision.alias("precision"))
 
-    best = F.array_min(F.filter(F.transform(F.split(raw, r"\|\|"), one), lambda x: x["date"].isNotNull()))
-    return F.when(best.isNotNull(), F.struct(best["date"].alias("date"), best["precision"].alias("precision")))
+    pairs = F.transform(F.split(raw, r"\|\|"), lambda pair, i: let(F.split(pair, r"\|"), lambda parts: one(parts, i)))
+    best = F.array_min(F.filter(pairs, lambda x: x["date"].isNotNull()))
+    return let(best, lambda x: F.when(x["date"].isNotNull(), F.struct(x["date"].alias("date"), x["precision"].alias("precision"))))
 
 
-def wikidata(payload: Column) -> Column:
+@_source(", ".join(f"{k} {_VALUE}" for k in _BOUND))
+def wikidata(p: Column) -> Column:
     """One SPARQL result binding."""
-    p = F.from_json(payload, ", ".join(f"{k} {_VALUE}" for k in _BOUND))
     v = lambda *keys: F.coalesce(*[p[k]["value"] for k in keys])
     shop = v("gogId_", "gogId")
     at = lambda base, id_, tail="": F.concat(F.lit(base), id_, F.lit(tail))
@@ -264,8 +293,8 @@ def wikidata(payload: Column) -> Column:
     return _fields({"steam_appid": v("steamId").try_cast("bigint"), "developers": _some(scalars.from_pipes(v("developers"))), "publishers": _some(scalars.from_pipes(v("publishers"))), "release": earliest_release(v("pubDates")), "links": _links(*links)})
 
 
-def gamerankings(payload: Column) -> Column:
-    p = F.from_json(payload, "id string, title string, platform string, score double, reviews bigint, path string")
+@_source("id string, title string, platform string, score double, reviews bigint, path string")
+def gamerankings(p: Column) -> Column:
     good = (p["reviews"] >= 1) & p["score"].between(0, 100)
     listed = F.coalesce((p["platform"] == "PC") & (p["path"] != "") & p["id"].isNotNull(), F.lit(False))
     return _fields({"score_gamerankings": F.when(good, scalars.round_up_half(p["score"])), "links": _links(_link("gamefaqs", p["id"], F.concat(F.lit("https://gamefaqs.gamespot.com"), p["path"]), listed))})
@@ -290,8 +319,8 @@ _SNAPSHOT = """sid string, store_platform string, store_url string, store_uscore
  gfq_difficulty string, gfq_rating double, stsp_owners bigint, hltb_single double, hltb_complete double, meta_url string, meta_score double, meta_uscore double, grnk_score bigint, igdb_single double, igdb_complete double, igdb_score bigint, igdb_uscore bigint"""
 
 
-def legacy(payload: Column) -> Column:
-    p = F.from_json(payload, _SNAPSHOT)
+@_source(_SNAPSHOT)
+def legacy(p: Column) -> Column:
     candidates = [F.struct(F.lit(f"legacy_{s}").alias("source"), F.lit("independent").alias("kind"), parse_date(p[c]).alias("release")) for s, c in (("gamefaqs", "published_meta"), ("steamspy", "published_stsp"), ("hltb", "published_hltb"), ("igdb", "published_igdb"))]
     sold = lambda where: (p["store_platform"] == where) & p["sid"].isNotNull()
     url = lambda where: F.coalesce((p["store_url"] != "") & (p["store_platform"] == where), F.lit(False))
@@ -306,12 +335,15 @@ def legacy(payload: Column) -> Column:
     return _fields(found)
 
 
-EXTRACTORS: dict[str, Callable[[Column], Column]] = {"steam": steam, "gog": gog, "igdb": igdb, "steamspy": steamspy, "hltb": hltb, "metacritic": metacritic, "gamefaqs": gamefaqs, "wikidata": wikidata, "gamerankings": gamerankings, "legacy": legacy}
-
-
-def register(name: str, extract: Callable[[Column], Column]) -> None:
-    """Adds a source: a function from the payload column to a struct of VOCABULARY."""
-    EXTRACTORS[name] = extract
+def projected(records: DataFrame, name: str, payload: str | Column = "payload", keep: tuple[str | Column, ...] = ("game_id",)) -> DataFrame:
+    """Payloads of one source: keep and the vocabulary.  A payload is parsed once, in a step of its own."""
+    extract, text = EXTRACTORS[name], F.col(payload) if isinstance(payload, str) else payload
+    if hasattr(extract, "schema"):
+        rows = records.select(*keep, F.from_json(text, extract.schema).alias("__parsed"))
+        made = extract.fields(F.col("__parsed"))
+    else:
+        rows, made = records.select(*keep, text.alias("__parsed")), extract(F.col("__parsed"))
+    return rows.withColumn("__f", made).drop("__parsed").select("*", "__f.*").drop("__f")
 
 
 def extracted(records: DataFrame, source: str = "source", payload: str = "payload", keep: tuple[str, ...] = ("game_id",)) -> DataFrame:
@@ -319,9 +351,8 @@ def extracted(records: DataFrame, source: str = "source", payload: str = "payloa
 
     Each source's rows are parsed by its own projection only; rows of unknown sources are left out."""
     parts = None
-    for name, extract in EXTRACTORS.items():
-        rows = records.where(F.col(source) == name).select(*keep, F.col(source).alias("source"), source_priority(F.col(source)).alias("priority"), extract(F.col(payload)).alias("f"))
-        rows = rows.select(*keep, "source", "priority", "f.*")
+    for name in EXTRACTORS:
+        rows = projected(records.where(F.col(source) == name), name, payload, (*keep, F.col(source).alias("source"), source_priority(F.col(source)).alias("priority")))
         parts = rows if parts is None else parts.unionByName(rows)
     return parts
 

@@ -98,3 +98,18 @@ def test_review_pages(spark):
     assert [r[0] for r in ids] == ["tiny"] * 4 + [None]
     g = spark.createDataFrame([("Tiny’s Quest: Dawn",)], "n string").select(review_pages.slug_guesses(F.col("n"))).first()[0]
     assert g == ["tinys-quest-dawn", "tiny-s-quest-dawn", "tiny-s-quest"]
+
+
+def parses(spark, name, schema="k long, payload string"):
+    """How often the plan of a source's projection parses the payload, with a field read three times, and the plan's length."""
+    read = extractors.projected(spark.createDataFrame([(1, "{}")], schema), name, keep=("k",)).select("k", "name", "links", "links.steam.id", "links.gog.id", "release.date", "release.precision", "store_release.date", "prices", "prices.usd.initial", "prices.usd.final", "description_en")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    return plan.count("from_json("), len(plan)
+
+
+def test_igdb_parses_once(spark):
+    assert parses(spark, "igdb")[0] == 1
