@@ -52,13 +52,7 @@ def _named(low: Column) -> Column:
     return let(let(parts, dated), lambda x: F.when(x["date"].isNotNull(), x))
 
 
-def parse_date(text: Column) -> Column:
-    """struct<date, precision> of a date as text: ISO, unix seconds or milliseconds, quarter, year, or day, month name and year in any order.
-
-    precision: day, month, quarter, year or unknown (date null).  Months, quarters and years stand for their first day.  Only texts of none of the plain
-    shapes are searched for words.
-    """
-    raw = F.trim(text.cast("string"))
+def _parsed(raw: Column) -> Column:
     low = F.lower(raw)
     number = raw.try_cast("double")
     seconds = F.when(F.abs(number) > 1e11, F.floor(number / 1000)).otherwise(number)
@@ -80,6 +74,15 @@ def parse_date(text: Column) -> Column:
     return F.when(raw.isNull() | (raw == "") | low.isin(*UNKNOWN), nothing).otherwise(ladder)
 
 
+def parse_date(text: Column) -> Column:
+    """struct<date, precision> of a date as text: ISO, unix seconds or milliseconds, quarter, year, or day, month name and year in any order.
+
+    precision: day, month, quarter, year or unknown (date null).  Months, quarters and years stand for their first day.  Only texts of none of the plain
+    shapes are searched for words.
+    """
+    return let(F.trim(text.cast("string")), _parsed)
+
+
 # Names of months as they are shown; Russian ones after a day, and alone.
 SHOWN = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 SHOWN_RU_OF = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")

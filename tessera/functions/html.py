@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.names import decode_entities
+from tessera.functions.scalars import let
 
 MAX_DESCRIPTION = 1500
 
@@ -17,8 +18,7 @@ def html_text(html: Column) -> Column:
     s = decode_entities(F.regexp_replace(s, "<[^>]+>", ""))
     s = F.regexp_replace(F.regexp_replace(s, "\r\n?", "\n"), "[ \t ]+", " ")
     s = F.regexp_replace(F.regexp_replace(s, " ?\n ?", "\n"), "\n{3,}", "\n\n")
-    s = F.regexp_replace(s, r"^[ \n]+|[ \n]+$", "")
-    return F.when(s != "", s)
+    return let(F.regexp_replace(s, r"^[ \n]+|[ \n]+$", ""), lambda text: F.when(text != "", text))
 
 
 def truncate_at_sentence(text: Column, most: int = MAX_DESCRIPTION) -> Column:

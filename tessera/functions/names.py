@@ -55,13 +55,14 @@ def decode_entities(c: Column) -> Column:
     named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(part: Column) -> Column:
-        entity = F.regexp_extract(part, "^(#x?[0-9a-fA-F]+|[a-zA-Z]+);", 1)
-        char = F.when(entity.startswith("#"), _character(_code_point(entity))).otherwise(F.try_element_at(named, F.lower(entity)))
-        return F.coalesce(F.concat(char, F.substring(part, F.length(entity) + 2, F.length(part))), F.concat(F.lit("&"), part))
+        def replaced(entity: Column) -> Column:
+            char = F.when(entity.startswith("#"), let(_code_point(entity), _character)).otherwise(F.try_element_at(named, F.lower(entity)))
+            return F.coalesce(F.concat(char, F.substring(part, F.length(entity) + 2, F.length(part))), F.concat(F.lit("&"), part))
 
-    parts = F.split(c, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
-    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+        return let(F.regexp_extract(part, "^(#x?[0-9a-fA-F]+|[a-zA-Z]+);", 1), replaced)
+
+    joined = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+    return let(c, lambda text: F.when(text.contains("&"), let(F.split(text, "&"), joined)).otherwise(text))
 
 
 def _without(c: Column, literal: str) -> Column:

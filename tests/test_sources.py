@@ -113,3 +113,8 @@ def parses(spark, name, schema="k long, payload string"):
 
 def test_igdb_parses_once(spark):
     assert parses(spark, "igdb")[0] == 1
+
+
+def test_gog_parses_once(spark):
+    parsed, length = parses(spark, "gog")
+    assert parsed == 1 and length < 60000
