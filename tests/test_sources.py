@@ -118,3 +118,8 @@ def test_igdb_parses_once(spark):
 def test_gog_parses_once(spark):
     parsed, length = parses(spark, "gog")
     assert parsed == 1 and length < 60000
+
+
+def test_steam_parses_once(spark):
+    parsed, length = parses(spark, "steam")
+    assert parsed == 1 and length < 60000
