@@ -123,3 +123,7 @@ def test_gog_parses_once(spark):
 def test_steam_parses_once(spark):
     parsed, length = parses(spark, "steam")
     assert parsed == 1 and length < 60000
+
+
+def test_wikidata_parses_once(spark):
+    assert parses(spark, "wikidata")[0] == 1
