@@ -255,3 +255,22 @@ def test_tables_change_together_or_not_at_all(spark, tmp_path):
     assert (held("a"), held("b"), held("a", number=1)) == ([3, 4], [2], [1])
     os.remove(f"{path}/manifests/0000000002/_SUCCESS")  # a manifest that is not complete does not count
     assert held("a") == [1]
+
+
+def test_contains_block_joins_lists_of_equal_keys(spark):
+    """300 targets and 300 candidates of one key: the joins give one row a target, not 90,000 pairs, and the first candidates are found."""
+    rows = spark.range(300).select("id", F.lit("blue ring").alias("key"))
+    out = linking.contains_block(rows, rows, target_id="id", candidate_id="id", most=5)
+    got = {(r["__t"], r["__c"]) for r in out.collect()}
+    assert got == {(t, c) for t in range(300) for c in range(5)}
+    metrics, seen = [], [out._jdf.queryExecution().executedPlan()]
+    while seen:
+        node = seen.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        seen += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            metrics.append(node.metrics().apply("numOutputRows").value())
+    assert metrics and max(metrics) <= 600
