@@ -137,6 +137,11 @@ def resolve_release(candidates: DataFrame, by: str = "item_id", tolerance: int =
     several); if it is the only one (60); else the store date with a conflict (20).  Without independent dates the store's (30).  Candidates without
     date or precision are ignored; items without others are left out.
     """
+    return decided_release(release_clusters(candidates, by, tolerance), by, old_months)
+
+
+def release_clusters(candidates: DataFrame, by: str = "item_id", tolerance: int = 8) -> DataFrame:
+    """The first half of resolve_release: of each item the largest cluster (top), the number of independent dates, the earliest of them and the store's."""
     known = F.col("date").isNotNull() & (F.coalesce(F.col("precision"), F.lit("unknown")) != "unknown")
     rows = candidates.where(known & F.col("kind").isin("independent", "store")).withColumn("rank", precision_rank(F.col("precision"))).withColumn("month", F.year("date") * 12 + F.month("date"))
     # one exchange: the windows and both groupings have all of an item's candidates in one place
@@ -146,12 +151,16 @@ def resolve_release(candidates: DataFrame, by: str = "item_id", tolerance: int =
     best, early = F.min(F.struct((-F.col("rank")).alias("r"), "date", "precision")), F.min(F.struct("date", (-F.col("rank")).alias("r"), "precision"))
     clusters = rows.groupBy(by, "kind", "cluster").agg(F.count("*").alias("n"), best.alias("best"), early.alias("early"))
     independent = F.col("kind") == "independent"
-    joined = clusters.groupBy(by).agg(
+    return clusters.groupBy(by).agg(
         F.min(F.when(independent, F.struct((-F.col("n")).alias("m"), F.col("best.r").alias("r"), F.col("best.date").alias("d"), "best"))).alias("top"),
         F.sum(F.when(independent, F.col("n"))).alias("independents"),
         F.min(F.when(independent, F.col("early"))).alias("early"),
         F.min(F.when(~independent, F.col("best"))).alias("store"),
     )
+
+
+def decided_release(joined: DataFrame, by: str = "item_id", old_months: int = 12) -> DataFrame:
+    """The second half of resolve_release, on rows (by, top, independents, early, store); store needs a date and a precision alone."""
     size = -F.col("top.m")
     gap = F.abs((F.year("early.date") - F.year("store.date")) * 12 + F.month("early.date") - F.month("store.date"))
     old = F.col("store").isNotNull() & (gap > old_months) & (F.col("early.date") < F.col("store.date"))

@@ -46,6 +46,35 @@ def test_other_queries_run(spark, name):
     assert len(catalogue.QUERIES[name](spark, DATA).collect()) > 0
 
 
+def against_sql(spark, folder, name, **tables):
+    """A query's rows and its SQL's on own tables, given as SQL."""
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"COPY ({sql}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found = c.execute(entry_points.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    return sorted(repr(tuple(r[k] for k in columns)) for r in entry_points.queries()[name](spark, str(folder)).collect()), sorted(map(repr, found.fetchall()))
+
+
+def test_release_cluster_follows_the_orders(spark, tmp_path):
+    """Orders that share a key each have a row, line items without an order none."""
+    orders = "SELECT CAST(k AS BIGINT) AS o_orderkey, CAST(t AS TIMESTAMP) AS o_orderdate FROM (VALUES (1, '1995-06-01'), (1, '1996-06-01'), (1, '1996-06-01'), (6, '1995-06-01'), (7, '1995-06-01'), (NULL, '1995-01-01')) v(k, t)"
+    lines = "SELECT CAST(k AS BIGINT) AS l_orderkey, CAST(t AS TIMESTAMP) AS l_shipdate FROM (VALUES (1, '1995-01-01'), (2, '1995-01-01'), (2, '1995-02-01'), (7, '1990-01-01'), (7, '1994-01-01'), (NULL, '1995-01-01')) v(k, t)"
+    got, want = against_sql(spark, tmp_path, "release_cluster", orders=orders, lineitem=lines)
+    assert got == want and len(want) == 5
+
+
+def test_query_bindings_read_every_document(spark, tmp_path):
+    """Documents that come from several partitions are landed one a file, so none is read in part."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, want = against_sql(spark, tmp_path, "query_bindings", customer="SELECT range AS c_custkey FROM range(100) UNION ALL SELECT NULL UNION ALL SELECT 5 UNION ALL SELECT -60001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and len(want) == 102
+
+
 def likeness(a, b):
     """similar_text as it is described: the first longest common stretch, then both sides of it."""
 
