@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tessera.session import written
+
 SCHEMA = "page bigint, ok boolean, items array<string>"
+MOST_TASKS = 1000  # a long listing has larger ranges, not more tasks
 _NUMBER = re.compile(r"page[=-](\d+)")
 
 
@@ -44,7 +47,8 @@ class _Pages:
 
     def ranges(self, low: int, high: int | None = None) -> list[PageRange]:
         held = sorted((n, f) for n, f in self.landed().items() if n >= low and (high is None or n < high))
-        return [PageRange(held[i : i + self.each]) for i in range(0, len(held), self.each)]
+        each = max(self.each, -(-len(held) // MOST_TASKS))
+        return [PageRange(held[i : i + each]) for i in range(0, len(held), each)]
 
     def rows(self, part: PageRange) -> Iterator[tuple]:
         files, _ = _opened(self.path)
@@ -94,7 +98,7 @@ class LandedPages(DataSource):
     """Format landed_pages: rows (page, ok, items as JSON texts) of a listing's pages landed as JSON files.
 
     Options: path; start (first page, 0); itemsAt (keys to the items, as response.apps; they may be a list or an object, whose values count);
-    pagesPerTask (8).  A page that is no such JSON has ok = false.  As a stream its checkpoint holds the cursor, so a later run reads only new pages."""
+    pagesPerTask (8; more where that would give over MOST_TASKS tasks).  A page that is no such JSON has ok = false.  As a stream its checkpoint holds the cursor, so a later run reads only new pages."""
 
     @classmethod
     def name(cls):
@@ -128,8 +132,8 @@ def walked(found: DataFrame, start: int = 0, max_bad: int = 2) -> tuple[DataFram
     """(rows (page, item), cursor): the items of a walk over pages (page, ok, items), and the page that the next walk begins with.
 
     The walk ends before the first empty page, before the first gap (pages begin with `start`), and before the bad page after `max_bad` bad ones, which
-    it steps over.  Only ends of the walk reach the driver."""
-    held = found.where(F.col("page") >= start)
+    it steps over.  Only ends of the walk reach the driver.  Pages are read from their source once."""
+    held = written(found.where(F.col("page") >= start), "walked")
     empty = held.where("ok AND size(items) = 0").agg(F.min("page")).first()[0]
     bad = [r["page"] for r in held.where("NOT ok").select("page").distinct().orderBy("page").limit(max_bad + 1).collect()]
     after = held.select((F.col("page") + 1).alias("page")).distinct()

@@ -274,3 +274,21 @@ def test_contains_block_joins_lists_of_equal_keys(spark):
         if "Join" in node.nodeName():
             metrics.append(node.metrics().apply("numOutputRows").value())
     assert metrics and max(metrics) <= 600
+
+
+def test_walk_reads_its_pages_once(spark, tmp_path):
+    """Each page file is opened once in a walk, and long listings have no more than MOST_TASKS ranges."""
+    for n in range(6):
+        (tmp_path / f"page-{n}.json").write_text('["a"]' if n < 5 else "[]")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(page):
+        read.add(1)
+        return True
+
+    rows, end = paged.walked(paged.pages(spark, str(tmp_path)).where(seen.asNondeterministic()("page")))
+    assert end == 5 and sorted(r["page"] for r in rows.collect()) == [0, 1, 2, 3, 4] and read.value == 6
+    source = paged._Pages({"path": str(tmp_path), "pagespertask": "1"})
+    source.landed = lambda: {n: str(n) for n in range(5000)}
+    assert len(source.ranges(0)) <= paged.MOST_TASKS and sum(len(r.pages) for r in source.ranges(0)) == 5000
